@@ -5,9 +5,10 @@ from __future__ import annotations
 from .neardup_vectors import op9_embedding_near_dedup
 from .packing import op4_packing
 from .progressive_jpeg import op10_media_columns
+from .unigram import op1_sentencepiece
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_warc, op9_embedding_near_dedup, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_packing, op5_warc, op9_embedding_near_dedup, op10_media_columns)}
 
 ORACLES = {
     "op5_warc": """

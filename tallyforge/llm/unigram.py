@@ -1,0 +1,443 @@
+"""Operator 1: SentencePiece encoding and decoding by a max-plus parallel scan.
+
+A text's best segmentation is the heaviest path of a lattice of vocabulary pieces. A giant document is split into
+chunks; each chunk gives a matrix of best scores from every way in to every way out (a state is how far the piece over
+a boundary reaches past it), matrices combine associatively in the max-plus semiring, and once the boundary states are
+known every chunk is backtraced alone. Scores of the public model are whole numbers, so any order of combination
+gives the same sums.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import parts, settle, slices, table
+
+SPACE = "▁"
+#: Characters of one chunk of a giant document; shorter documents are encoded whole.
+CHUNK = 1 << 15
+#: Chunks whose matrices one task combines at a level of the scan.
+FAN = 64
+#: Fixed value: what a character without a piece costs more than the worst piece.
+UNKNOWN_PENALTY = 10.0
+NEG = -math.inf
+
+
+class Pieces:
+    """Vocabulary of a SentencePiece model file, as a lattice's pieces and scores."""
+
+    def __init__(self, path: str) -> None:
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        n = self.model.get_piece_size()
+        self.text = [self.model.id_to_piece(i) for i in range(n)]
+        normal = [i for i in range(n) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
+        self.id = {self.text[i]: i for i in normal}
+        self.score = {self.text[i]: self.model.get_score(i) for i in normal}
+        self.worst = min(self.score.values()) - UNKNOWN_PENALTY
+        self.longest = max(map(len, self.id))
+        byte = [i for i in range(n) if self.model.is_byte(i)]
+        self.byte_id = {int(self.text[i][3:5], 16): i for i in byte}
+        self.unknown = self.model.unk_id()
+        self.value = [bytes([int(self.text[i][3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else self.text[i].replace(SPACE, " ").encode() for i in range(n)]
+        #: No piece holds a space mark after another character, so every path has a node before a mark that follows one.
+        self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.id)
+        self._trie()
+
+    def _trie(self) -> None:
+        """Dense byte trie of the pieces: next state by state and byte, and the piece that ends in a state."""
+        states: dict[bytes, int] = {b"": 0}
+        for p in self.id:
+            raw = p.encode()
+            for k in range(1, len(raw) + 1):
+                states.setdefault(raw[:k], len(states))
+        self.next = np.zeros((len(states), 256), np.int32)
+        self.ends = np.full(len(states), -1, np.int32)
+        for raw, state in states.items():
+            if raw:
+                self.next[states[raw[:-1]], raw[-1]] = state
+        for p, i in self.id.items():
+            self.ends[states[p.encode()]] = i
+        self.weight = np.full(len(self.text), self.worst)
+        for p, i in self.id.items():
+            self.weight[i] = self.score[p]
+        self.byte = np.array([self.byte_id.get(b, self.unknown) for b in range(256)], np.int32)
+        self.falls_back = len(self.byte_id) == 256
+
+    def ids(self, piece: str) -> list[int]:
+        if piece in self.id:
+            return [self.id[piece]]
+        return [self.byte_id[b] for b in piece.encode()] if len(self.byte_id) == 256 else [self.unknown]
+
+    def arcs(self, text: str, i: int) -> Iterator[tuple[int, float]]:
+        """Ends and scores of pieces that start at i; a character without a piece of its own is an unknown one."""
+        score, single = self.score, False
+        for j in range(i + 1, min(i + self.longest, len(text)) + 1):
+            s = score.get(text[i:j])
+            if s is not None:
+                single |= j == i + 1
+                yield j, s
+        if not single:
+            yield i + 1, self.worst
+
+    def best(self, text: str) -> list[str]:
+        """Pieces of the best path; of equal ones that whose last piece starts first, at each node."""
+        n = len(text)
+        total, back = [NEG] * (n + 1), [0] * (n + 1)
+        total[0] = 0.0
+        for i in range(n):
+            here = total[i]
+            for j, s in self.arcs(text, i):
+                if here + s > total[j]:
+                    total[j], back[j] = here + s, i
+        out, j = [], n
+        while j:
+            out.append(text[back[j] : j])
+            j = back[j]
+        return out[::-1]
+
+    def segment(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of escaped texts in a row, how many each has, and each one's best score.
+
+        A text falls into words, between which every path has a node; words are lattices of their own and are
+        advanced together, one place a step. Ties go as in best().
+        """
+        raw = "\0".join([*texts, ""]).encode()
+        b = np.frombuffer(raw + b"\0\0\0", np.uint8)
+        n = len(raw)
+        char = np.nonzero((b[:n] & 0xC0) != 0x80)[0]
+        char = char[b[char] != 0]
+        mark = np.zeros(n + 1, bool)
+        mark[:n] = (b[:n] == 0xE2) & (b[1 : n + 1] == 0x96) & (b[2 : n + 2] == 0x81)
+        close = np.nonzero(b[:n] == 0)[0]
+        opens = np.zeros(n + 1, bool)  # a word starts here, or a text has ended
+        opens[0] = True
+        opens[close + 1] = True
+        if self.splits:
+            m = np.nonzero(mark)[0]
+            opens[m[~((m >= 3) & mark[m - 3])]] = True
+        first = np.nonzero(opens[:n] & (b[:n] != 0))[0]
+        word = np.cumsum(_flags(n, first)) - 1
+        edge_a, edge_b, edge_p = [], [], []
+        start, state, at = char, np.zeros(len(char), np.int32), char.copy()
+        while len(start):
+            state = self.next[state, b[at]]
+            live = state > 0
+            start, state, at = start[live], state[live], at[live] + 1
+            got = self.ends[state]
+            hit = got >= 0
+            edge_a.append(start[hit])
+            edge_b.append(at[hit])
+            edge_p.append(got[hit])
+        length = np.zeros(n + 1, np.int64)
+        lead = b[char]
+        length[char] = size = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+        a, z, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (edge_a, edge_b, edge_p))
+        lone = np.ones(n + 1, bool)
+        lone[a[z - a == length[a]]] = False
+        missing = lone[char]
+        a, z, p = np.concatenate([a, char[missing]]), np.concatenate([z, char[missing] + size[missing]]), np.concatenate([p, np.full(int(missing.sum()), -1)])
+        s = np.where(p >= 0, self.weight[p], self.worst)
+        of = word[a]
+        out_of = opens[z] | (b[z] == 0)
+        node = np.where(out_of, n + of, z)
+        step = a - first[of]
+        order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 65536 else step, kind="stable")
+        a, z, p, s, node, step = a[order], z[order], p[order], s[order], node[order], step[order]
+        total, back, piece = np.full(n + len(first), NEG), np.zeros(n + len(first), np.int64), np.zeros(n + len(first), np.int64)
+        total[first] = 0.0
+        bounds = np.append(np.nonzero(np.diff(step, prepend=-1))[0], len(step))
+        for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            new = total[a[i:j]] + s[i:j]
+            better = new > total[node[i:j]]
+            to = node[i:j][better]
+            total[to], back[to], piece[to] = new[better], a[i:j][better], p[i:j][better]
+        now, who, steps = n + np.arange(len(first)), np.arange(len(first)), []
+        while len(now):
+            begin = back[now]
+            steps.append((who, begin, piece[now]))
+            on = begin != first[who]
+            now, who = begin[on], who[on]
+        if not steps:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        who, begin, piece = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.argsort(begin)
+        begin, piece = begin[order], piece[order]
+        n_ids = np.where(piece >= 0, 1, length[begin] if self.falls_back else 1)
+        ends = np.cumsum(n_ids)
+        ids = np.empty(int(ends[-1]), np.int32)
+        known = piece >= 0
+        ids[(ends - n_ids)[known]] = piece[known]
+        if not known.all():
+            k = n_ids[~known]
+            nth = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            ids[np.repeat((ends - n_ids)[~known], k) + nth] = self.byte[b[np.repeat(begin[~known], k) + nth]] if self.falls_back else self.unknown
+        cut = np.searchsorted(begin, close)
+        sums = np.concatenate([[0], ends])[cut]
+        scores = np.concatenate([[0.0], np.cumsum(total[n:])])[np.searchsorted(first, close)]
+        return ids, np.diff(sums, prepend=0), np.diff(scores, prepend=0.0)
+
+
+def _flags(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at] = True
+    return out
+
+
+def escape(text: str) -> str:
+    """The lattice's text: spaces as marks, and one before the text."""
+    return SPACE + text.replace(" ", SPACE) if text else ""
+
+
+def cuts(text: str) -> list[int]:
+    """Places that every path visits: before a mark that follows another character."""
+    out, at = [], text.find(SPACE, 1)
+    while at > 0:
+        if text[at - 1] != SPACE:
+            out.append(at)
+        at = text.find(SPACE, at + 1)
+    return out
+
+
+def decode(pieces: Pieces, ids: list[int]) -> str:
+    """Text of ids: byte pieces joined, marks as spaces, the first mark dropped."""
+    raw = b"".join(map(pieces.value.__getitem__, ids))
+    return raw.removeprefix(b" ").decode("utf-8", "replace")
+
+
+# ---- the scan over chunks of a giant document
+
+
+@dataclass
+class Span:
+    """Text of a chunk and what follows it, as far as a piece that starts in the chunk can reach."""
+
+    text: str
+    size: int
+
+    @property
+    def last(self) -> bool:
+        return len(self.text) == self.size
+
+
+def sweep(pieces: Pieces, span: Span, into: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Best scores at the chunk's ways out, from scores at its ways in (rows: any number of starts side by side).
+
+    State s at a boundary: the piece over it ends s characters behind it.
+    """
+    width, n = pieces.longest, span.size
+    total = np.full((into.shape[0], n + width), NEG)
+    total[:, :width] = into
+    back = np.full((into.shape[0], n + width), -1, np.int64) if into.shape[0] == 1 else None
+    for i in range(n):
+        here = total[:, i]
+        if not np.isfinite(here).any():
+            continue
+        for j, s in pieces.arcs(span.text, i):
+            new = here + s
+            if back is not None:
+                if new[0] > total[0, j]:
+                    total[0, j], back[0, j] = new[0], i
+            else:
+                np.maximum(total[:, j], new, out=total[:, j])
+    return total[:, n : n + width], back
+
+
+def transfer(pieces: Pieces, span: Span) -> np.ndarray:
+    """The chunk's matrix: ways in by ways out.
+
+    Between the chunk's first and last place that every path visits the score is one number, got by words.
+    """
+    width = pieces.longest
+    at = [c for c in cuts(span.text) if width <= c <= span.size - 1] if pieces.splits else []
+    start = np.where(np.eye(width) > 0, 0.0, NEG)
+    if not at:
+        return sweep(pieces, span, start)[0]
+    first, last = at[0], at[-1]
+    head = sweep(pieces, Span(span.text[:first], first), start)[0][:, :1]
+    middle = pieces.segment([span.text[first:last]])[2][0]
+    way = np.full((1, width), NEG)
+    way[0, 0] = 0.0
+    tail = sweep(pieces, Span(span.text[last:], span.size - last), way)[0]
+    return head + middle + tail
+
+
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The max-plus product."""
+    return (a[:, :, None] + b[None, :, :]).max(1)
+
+
+def backtrace(pieces: Pieces, span: Span, enter: int, leave: int) -> list[int]:
+    """Ids of the pieces that start in the chunk, given the boundary states."""
+    text, end = span.text, span.size + leave
+    inner = [c for c in cuts(text) if enter < c < span.size] if pieces.splits else []
+    if inner:
+        first, last = inner[0], inner[-1]
+        return backtrace(pieces, Span(text[:first], first), enter, 0) + pieces.segment([text[first:last]])[0].tolist() + backtrace(pieces, Span(text[last:], span.size - last), 0, leave)
+    into = np.full((1, pieces.longest), NEG)
+    if enter >= span.size:
+        return []
+    into[0, enter] = 0.0
+    _, back = sweep(pieces, span, into)
+    out, j = [], end
+    while j > enter:
+        i = int(back[0, j])
+        out.append(text[i:j])
+        j = i
+    return list(chain.from_iterable(map(pieces.ids, reversed(out))))
+
+
+def spans(text: str, chunk: int, width: int) -> Iterator[Span]:
+    for i in range(0, len(text), chunk):
+        yield Span(text[i : i + chunk + width - 1], min(chunk, len(text) - i))
+
+
+_pieces: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
+    if path not in _pieces:
+        _pieces[path] = Pieces(path)
+    return _pieces[path]
+
+
+def _pack(m: np.ndarray) -> bytes:
+    return m.astype("<f8").tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    m = np.frombuffer(raw, "<f8")
+    return m.reshape(-1, math.isqrt(len(m)))
+
+
+def _digest(pieces: Pieces, doc_ids: pa.Array, id_lists: list[np.ndarray], keep: bool) -> pa.RecordBatch:
+    texts = [decode(pieces, ids.tolist()) for ids in id_lists]
+    cols = [
+        doc_ids,
+        pa.array([len(x) for x in id_lists], pa.int64()),
+        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in id_lists], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
+    ]
+    names = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"]
+    if keep:
+        cols += [pa.array([x.tolist() for x in id_lists], pa.list_(pa.int32())), pa.array(texts)]
+        names += ["ids", "decoded"]
+    return pa.RecordBatch.from_arrays(cols, names)
+
+
+def _encode_short(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
+    pieces = pieces_of(path)
+    for batch in slices(batches, "text", 1 << 18):
+        ids, n, _ = pieces.segment([escape(t or "") for t in batch.column(1).to_pylist()])
+        yield _digest(pieces, batch.column(0), np.split(ids, np.cumsum(n)[:-1]), keep)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], path: str, chunk: int) -> Iterator[pa.RecordBatch]:
+    width, task, row = pieces_of(path).longest, TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for i, span in enumerate(spans(escape(text.as_py()), chunk, width)):
+                yield pa.RecordBatch.from_arrays([pa.array([task << 40 | row]), pa.array([doc_id.as_py()], batch.schema.types[0]), pa.array([i], pa.int64()), pa.array([span.size], pa.int64()), pa.array([span.text])], ["place", "doc_id", "at", "size", "text"])
+            row += 1
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    pieces = pieces_of(path)
+    for batch in batches:
+        made = [_pack(transfer(pieces, Span(t, n))) for t, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["place", "at", "matrix"])
+
+
+def _join_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("at")
+    m = reduce(combine, map(_unpack, rows["matrix"]))
+    return pd.DataFrame({"place": [key[0]], "at": [key[1]], "matrix": [_pack(m)]})
+
+
+def _states_down(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """States at the members' boundaries from those of their group; of equally good ones the smallest."""
+    rows = rows.sort_values("at")
+    ms = [_unpack(x) for x in rows["matrix"]]
+    enter, leave = int(rows["enter"].iloc[0]), int(rows["leave"].iloc[0])
+    way = np.full(len(ms[0]), NEG)
+    way[enter] = 0.0
+    ways = [way]
+    for m in ms[:-1]:
+        ways.append((ways[-1][:, None] + m).max(0))
+    outs = [leave]
+    for v, m in zip(ways[::-1], ms[::-1], strict=True):
+        outs.append(int(np.argmax(v + m[:, outs[-1]])))
+    outs.reverse()
+    return pd.DataFrame({"place": key[0], "at": rows["at"], "enter": outs[:-1], "leave": outs[1:]})
+
+
+def _backtraces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    pieces = pieces_of(path)
+    for batch in batches:
+        size, text, enter, leave = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("size", "text", "enter", "leave"))
+        ids = [np.array(backtrace(pieces, Span(t, n), i, j), "<i4").tobytes() for t, n, i, j in zip(text, size, enter, leave, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)) for x in ("place", "doc_id", "at")] + [pa.array(ids, pa.binary())], ["place", "doc_id", "at", "ids"])
+
+
+def _digest_long(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
+    pieces = pieces_of(path)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids = np.concatenate([np.frombuffer(x, "<i4") for x in batch.column(1)[i].as_py()])
+            yield _digest(pieces, batch.column(0).slice(i, 1), [ids], keep)
+
+
+def _encode_long(docs: DataFrame, path: str, chunk: int, schema: str, kind: str, keep: bool) -> DataFrame:
+    """Chunks, their matrices combined FAN by FAN, boundary states from the top down, backtraces."""
+    rows = settle(docs.mapInArrow(lambda b: _chunks(b, path, chunk), f"place bigint, doc_id {kind}, at bigint, size bigint, text string"))
+    flat = rows.select("place", "at", "size", "text").repartition(parts(docs.sparkSession), "place", "at")
+    levels = [settle(flat.mapInArrow(lambda b: _matrices(b, path), "place bigint, at bigint, matrix binary"))]
+    most = (rows.agg(F.max("at")).first()[0] or 0) + 1
+    while most > 1:
+        most = -(-most // FAN)
+        levels.append(settle(levels[-1].withColumn("up", F.floor(F.col("at") / FAN)).groupBy("place", "up").applyInPandas(_join_up, "place bigint, at bigint, matrix binary")))
+    states = levels[-1].select("place", "at", F.lit(0).alias("enter"), F.lit(0).alias("leave"))
+    for level in levels[-2::-1]:
+        states = states.select("place", F.col("at").alias("up"), "enter", "leave")
+        members = level.withColumn("up", F.floor(F.col("at") / FAN)).join(states, ["place", "up"])
+        states = members.groupBy("place", "up").applyInPandas(_states_down, "place bigint, at bigint, enter int, leave int")
+    traced = rows.join(states, ["place", "at"]).mapInArrow(lambda b: _backtraces(b, path), f"place bigint, doc_id {kind}, at bigint, ids binary")
+    whole = traced.groupBy("place").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("all"))
+    return whole.select("doc_id", F.col("all.ids").alias("ids")).mapInArrow(lambda b: _digest_long(b, path, keep), schema)
+
+
+def encode_documents(docs: DataFrame, model: str, chunk: int = CHUNK, keep: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit), decoded_sha256; with keep also ids and the decoded text.
+
+    The ids are the best path over the model's pieces and scores, with byte fallback. Texts of up to chunk
+    characters are encoded in place; longer ones by the scan. Decoding gives the text back, but for space marks
+    (U+2581) in it, which come back as spaces. Null and empty texts have no ids; an empty table gives no rows; repeated rows give
+    repeated results; further columns are not read. Of equally good paths a short text gets the one whose last
+    pieces start first; a scanned text may get another where it has no word ends near a chunk's border.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
+    text = docs.select("doc_id", "text")
+    long = F.length("text") > chunk
+    short = text.filter(~F.coalesce(long, F.lit(False))).mapInArrow(lambda b: _encode_short(b, model, keep), schema)
+    return short.unionByName(_encode_long(text.filter(long), model, chunk, schema, kind, keep))
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
