@@ -7,11 +7,12 @@ from .neardup_vectors import op9_embedding_near_dedup
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op4_packing
 from .progressive_jpeg import op10_media_columns
+from .quality import op2_quality_classifier
 from .toxicity import op3_toxicity
 from .unigram import op1_sentencepiece
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_toxicity, op4_packing, op5_warc, op6_ngram_jaccard_join, op8_html_extraction, op9_embedding_near_dedup, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_toxicity, op4_packing, op5_warc, op6_ngram_jaccard_join, op8_html_extraction, op9_embedding_near_dedup, op10_media_columns)}
 
 ORACLES = {
     "op5_warc": """
