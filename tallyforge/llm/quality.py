@@ -107,20 +107,20 @@ def pattern(v: np.ndarray) -> np.ndarray:
 @dataclass
 class LabelModel:
     good: float
-    says: np.ndarray  # (labeller, truth, vote): probabilities
+    says: np.ndarray  # (labeller, truth, vote): probabilities of bad and good, given that it votes; silence says nothing
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         """Probability of good, by row of votes."""
         log = np.log([1 - self.good, self.good])[None, :].repeat(len(v), 0)
         for i in range(v.shape[1]):
-            log = log + np.log(self.says[i][:, v[:, i]]).T
+            log = log + np.concatenate([np.log(self.says[i]), np.zeros((2, 1))], 1)[:, v[:, i]].T
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
     """Labellers' accuracies from how often each pattern of votes occurs; labellers start as better than chance."""
     k = patterns.shape[1]
-    says = np.tile(np.array([[0.5, 0.1, 0.4], [0.1, 0.5, 0.4]]), (k, 1, 1))
+    says = np.tile(np.array([[0.5, 0.5], [0.05, 0.95]]), (k, 1, 1))
     model = LabelModel(0.8, says)
     total = counts.sum()
     for _ in range(rounds):
@@ -128,9 +128,9 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         weight = np.stack([(1 - p) * counts, p * counts])
         new = np.empty_like(says)
         for i in range(k):
-            for vote in range(3):
+            for vote in range(2):
                 new[i, :, vote] = weight[:, patterns[:, i] == vote].sum(1)
-            new[i] += np.array([[1.0, 0.1, 1.0], [0.1, 1.0, 1.0]])  # a prior that fixes which class is which
+            new[i] += np.array([[2.0, 2.0], [0.1, 9.9]])  # a prior that fixes which class is which
             new[i] /= new[i].sum(1, keepdims=True)
         good = float(np.clip(weight[1].sum() / max(total, 1), 0.02, 0.98))
         done = abs(good - model.good) < 1e-9 and np.abs(new - model.says).max() < 1e-9
@@ -207,7 +207,7 @@ def train(docs: DataFrame) -> tuple[LabelModel, Scorer]:
     rows = docs.select("text")
     found = rows.mapInArrow(_patterns, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3 ** len(LABELLERS)
     kinds = np.array(list(itertools.product(range(3), repeat=len(LABELLERS))), np.int8)[:, ::-1]
-    model = expectation_maximisation(kinds[found["pattern"].to_numpy(int)], found["n"].to_numpy(float)) if len(found) else LabelModel(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3))
+    model = expectation_maximisation(kinds[found["pattern"].to_numpy(int)], found["n"].to_numpy(float)) if len(found) else LabelModel(0.5, np.full((len(LABELLERS), 2, 2), 0.5))
     h = F.xxhash64("text")
     n = int(found["n"].sum()) if len(found) else 0
     share = min(1.0, 1.5 * SAMPLE_DOCS / max(n, 1))
@@ -234,7 +234,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: LabelModel, scorer: Scorer,
         yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "quality_score", "weak_posterior", "quality_kept"])
 
 
-def score_quality(docs: DataFrame, models: tuple[LabelModel, Scorer], threshold: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, models: tuple[LabelModel, Scorer], threshold: float = 0.3) -> DataFrame:
     """docs with quality_score (probability of good), weak_posterior (by votes alone) and quality_kept.
 
     Whole texts are measured; null and empty ones have no words and get the score of a text on which no labeller
