@@ -40,15 +40,34 @@ def _sets(batch: pa.RecordBatch, spot: int, k: int) -> tuple[np.ndarray, np.ndar
     return doc, h, n, name.view(np.int64)
 
 
+def parities(h: np.ndarray) -> bytes:
+    """A bitmap of a set: the parity of its hashes by slot, with about as many slots as members."""
+    slots = 1 << min(max(int(len(h) - 1).bit_length(), 6), 13)
+    return np.packbits((np.bincount((h & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def difference_bound(x: bytes, y: bytes) -> int:
+    """At least so many members are in one of two sets only; the larger bitmap is folded to the smaller."""
+    a, b, n, m = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x) * 8, len(y) * 8
+    while n > m:
+        n //= 2
+        a = (a >> n) ^ (a & (1 << n) - 1)
+    while m > n:
+        m //= 2
+        b = (b >> m) ^ (b & (1 << m) - 1)
+    return (a ^ b).bit_count()
+
+
 def _heads(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """One row a document, and at the end one for each counter that stands out (slot, count)."""
     counts = np.zeros(SLOTS, np.int64)
     for batch in slices(batches, "text"):
         _, h, n, name = _sets(batch, 1, k)
+        bits = [parities(x) for x in np.split(h, np.cumsum(n)[:-1])]
         counts += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name), pa.array(n), pa.nulls(len(n), pa.int64())], ["doc_id", "node", "n", "slot"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name), pa.array(n), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.int64())], ["doc_id", "node", "n", "bits", "slot"])
     out = np.nonzero(counts > 4 * counts.mean() + 4)[0]
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array(counts[out]), pa.array(out)], ["doc_id", "node", "n", "slot"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64()), pa.array(counts[out]), pa.nulls(len(out), pa.binary()), pa.array(out)], ["doc_id", "node", "n", "bits", "slot"])
 
 
 def needed(num: int, den: int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
@@ -188,6 +207,21 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
+def _sift(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and bitmaps allow a link."""
+    for batch in batches:
+        a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+        good = [difference_bound(p, q) <= i + j - 2 * needed(num, den, i, j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _sifted(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """A filter without false negatives before whole sets move: symmetric differences are bounded below by bitmaps."""
+    one, two = (reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return settle(rows.mapInArrow(lambda x: _sift(x, num, den), "a bigint, b bigint"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link; each is verified once, on whole sets. Rows are dealt by a, the member; b may be in any number of pairs."""
     spark = pairs.sparkSession
@@ -211,13 +245,14 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    made = settle(texts.mapInArrow(lambda b: _heads(b, k), "doc_id bigint, node bigint, n bigint, slot bigint"))
+    made = settle(texts.mapInArrow(lambda b: _heads(b, k), "doc_id bigint, node bigint, n bigint, bits binary, slot bigint"))
     heads = made.filter("slot is null").drop("slot")
     counts = made.filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
     rank = np.zeros(SLOTS, np.uint32)
     rank[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**32 - 1)
     shared = spark.sparkContext.broadcast(rank)
-    reps = heads.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = heads.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    reps = settle(reps)
 
     known = texts.filter("doc_id is not null")
     postings = known.mapInArrow(lambda b: _prefixes(b, k, num, den, shared.value), "token bigint, node bigint, n int, pos int")
@@ -226,7 +261,7 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     need = F.ceil(F.lit(num) * (F.col("n") + F.col("lead_n")) / (num + den))
     room = F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos"))
     first = starred.filter("node <> lead").filter(room >= need).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    links = _verified(settle(first.distinct()), known, reps, k, num, den)
+    links = _verified(_sifted(first.distinct(), reps, num, den), known, reps, k, num, den)
 
     comps = settle(connected_components(links))
     bucket = starred.select("token", "node", "n", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
@@ -235,11 +270,11 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     rest = rest.repartition(parts(spark), "token").sortWithinPartitions("token", "n", "node")
     open_pairs = rest.mapInArrow(lambda b: _cross(b, num, den), "a bigint, b bigint").distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(settle(open_pairs.join(tried, ["a", "b"], "left_anti")), known, reps, k, num, den)
+    more = _verified(_sifted(open_pairs.join(tried, ["a", "b"], "left_anti"), reps, num, den), known, reps, k, num, den)
 
     named = links.unionByName(more)
     x, y = reps.select(F.col("node").alias("a"), F.col("doc_id").alias("x")), reps.select(F.col("node").alias("b"), F.col("doc_id").alias("y"))
-    copies = heads.filter("n > 0 and doc_id is not null").join(reps.withColumnRenamed("doc_id", "y"), "node").select(F.col("doc_id").alias("x"), "y").filter("x <> y")
+    copies = heads.filter("n > 0 and doc_id is not null").select("node", "doc_id").join(reps.select("node", F.col("doc_id").alias("y")), "node").select(F.col("doc_id").alias("x"), "y").filter("x <> y")
     edges = named.join(x, "a").join(y, "b").select("x", "y").unionByName(copies)
     comps = connected_components(edges).withColumnRenamed("node", "doc_id")
     return heads.join(comps, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
