@@ -1,8 +1,73 @@
-"""Placeholder until the stages are wired."""
+"""A corpus pipeline of five stages: quality, toxicity, near-duplicates, repeated passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All
+but the last return the columns of documents. Stages work on all rows that their predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import ngram_join, packing, quality, suffix_dedup, toxicity
+from tallyforge.llm.common import settle, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier rejects."""
+    return quality.score_quality(docs, quality.train(docs)).filter("quality_kept").select(docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the toxicity scorer rejects; it is fitted on the labels of documents that are still there."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of each group of near-duplicates (five words, similarity 0.8).
+
+    Of rows that repeat a doc_id one stays. Rows without id stay.
+    """
+    found = ngram_join.similar_sets(docs, k=5, num=80, den=100)
+    known = found.filter("doc_id is not null")
+    keep = settle(known.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__times")))
+    kept = docs.join(keep, "doc_id").select(*docs.columns, "__times")
+    once = kept.filter("__times = 1").select(docs.columns)
+    several = kept.filter("__times > 1").select(docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(several).unionByName(docs.filter("doc_id is null"))
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 200 bytes or more that occur again; n_chars follows the text."""
+    cut = suffix_dedup.remove_repeats(docs, keep_text=True)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return cut.select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("packing", packing_stage),
+]
+#: Fitted classifiers and tokenizers are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = settle(docs)
+    return docs
