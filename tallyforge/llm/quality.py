@@ -21,7 +21,7 @@ from .common import slices, table, utf8
 from .shingles import LOWER, SPACE, mix, prefix_sums, span_hash
 
 #: Bounds of the sample that the scorer is fitted on: documents, and bytes of them.
-SAMPLE_DOCS, SAMPLE_BYTES = 6000, 24_000_000
+SAMPLE_DOCS, SAMPLE_BYTES = 4000, 12_000_000
 #: Hashed features: byte trigrams and the buckets of the measures.
 TRIGRAMS, BUCKETS = 1 << 13, 1 << 10
 MEASURES = ("symbols", "capitals", "doubled", "repeated", "top", "length", "looped")
@@ -169,17 +169,23 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def fit_scorer(b: np.ndarray, at: np.ndarray, values: np.ndarray, n: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.5) -> Scorer:
+def _shares(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, trigram and its share of each text's trigrams."""
+    rows, cols, shares = [], [], []
+    for i, t in enumerate(texts):
+        tri = trigram_ids(np.frombuffer(t, np.uint8))
+        col, count = np.unique(tri, return_counts=True)
+        rows.append(np.full(len(col), i, np.int32))
+        cols.append(col.astype(np.int32))
+        shares.append((count / max(len(tri), 1)).astype(np.float32))
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(shares)
+
+
+def fit_scorer(texts: list[bytes], values: np.ndarray, n: np.ndarray, target: np.ndarray, rounds: int = 250, rate: float = 0.5) -> Scorer:
     """Logistic regression on posterior labels by full-batch gradients with a per-weight step."""
     docs = len(n)
     ids = bucket_ids(values, n)
-    tri = trigram_ids(b)
-    owner = np.searchsorted(at, np.arange(len(tri)), "right") - 1
-    inside = np.arange(len(tri)) + 3 <= at[owner + 1]
-    cell = owner[inside] * TRIGRAMS + tri[inside]
-    cell, count = np.unique(cell, return_counts=True)
-    row, col = cell // TRIGRAMS, cell % TRIGRAMS
-    share = count / np.maximum(np.diff(at) - 2, 1)[row]
+    row, col, share = _shares(texts)
     scorer = Scorer(np.zeros(BUCKETS), np.zeros(TRIGRAMS))
     seen = [np.full(BUCKETS, 1e-3), np.full(TRIGRAMS, 1e-6)]
     for _ in range(rounds):
@@ -218,11 +224,14 @@ def train(docs: DataFrame) -> tuple[LabelModel, Scorer]:
         size += len(texts[-1])
         if len(texts) >= 2 * SAMPLE_DOCS or size > SAMPLE_BYTES:
             break
-    b, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     if not len(texts):
         return model, Scorer(np.zeros(BUCKETS), np.zeros(TRIGRAMS))
-    values, count = measures(b, at)
-    return model, fit_scorer(b, at, values, count, model.posterior(votes(values, count)))
+    got = []
+    for i in range(0, len(texts), 200):
+        some = texts[i : i + 200]
+        got.append(measures(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])]).astype(np.int64)))
+    values, count = (np.concatenate(x) for x in zip(*got, strict=True))
+    return model, fit_scorer(texts, values, count, model.posterior(votes(values, count)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: LabelModel, scorer: Scorer, threshold: float) -> Iterator[pa.RecordBatch]:
