@@ -162,7 +162,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int, anchor: int, re
     for batch in slices(batches, "text"):
         b, at = utf8(batch.column(2))
         doc, start, count, a, s, first, stop = segments(b, at, length, anchor)
-        slot = (a.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        slot = a & ((1 << FILTER_BITS) - 1)
         keep = np.nonzero(_has(repeated, slot))[0]
         doc, start, count, a, s, first, stop, slot = (x[keep] for x in (doc, start, count, a, s, first, stop, slot))
         raw = b.tobytes()
@@ -244,9 +244,9 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 
 def _filter(anchors: DataFrame) -> np.ndarray:
-    """A bit for each anchor's leading bits: a table of fixed size, whatever the input."""
-    slot = F.shiftrightunsigned("anchor", 64 - FILTER_BITS)
-    words = anchors.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - FILTER_BITS}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    """A bit for each anchor's low bits (its high ones are small by choice): a table of fixed size, whatever the input."""
+    slot = F.col("anchor").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = anchors.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(anchor & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
     return out
