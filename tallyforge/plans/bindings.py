@@ -686,7 +686,7 @@ def eval_01(s, d):
 
 
 PICK_SQL = f"{RULES_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY hub_rank, CAST({ELIGIBLE} AS INTEGER) DESC, (last_visit IS NOT NULL) DESC, s_acctbal DESC, s_suppkey) AS nth FROM r WHERE {ELIGIBLE} OR {CAVEATS})"
-ORDER = ["hub_rank", F.desc("eligible") if False else "hub_rank"]
+
 
 
 def picked(s, d) -> DataFrame:
@@ -752,4 +752,4 @@ for key, (sql, build) in SIMPLE_RULES.items():
 @query("flt_11", f"{PICK_SQL} SELECT i.o_orderkey, k.o_orderkey IS NULL OR NOT coalesce(({ELIGIBLE}), false) AS needs_human FROM inc i LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) k ON i.o_orderkey = k.o_orderkey")
 def flt_11(s, d):
     inc = t(s, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-04-01'").select("o_orderkey", "o_custkey").join(t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").drop("o_custkey")
-    return inc.join(picked(s, d).select("o_orderkey", "eligible"), "o_orderkey", "left").select("o_orderkey", ~F.coalesce("eligible", F.lit(False)).alias("needs_human") if False else (~F.coalesce("eligible", F.lit(False))).alias("needs_human"))
+    return inc.join(picked(s, d).select("o_orderkey", "eligible"), "o_orderkey", "left").select("o_orderkey", (~F.coalesce("eligible", F.lit(False))).alias("needs_human"))
