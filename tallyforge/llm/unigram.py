@@ -116,21 +116,21 @@ class Pieces:
         A text falls into words, between which every path has a node; words are lattices of their own and are
         advanced together, one place a step. Ties go as in best().
         """
-        raw = "\0".join([*texts, ""]).encode()
-        b = np.frombuffer(raw + b"\0\0\0", np.uint8)
+        raw = b"\xff".join([*(t.encode() for t in texts), b""])  # a byte that UTF-8 lacks
+        b = np.frombuffer(raw + b"\xff\xff\xff", np.uint8)
         n = len(raw)
         char = np.nonzero((b[:n] & 0xC0) != 0x80)[0]
-        char = char[b[char] != 0]
+        char = char[b[char] != 0xFF]
         mark = np.zeros(n + 1, bool)
         mark[:n] = (b[:n] == 0xE2) & (b[1 : n + 1] == 0x96) & (b[2 : n + 2] == 0x81)
-        close = np.nonzero(b[:n] == 0)[0]
+        close = np.nonzero(b[:n] == 0xFF)[0]
         opens = np.zeros(n + 1, bool)  # a word starts here, or a text has ended
         opens[0] = True
         opens[close + 1] = True
         if self.splits:
             m = np.nonzero(mark)[0]
             opens[m[~((m >= 3) & mark[m - 3])]] = True
-        first = np.nonzero(opens[:n] & (b[:n] != 0))[0]
+        first = np.nonzero(opens[:n] & (b[:n] != 0xFF))[0]
         word = np.cumsum(_flags(n, first)) - 1
         edge_a, edge_b, edge_p = [], [], []
         start, state, at = char, np.zeros(len(char), np.int32), char.copy()
@@ -153,7 +153,7 @@ class Pieces:
         a, z, p = np.concatenate([a, char[missing]]), np.concatenate([z, char[missing] + size[missing]]), np.concatenate([p, np.full(int(missing.sum()), -1)])
         s = np.where(p >= 0, self.weight[p], self.worst)
         of = word[a]
-        out_of = opens[z] | (b[z] == 0)
+        out_of = opens[z] | (b[z] == 0xFF)
         node = np.where(out_of, n + of, z)
         step = a - first[of]
         order = np.argsort(step.astype(np.uint16) if len(step) and step.max() < 65536 else step, kind="stable")
