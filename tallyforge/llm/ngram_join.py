@@ -23,6 +23,8 @@ from .shingles import mix, shingle_sets
 SLOTS = 1 << 20
 #: Sets that a worker remembers to have sent already.
 SEEN = 1_000_000
+#: Rows of one token that are held before they go out with their leader.
+LONG = 1 << 16
 #: Rows of a bucket that are compared with the rest of it at once.
 BLOCK = 1024
 
@@ -99,22 +101,35 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, ran
 
 def _star(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by token, pos, n, node. Postings of tokens that several sets share pass on, each with its token's leader."""
+    names = ["token", "node", "n", "pos", "lead", "lead_n", "lead_pos"]
     carry: list[np.ndarray] | None = None
+    lead: list[np.ndarray] | None = None  # the leader of a token whose first rows have gone out
+
+    def follow(cols: list[np.ndarray], first: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [pa.array(np.full(len(cols[0]), c[0], c.dtype)) for c in first[1:]], names)
 
     def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
-        token, node, n, pos = cols
+        token = cols[0]
         first = np.ones(len(token), bool)
         first[1:] = token[1:] != token[:-1]
         group = np.cumsum(first) - 1
         shared = np.bincount(group)[group] > 1
-        token, node, n, pos, first, group = (x[shared] for x in (token, node, n, pos, first, group))
-        at = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0)) if len(token) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(n), pa.array(pos), pa.array(node[at]), pa.array(n[at]), pa.array(pos[at])], ["token", "node", "n", "pos", "lead", "lead_n", "lead_pos"])
+        cols, first = [c[shared] for c in cols], first[shared]
+        at = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0)) if len(first) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [pa.array(c[at]) for c in cols[1:]], names)
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if lead is not None and len(cols[0]):
+            more = int(np.searchsorted(cols[0] != lead[0][0], True))
+            if more:
+                yield follow([c[:more] for c in cols], lead)
+            if more < len(cols[0]):
+                lead = None
+            cols = [c[more:] for c in cols]
         if carry is not None:
             cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
+            carry = None
         token = cols[0]
         if not len(token):
             continue
@@ -122,6 +137,10 @@ def _star(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
         if last:
             yield emit([c[:last] for c in cols])
         carry = [c[last:] for c in cols]
+        if len(carry[0]) > LONG:
+            lead, carry = carry, None
+            yield follow(lead, lead)
+            lead = [c[:1].copy() for c in lead]
     if carry is not None and len(carry[0]):
         yield emit(carry)
 
