@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import core as c
 from tallyforge.operators import dedup, emit
-from tallyforge.plans import bindings
+from tallyforge.plans import bindings, more_bindings  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
