@@ -16,7 +16,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(2).localCheckpoint()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.createDataFrame(docs.collect(), docs.schema).repartition(2)
     kinds = docs.schema
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality classifier", "toxicity", "n-gram Jaccard join", "suffix-array dedup", "packing"]
