@@ -3,8 +3,8 @@
 Any two equal windows of `length` bytes hold the same anchor at the same place: the anchor-long string of the least hash in them.
 So a text falls into segments, one for each anchor and the window starts that choose it, and only segments of equal
 anchors can share a window. Equal segments are counted; different segments of one anchor are gathered in collections, whose shards
-are suffix-sorted apart and merged: the interleave of their transforms is refined symbol by symbol, blocks of suffixes with
-a common prefix split on the way, and the blocks left after `length` rounds are the repeated intervals.
+are suffix-sorted apart and merged: the interleave of their transforms is refined symbol by symbol (a symbol being several
+bytes), blocks of suffixes with a common prefix split on the way, and the blocks left after `length` bytes are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -59,52 +59,71 @@ def segments(b: np.ndarray, at: np.ndarray, length: int, anchor: int) -> tuple[n
     return doc[first], a - at[doc[first]], count, h[chosen[first]].view(np.int64), span_hash(sums, a, z).view(np.int64), a, z
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling; text: symbols with 0 as end mark, of which a later one counts as greater."""
-    rank = text.astype(np.int64)
-    ends = np.nonzero(text == 0)[0]
-    rank += len(ends)
-    rank[ends] = np.arange(len(ends))
-    n, step = len(text), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        key = rank * (n + 300 + len(ends))
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
-        if new[order[-1]] == n - 1:
-            return order
-        rank, step = new, step * 2
-        if step >= n:
-            return order
-
-
-def merge_blocks(shards: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, place in it, block) of all suffixes of a collection, in the order of their first `rounds` symbols.
+def _dense(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of ranks."""
+    return np.unique(first * np.int64(int(second.max()) + 1) + second, return_inverse=True)[1]
+
+
+def gram_ranks(text: np.ndarray, size: int) -> np.ndarray:
+    """For each place the rank of the size bytes from there on, counted round at the end: one wide symbol for them."""
+    now = min(size, 8)
+    ring = np.concatenate([text, text[: now - 1]]) if now > 1 else text
+    packed = np.zeros(len(text), np.uint64)
+    for k in range(now):
+        packed = packed << np.uint64(8) | ring[k : k + len(text)]
+    rank = np.unique(packed, return_inverse=True)[1]
+    while now < size:
+        step = min(now, size - now)
+        rank, now = _dense(rank, np.roll(rank, -step)), now + step
+    return rank
+
+
+def suffix_order(symbols: np.ndarray, wide: int, length: int) -> np.ndarray:
+    """Places of a shard in the order of their first `length` bytes, by prefix doubling over wide symbols."""
+    rank, now = symbols, wide
+    while now < length:
+        step = min(now, length - now)
+        rank, now = _dense(rank, np.roll(rank, -step)), now + step
+    return np.argsort(rank, kind="stable")
+
+
+def _by_symbol(symbol: np.ndarray) -> np.ndarray:
+    """A stable order by symbols below 2 ** 32: two passes of a counting sort."""
+    order = np.argsort((symbol & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (symbol >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+def merge_blocks(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, place in it, block) of all suffixes of a collection, in the order of their first `length` bytes.
 
     The shards' transforms are merged by refining their interleave: each round deals the shard numbers out by the symbol before
-    each suffix, stably, so that the order holds one symbol more. A block is a run of suffixes whose first symbols agree.
+    each suffix, stably, so that the order holds one symbol more. A block is a run of suffixes whose first symbols agree. A
+    symbol stands for as many bytes as divide the length, 40 at most, so that a few rounds do. A shard is read round at its end; what
+    crosses an end mark is of no use to the caller.
     """
-    arrays = [suffix_array(s) for s in shards]
-    transform = np.concatenate([s[a - 1] for s, a in zip(shards, arrays, strict=True)]).astype(np.uint8)
+    wide = max(w for w in range(1, 41) if length % w == 0)
+    # ranks of the wide symbols hold for all shards; each shard's ring is closed by itself
+    rings = [np.concatenate([s, np.resize(s, wide - 1)]) for s in shards]
+    starts = np.cumsum([0, *(len(r) for r in rings)])
+    everything = gram_ranks(np.concatenate(rings), wide)
+    symbols = [everything[i : i + len(s)] for i, s in zip(starts, shards, strict=False)]
+    arrays = [suffix_order(x, wide, length) for x in symbols]
+    transform = np.concatenate([x[a - wide] if len(x) >= wide else x[(a - wide) % len(x)] for x, a in zip(symbols, arrays, strict=True)]).astype(np.int32)
     sizes = [len(s) for s in shards]
     total = sum(sizes)
-    kind = np.uint8 if len(shards) <= 256 else np.uint16
-    which = np.repeat(np.arange(len(shards), dtype=kind), sizes)
+    which = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
     block = np.zeros(total, np.int32)
-    symbol = np.empty(total, np.uint8)
-    for _ in range(rounds):
+    symbol = np.empty(total, np.int32)
+    for _ in range(length // wide):
         symbol[np.argsort(which, kind="stable")] = transform
-        order = np.argsort(symbol, kind="stable")
+        order = _by_symbol(symbol)
         which, block, dealt = which[order], block[order], symbol[order]
         edge = np.empty(total, bool)
         edge[0] = False
         np.not_equal(block[1:], block[:-1], out=edge[1:])
         edge[1:] |= dealt[1:] != dealt[:-1]
         block = np.cumsum(edge, dtype=np.int32)
-        if block[-1] == total - 1:
-            break
     place = np.empty(total, np.int64)
     place[np.argsort(which, kind="stable")] = np.concatenate(arrays)
     return which, place, block
@@ -113,24 +132,17 @@ def merge_blocks(shards: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text the starts of its length-byte windows that occur at another start of the collection."""
     shards: list[np.ndarray] = []
-    held: list[np.ndarray] = []
     owner: list[list[tuple[int, int]]] = []  # by shard: text and its first place
+    held: list[bytes] = []
     size, mine = 0, []
-    table_of = np.zeros(256, np.uint8)
-    used = np.unique(np.frombuffer(b"".join(texts), np.uint8))
-    wide = len(used) > 255
-    table_of[used] = np.arange(len(used)) + (0 if wide else 1)
     for i, t in enumerate(texts):
-        x = table_of[np.frombuffer(t, np.uint8)]
         mine.append((i, size))
-        held += [x, np.zeros(1, np.uint8)]
-        size += len(x) + 1
+        held += [t, b"\xff"]  # an end mark that UTF-8 lacks
+        size += len(t) + 1
         if size >= SHARD or i == len(texts) - 1:
-            shards.append(np.concatenate(held))
+            shards.append(np.frombuffer(b"".join(held), np.uint8))
             owner.append(mine)
             held, mine, size = [], [], 0
-    if wide:
-        raise ValueError("UTF-8 text has unused bytes")
     which, place, block = merge_blocks(shards, length)
     many = np.bincount(block)[block] > 1
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
