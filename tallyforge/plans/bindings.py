@@ -636,11 +636,33 @@ RULES_SQL = """WITH inc AS (SELECT o_orderkey, o_orderdate, c_nationkey AS origi
       CASE WHEN NOT (month(o_orderdate) IN (11, 12, 1, 2) AND region IN (1, 3)) THEN 'NOT_APPLICABLE' WHEN max_a IS NULL OR date_diff('day', CAST(max_a AS DATE), CAST(o_orderdate AS DATE)) > 30 THEN 'PASS' ELSE 'FAIL' END AS r003 FROM v)"""
 
 
-def candidates(s, d) -> DataFrame:
-    """Incidents, their hubs in order, the suppliers there, and those suppliers' state as of the incident."""
+#: The incidents that the SQL of the queries names; NAME_all takes every order.
+URGENT = "o_orderpriority = '1-URGENT' and o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-04-01'"
+URGENT_SQL = """
+      WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-04-01'"""
+
+
+def incident_query(name: str, sql: str) -> Callable:
+    """Registers a query over the incidents that its SQL names, and as NAME_all, with the SQL less that filter, over every order."""
+
+    def add(f: Callable) -> Callable:
+        query(name, sql)(lambda s, d: f(s, d, URGENT))
+        query(f"{name}_all", sql.replace(URGENT_SQL, ""))(lambda s, d: f(s, d, None))
+        return f
+
+    return add
+
+
+def incidents(s, d, which: str | None) -> DataFrame:
+    o = t(s, d, "orders")
+    return o.filter(which) if which else o
+
+
+def candidates(s, d, which: str | None = None) -> DataFrame:
+    """Incidents (every order unless a filter is given), their hubs in order, the suppliers there, and those suppliers' state as of the incident."""
     from pyspark.sql import Window
 
-    o = t(s, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-04-01'")
+    o = incidents(s, d, which)
     n = t(s, d, "nation").select("n_nationkey", "n_regionkey")
     inc = o.join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     inc = inc.select("o_orderkey", "o_orderdate", F.col("c_nationkey").alias("origin"), F.col("n_regionkey").alias("region"), (F.col("o_orderkey") % 100 <= 50).alias("exclusive"), F.col("c_mktsegment").alias("client"))
@@ -662,8 +684,8 @@ def verdicts() -> dict[str, object]:
     }
 
 
-def judged(s, d) -> DataFrame:
-    v = candidates(s, d).withColumns(verdicts())
+def judged(s, d, which: str | None = None) -> DataFrame:
+    v = candidates(s, d, which).withColumns(verdicts())
     checks = [rules.result(f"R-{k[1:]}", F.col(k), True, derived=k == "r011") for k in ("r000", "r003", "r011", "r012")]
     e = rules.evaluate(checks)
     return v.withColumns({"eligible": e["eligible"], "caveats": e["caveats_only"], "blocking": e["blocking"], "unknown": e["unknown"]})
@@ -671,51 +693,51 @@ def judged(s, d) -> DataFrame:
 
 for key, rule in (("rule_000", "r000"), ("rule_003", "r003"), ("rule_011", "r011"), ("rule_012", "r012")):
 
-    @query(key, f"{RULES_SQL} SELECT o_orderkey, s_suppkey, {rule} AS verdict FROM r")
-    def rule_query(s, d, rule=rule):
-        return candidates(s, d).select("o_orderkey", "s_suppkey", verdicts()[rule].alias("verdict"))
+    @incident_query(key, f"{RULES_SQL} SELECT o_orderkey, s_suppkey, {rule} AS verdict FROM r")
+    def rule_query(s, d, which, rule=rule):
+        return candidates(s, d, which).select("o_orderkey", "s_suppkey", verdicts()[rule].alias("verdict"))
 
 
 ELIGIBLE = "r000 <> 'FAIL' AND r003 <> 'FAIL' AND r011 = 'PASS' AND r012 <> 'FAIL'"
 CAVEATS = "r000 <> 'FAIL' AND r003 <> 'FAIL' AND r011 = 'INSUFFICIENT_DATA' AND r012 <> 'FAIL'"
 
 
-@query("eval_01", f"{RULES_SQL} SELECT o_orderkey, s_suppkey, {ELIGIBLE} AS eligible, {CAVEATS} AS caveats, concat_ws(',', CASE WHEN r000 = 'FAIL' THEN 'R-000' END, CASE WHEN r003 = 'FAIL' THEN 'R-003' END, CASE WHEN r011 = 'FAIL' THEN 'R-011' END, CASE WHEN r012 = 'FAIL' THEN 'R-012' END) AS blocking FROM r")
-def eval_01(s, d):
-    return judged(s, d).select("o_orderkey", "s_suppkey", "eligible", "caveats", F.array_join("blocking", ",").alias("blocking"))
+@incident_query("eval_01", f"{RULES_SQL} SELECT o_orderkey, s_suppkey, {ELIGIBLE} AS eligible, {CAVEATS} AS caveats, concat_ws(',', CASE WHEN r000 = 'FAIL' THEN 'R-000' END, CASE WHEN r003 = 'FAIL' THEN 'R-003' END, CASE WHEN r011 = 'FAIL' THEN 'R-011' END, CASE WHEN r012 = 'FAIL' THEN 'R-012' END) AS blocking FROM r")
+def eval_01(s, d, which):
+    return judged(s, d, which).select("o_orderkey", "s_suppkey", "eligible", "caveats", F.array_join("blocking", ",").alias("blocking"))
 
 
 PICK_SQL = f"{RULES_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY hub_rank, CAST({ELIGIBLE} AS INTEGER) DESC, (last_visit IS NOT NULL) DESC, s_acctbal DESC, s_suppkey) AS nth FROM r WHERE {ELIGIBLE} OR {CAVEATS})"
 
 
 
-def picked(s, d) -> DataFrame:
+def picked(s, d, which: str | None = None) -> DataFrame:
     order = [F.col("hub_rank"), F.col("eligible").cast("int").desc(), F.col("last_visit").isNotNull().desc(), F.desc("s_acctbal"), F.col("s_suppkey")]
-    return select.pick(judged(s, d), ["o_orderkey"], F.col("eligible") | F.col("caveats"), order)
+    return select.pick(judged(s, d, which), ["o_orderkey"], F.col("eligible") | F.col("caveats"), order)
 
 
 for name in ("sel_01", "win_05", "sel_02", "join_09"):
 
-    @query(name, f"{PICK_SQL} SELECT o_orderkey, s_suppkey, hub AS from_hub, {ELIGIBLE} AS fully_eligible FROM ranked WHERE nth = 1")
-    def sel_01(s, d):
-        return picked(s, d).select("o_orderkey", "s_suppkey", F.col("hub").alias("from_hub"), F.col("eligible").alias("fully_eligible"))
+    @incident_query(name, f"{PICK_SQL} SELECT o_orderkey, s_suppkey, hub AS from_hub, {ELIGIBLE} AS fully_eligible FROM ranked WHERE nth = 1")
+    def sel_01(s, d, which):
+        return picked(s, d, which).select("o_orderkey", "s_suppkey", F.col("hub").alias("from_hub"), F.col("eligible").alias("fully_eligible"))
 
 
-@query("agg_09", f"{RULES_SQL} SELECT o_orderkey, hub, count(*)::BIGINT AS considered, count(*) FILTER ({ELIGIBLE})::BIGINT AS n_eligible, count(*) FILTER ({CAVEATS})::BIGINT AS n_caveats, count(*) FILTER (NOT ({ELIGIBLE}) AND NOT ({CAVEATS}))::BIGINT AS n_rejected FROM r GROUP BY 1, 2")
-def agg_09(s, d):
-    return select.tally(judged(s, d), ["o_orderkey", "hub"], F.col("eligible"), F.col("caveats"))
+@incident_query("agg_09", f"{RULES_SQL} SELECT o_orderkey, hub, count(*)::BIGINT AS considered, count(*) FILTER ({ELIGIBLE})::BIGINT AS n_eligible, count(*) FILTER ({CAVEATS})::BIGINT AS n_caveats, count(*) FILTER (NOT ({ELIGIBLE}) AND NOT ({CAVEATS}))::BIGINT AS n_rejected FROM r GROUP BY 1, 2")
+def agg_09(s, d, which):
+    return select.tally(judged(s, d, which), ["o_orderkey", "hub"], F.col("eligible"), F.col("caveats"))
 
 
-@query("agg_10", f"""{RULES_SQL}, x AS (SELECT o_orderkey, unnest(list_filter([CASE WHEN r000 = 'FAIL' THEN 'R-000' END, CASE WHEN r003 = 'FAIL' THEN 'R-003' END, CASE WHEN r011 IN ('FAIL', 'INSUFFICIENT_DATA') THEN 'R-011' END, CASE WHEN r012 = 'FAIL' THEN 'R-012' END], lambda c: c IS NOT NULL)) AS code FROM r)
+@incident_query("agg_10", f"""{RULES_SQL}, x AS (SELECT o_orderkey, unnest(list_filter([CASE WHEN r000 = 'FAIL' THEN 'R-000' END, CASE WHEN r003 = 'FAIL' THEN 'R-003' END, CASE WHEN r011 IN ('FAIL', 'INSUFFICIENT_DATA') THEN 'R-011' END, CASE WHEN r012 = 'FAIL' THEN 'R-012' END], lambda c: c IS NOT NULL)) AS code FROM r)
     SELECT o_orderkey, code, count(*)::BIGINT AS n FROM x GROUP BY 1, 2""")
-def agg_10(s, d):
-    return select.reasons(judged(s, d), ["o_orderkey"], F.array_union("blocking", "unknown"))
+def agg_10(s, d, which):
+    return select.reasons(judged(s, d, which), ["o_orderkey"], F.array_union("blocking", "unknown"))
 
 
-@query("sel_03", f"{PICK_SQL} SELECT DISTINCT o_orderkey FROM inc WHERE exclusive AND o_orderkey NOT IN (SELECT o_orderkey FROM ranked)")
-def sel_03(s, d):
-    all_ = t(s, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-04-01' and o_orderkey % 100 <= 50").select("o_orderkey")
-    return select.escalations(all_, picked(s, d), ["o_orderkey"])
+@incident_query("sel_03", f"{PICK_SQL} SELECT DISTINCT o_orderkey FROM inc WHERE exclusive AND o_orderkey NOT IN (SELECT o_orderkey FROM ranked)")
+def sel_03(s, d, which):
+    all_ = incidents(s, d, which).filter("o_orderkey % 100 <= 50").select("o_orderkey")
+    return select.escalations(all_, picked(s, d, which), ["o_orderkey"])
 
 
 @query("rule_010", "SELECT o_orderkey, o_orderkey % 100 <= 50 AS exclusive, CASE WHEN o_orderkey % 100 <= 50 THEN 'a' ELSE 'a,b,c' END AS hubs FROM orders")
@@ -749,7 +771,7 @@ for key, (sql, build) in SIMPLE_RULES.items():
         return t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", build().alias("verdict"))
 
 
-@query("flt_11", f"{PICK_SQL} SELECT i.o_orderkey, k.o_orderkey IS NULL OR NOT coalesce(({ELIGIBLE}), false) AS needs_human FROM inc i LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) k ON i.o_orderkey = k.o_orderkey")
-def flt_11(s, d):
-    inc = t(s, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-04-01'").select("o_orderkey", "o_custkey").join(t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").drop("o_custkey")
-    return inc.join(picked(s, d).select("o_orderkey", "eligible"), "o_orderkey", "left").select("o_orderkey", (~F.coalesce("eligible", F.lit(False))).alias("needs_human"))
+@incident_query("flt_11", f"{PICK_SQL} SELECT i.o_orderkey, k.o_orderkey IS NULL OR NOT coalesce(({ELIGIBLE}), false) AS needs_human FROM inc i LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) k ON i.o_orderkey = k.o_orderkey")
+def flt_11(s, d, which):
+    inc = incidents(s, d, which).select("o_orderkey", "o_custkey").join(t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").drop("o_custkey")
+    return inc.join(picked(s, d, which).select("o_orderkey", "eligible"), "o_orderkey", "left").select("o_orderkey", (~F.coalesce("eligible", F.lit(False))).alias("needs_human"))

@@ -12,7 +12,7 @@ from tallyforge.functions import core as c
 from tallyforge.operators import emit, reports, resolve, rules
 from tallyforge.sources import delimited, tickets
 
-from .bindings import FINGERPRINT, PICK_SQL, ELIGIBLE, RULES_SQL, TOKENS, judged, picked, query, t
+from .bindings import FINGERPRINT, PICK_SQL, ELIGIBLE, RULES_SQL, TOKENS, incident_query, incidents, judged, picked, query, t
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,11 +128,11 @@ def flt_09(s, d):
     return t(s, d, "orders").agg(F.count_if(F.col("o_orderstatus") != "F").alias("pending"), F.count_if(F.col("o_orderstatus") == "F").alias("sent"))
 
 
-@query("join_11", f"{RULES_SQL}, e AS (SELECT o_orderkey, hub, s_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY hub_rank, s_acctbal DESC, s_suppkey) AS nth FROM r WHERE {ELIGIBLE}) SELECT o_orderkey, hub, s_suppkey FROM e WHERE nth = 1")
-def join_11(s, d):
+@incident_query("join_11", f"{RULES_SQL}, e AS (SELECT o_orderkey, hub, s_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY hub_rank, s_acctbal DESC, s_suppkey) AS nth FROM r WHERE {ELIGIBLE}) SELECT o_orderkey, hub, s_suppkey FROM e WHERE nth = 1")
+def join_11(s, d, which):
     from tallyforge.operators.select import pick
 
-    return pick(judged(s, d), ["o_orderkey"], F.col("eligible"), [F.col("hub_rank"), F.desc("s_acctbal"), F.col("s_suppkey")]).select("o_orderkey", "hub", "s_suppkey")
+    return pick(judged(s, d, which), ["o_orderkey"], F.col("eligible"), [F.col("hub_rank"), F.desc("s_acctbal"), F.col("s_suppkey")]).select("o_orderkey", "hub", "s_suppkey")
 
 
 @query("join_13", "SELECT n_nationkey, array_to_string(list_sort(list(r_name)), ',') AS regions FROM nation JOIN region ON r_regionkey IN (n_regionkey, (n_regionkey + 1) % 5) GROUP BY 1")
@@ -246,10 +246,10 @@ def pii_02(s, d):
     return words.groupBy(c.preview("word").alias("preview")).agg(F.count("*").alias("n"))
 
 
-@query("dec_01", f"{PICK_SQL} SELECT i.o_orderkey, CASE WHEN k.o_orderkey IS NULL THEN 'ESCALATED_NO_VEHICLE' WHEN {ELIGIBLE} THEN 'DISPATCHED' ELSE 'DISPATCHED_WITH_CONSTRAINTS' END AS status, coalesce(k.s_suppkey, -1) AS s_suppkey FROM inc i LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) k ON i.o_orderkey = k.o_orderkey")
-def dec_01(s, d):
-    inc = t(s, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-04-01'").select("o_orderkey", "o_custkey").join(t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").drop("o_custkey")
-    out = inc.join(picked(s, d).select("o_orderkey", "eligible", "s_suppkey"), "o_orderkey", "left")
+@incident_query("dec_01", f"{PICK_SQL} SELECT i.o_orderkey, CASE WHEN k.o_orderkey IS NULL THEN 'ESCALATED_NO_VEHICLE' WHEN {ELIGIBLE} THEN 'DISPATCHED' ELSE 'DISPATCHED_WITH_CONSTRAINTS' END AS status, coalesce(k.s_suppkey, -1) AS s_suppkey FROM inc i LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) k ON i.o_orderkey = k.o_orderkey")
+def dec_01(s, d, which):
+    inc = incidents(s, d, which).select("o_orderkey", "o_custkey").join(t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").drop("o_custkey")
+    out = inc.join(picked(s, d, which).select("o_orderkey", "eligible", "s_suppkey"), "o_orderkey", "left")
     status = F.when(F.col("s_suppkey").isNull(), "ESCALATED_NO_VEHICLE").when(F.col("eligible"), "DISPATCHED").otherwise("DISPATCHED_WITH_CONSTRAINTS")
     return out.select("o_orderkey", status.alias("status"), F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"))
 
