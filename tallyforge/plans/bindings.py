@@ -449,11 +449,16 @@ def agg_01(s, d):
 
 @query("agg_02", """WITH l AS (SELECT o_custkey % 50 AS k, 'status' AS field, o_orderstatus AS value FROM orders WHERE o_custkey % 7 = 0 UNION ALL SELECT o_custkey % 50, 'priority', o_orderpriority FROM orders WHERE o_custkey % 7 = 0)
     SELECT k, field, count(DISTINCT value)::BIGINT AS n_values, array_to_string(list_sort(list(DISTINCT value)), '|') AS "values" FROM l GROUP BY 1, 2 HAVING count(DISTINCT value) > 1""")
-def agg_02(s, d):
-    rows = t(s, d, "orders").filter("o_custkey % 7 = 0").select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+def agg_02(s, d, which="o_custkey % 7 = 0"):
+    rows = t(s, d, "orders").filter(which).select((F.col("o_custkey") % 50).alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     return resolve.conflicts(rows, "k", ["status", "priority"])
 
 
+@query("agg_02_all", ORACLES["agg_02"].replace(" WHERE o_custkey % 7 = 0", ""))
+def agg_02_all(s, d):
+    return agg_02(s, d, "true")
+
+
 @query("agg_03", """SELECT l_suppkey, count(*)::BIGINT AS n_events, strftime(max(l_shipdate), '%Y-%m-%d') AS last_at, arg_max(l_quantity, (l_shipdate, l_quantity)) AS last_value FROM lineitem GROUP BY 1""")
 def agg_03(s, d):
     return resolve.event_rollup(t(s, d, "lineitem"), "l_suppkey", "l_shipdate", "l_quantity").withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd"))
@@ -612,14 +617,19 @@ def led_01(s, d):
 
 
 @query("led_02", "SELECT o_orderkey, o_orderkey % 4 = 0 OR o_orderkey % 6 = 0 AS sent, CASE WHEN o_orderkey % 4 = 0 THEN 'old' WHEN o_orderkey % 6 = 0 THEN 'new' END AS approved_by FROM orders WHERE o_orderkey % 2 = 0")
-def led_02(s, d):
-    o = t(s, d, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey")
+def led_02(s, d, which="o_orderkey % 2 = 0"):
+    o = t(s, d, "orders").filter(which).select("o_orderkey")
     old = F.col("o_orderkey") % 4 == 0
     acc = o.select("o_orderkey", *(F.when(old, v).alias(k) for k, v in (("approved_by", "old"), ("sent_at", "t0"), ("recipient", "r"), ("body", "b"))))
     approvals = o.filter("o_orderkey % 6 = 0").select("o_orderkey", F.lit("new").alias("approved_by"), F.lit("t1").alias("sent_at"), F.lit("r").alias("recipient"), F.lit("b").alias("body"))
     return ledger.mark_sent(acc, approvals, "o_orderkey").select("o_orderkey", "sent", "approved_by")
 
 
+@query("led_02_all", ORACLES["led_02"].replace(" WHERE o_orderkey % 2 = 0", ""))
+def led_02_all(s, d):
+    return led_02(s, d, "true")
+
+
 # ---- rules over orders and suppliers
 
 PARAMETERS = {"interval": 7, "grace": 3, "margin": 1, "fix_days": 7, "brake_days": 30}

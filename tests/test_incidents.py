@@ -22,3 +22,15 @@ def test_all_agrees_with_the_filtered_query(spark):
 def test_sql_of_all_has_no_filter():
     for name in FAMILY:
         assert "1-URGENT" in bindings.ORACLES[name] and "1-URGENT" not in bindings.ORACLES[f"{name}_all"]
+
+
+def test_conflicts_and_marks_cover_every_order(spark):
+    orders = [(r.o_orderkey, r.o_custkey % 50, r.o_orderstatus, r.o_orderpriority) for r in bindings.t(spark, SF, "orders").collect()]
+    seen = {}
+    for _, k, status, priority in orders:
+        seen.setdefault((k, "status"), set()).add(status)
+        seen.setdefault((k, "priority"), set()).add(priority)
+    want = {(k, f, len(v), "|".join(sorted(v))) for (k, f), v in seen.items() if len(v) > 1}
+    assert {(r["k"], r["field"], r["n_values"], r["values"]) for r in bindings.QUERIES["agg_02_all"](spark, SF).collect()} == want
+    by = {k: (k % 4 == 0 or k % 6 == 0, "old" if k % 4 == 0 else "new" if k % 6 == 0 else None) for k, *_ in orders}
+    assert {r.o_orderkey: (r.sent, r.approved_by) for r in bindings.QUERIES["led_02_all"](spark, SF).collect()} == by
