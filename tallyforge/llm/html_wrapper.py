@@ -25,6 +25,8 @@ EXEMPLARS = 5
 HALF = 60
 #: Deepest level that a tree keeps; what lies deeper hangs on that level.
 DEEPEST = 120
+#: Share of the text of the slot that a page has by itself below which what met the template's slot is not taken for the article.
+LEAST_SHARE = 0.5
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,10 +48,10 @@ HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\
 class Node:
     """An element; kids are nodes and, for text, strings."""
 
-    __slots__ = ("fixed", "kids", "marks", "slot", "tag")
+    __slots__ = ("fixed", "kids", "marks", "mass", "slot", "tag")
 
     def __init__(self, tag: str, marks: frozenset = frozenset()) -> None:
-        self.tag, self.marks, self.kids, self.fixed, self.slot = tag, marks, [], None, False
+        self.tag, self.marks, self.kids, self.fixed, self.slot, self.mass = tag, marks, [], None, False, 0
 
     def nodes(self) -> list[Node]:
         return [k for k in self.kids if not isinstance(k, str)]
@@ -164,7 +166,12 @@ def _list(node: Node) -> list[Node]:
     return kids if len(kids) <= 2 * HALF else kids[:HALF] + kids[-HALF:]
 
 
-def tree_match(a: Node, b: Node, memo: dict | None = None) -> int:
+def likeness(slot: Node, b: Node) -> float:
+    """What a template's slot, which has no children, adds to its match: equal marks count as a node, and more text (Node.mass) as less than one."""
+    return bool(slot.marks and slot.marks == b.marks) + b.mass / (b.mass + 1000)
+
+
+def tree_match(a: Node, b: Node, memo: dict | None = None) -> float:
     """Size of the largest order-preserving match of two trees whose roots correspond (simple tree matching)."""
     if a.tag != b.tag:
         return 0
@@ -179,7 +186,7 @@ def tree_match(a: Node, b: Node, memo: dict | None = None) -> int:
                 w = tree_match(p, q, memo) if p.tag == q.tag else 0
                 new.append(max(before[j + 1], new[j], before[j] + w))
             row = new
-        memo[key] = 1 + row[-1]
+        memo[key] = 1 + row[-1] + (likeness(a, b) if a.slot else 0)
     return memo[key]
 
 
@@ -216,7 +223,7 @@ def align(a: Node, b: Node, memo: dict | None = None) -> Iterator[tuple[Node, No
 def find_slot(root: Node, varying: set[int] | None = None) -> Node:
     """The node that holds the article: most text that is not marked otherwise, as deep as nearly all of that text stays in it.
 
-    Articles and mains go first. varying: ids of nodes whose text differs from page to page; None: any may.
+    Articles and mains go first. Sets the mass of what is not marked otherwise. varying: ids of nodes whose text differs from page to page; None: any may.
     """
     size: dict[int, int] = {}
     best: list[tuple[int, int, Node]] = []
@@ -227,7 +234,7 @@ def find_slot(root: Node, varying: set[int] | None = None) -> Node:
         for k in node.nodes():
             if not dropped(k, inside or kind > 0):
                 n += weigh(k, inside or kind > 0)
-        size[id(node)] = n
+        size[id(node)] = node.mass = n
         if kind:
             best.append((kind, n, node))
         return n
@@ -245,7 +252,7 @@ def find_slot(root: Node, varying: set[int] | None = None) -> Node:
 
 
 def induce(pages: list[str]) -> str:
-    """A host's template as JSON: a tree of [tag, text that all pages share or null, whether it is the slot, children]."""
+    """A host's template as JSON: a tree of [tag, text that all pages share or null, whether it is the slot, children, marks of the slot]."""
     trees = [parse(p) for p in pages]
     pivot = trees[0]
     same: dict[int, int] = {}
@@ -273,13 +280,13 @@ def induce(pages: list[str]) -> str:
     def dump(node: Node) -> list:
         kids = [] if node.slot else [dump(k) for k in _list(node) if id(k) in seen or k.slot or n < 1]
         text = own_text(node) if id(node) in fixed and not node.slot else ""
-        return [node.tag, text or None, int(node.slot), kids]
+        return [node.tag, text or None, int(node.slot), kids, sorted(node.marks) if node.slot else []]
 
     return json.dumps(dump(pivot), ensure_ascii=False, separators=(",", ":"))
 
 
 def load(raw: list) -> Node:
-    node = Node(raw[0])
+    node = Node(raw[0], frozenset(raw[4]))
     node.fixed, node.slot = raw[1], bool(raw[2])
     node.kids = [load(k) for k in raw[3]]
     return node
@@ -288,6 +295,7 @@ def load(raw: list) -> Node:
 def extract(html: str, template: Node | None) -> str:
     """Main text of one page by its host's template, if there is one."""
     tree = parse(html)
+    alone = find_slot(tree)
     root, fixed = None, set()
     if template is not None:
         for a, b in align(template, tree):
@@ -296,8 +304,8 @@ def extract(html: str, template: Node | None) -> str:
             elif a.fixed and a.fixed == own_text(b):
                 fixed.add(id(b))
     # a page without the slot, or whose slot holds little of its text, is judged alone
-    alone = find_slot(tree)
-    if root is None or (root is not alone and alone.tag in ("article", "main") and root.tag not in ("article", "main")):
+    held = lambda node: sum(map(len, blocks(node, fixed)))
+    if root is None or (root is not alone and ((alone.tag in ("article", "main") and root.tag not in ("article", "main")) or held(root) < LEAST_SHARE * held(alone))):
         root = alone
     marked = root.tag in ("article", "main") or bool(root.marks & MAIN_MARKS)
     out = " ".join(blocks(root, None if marked else fixed))
