@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import lookup_join, settle, table
 
-#: Pages of a host that its template is induced from: those with the smallest hash. Every page is then aligned.
+#: Different pages of a host that its template is induced from: those whose html has the smallest hash. Every page is then aligned.
 EXEMPLARS = 5
-#: Children of a node that are aligned one by one; of longer lists the first and the last HALF are.
-HALF = 60
+#: Pairs of children beyond which lists are aligned row by row in arrays, and pairs of which such a table is held at once.
+WIDE, HELD = 400, 1 << 22
 #: Deepest level that a tree keeps; what lies deeper hangs on that level.
 DEEPEST = 120
 #: Share of the text of the slot that a page has by itself below which what met the template's slot is not taken for the article.
@@ -46,12 +47,13 @@ HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\
 
 
 class Node:
-    """An element; kids are nodes and, for text, strings."""
+    """An element; kids are nodes and, for text, strings. shape: equal in nodes of a tree with equal tags throughout; holds: has the slot."""
 
-    __slots__ = ("fixed", "kids", "marks", "mass", "slot", "tag")
+    __slots__ = ("fixed", "holds", "kids", "marks", "mass", "shape", "slot", "tag")
 
     def __init__(self, tag: str, marks: frozenset = frozenset()) -> None:
         self.tag, self.marks, self.kids, self.fixed, self.slot, self.mass = tag, marks, [], None, False, 0
+        self.shape, self.holds = -1, False
 
     def nodes(self) -> list[Node]:
         return [k for k in self.kids if not isinstance(k, str)]
@@ -110,9 +112,19 @@ def parse(html: str) -> Node:
         stack[-1].kids.append(node)
         if tag not in VOID and not attrs.endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
+    number(root, {})
     return root
 
 
+def number(node: Node, known: dict) -> None:
+    """Sets shape and holds in a subtree."""
+    kids = node.nodes()
+    for k in kids:
+        number(k, known)
+    node.holds = node.slot or any(k.holds for k in kids)
+    node.shape = known.setdefault((node.tag, node.slot, tuple(k.shape for k in kids)), len(known))
+
+
 def dropped(node: Node, inside: bool) -> bool:
     """Whether a node is marked as something other than the article; inside: within the article."""
     if node.tag in DROPPED or (node.tag == "header" and not inside):
@@ -161,54 +173,72 @@ def own_text(node: Node) -> str:
     return _clean([k for k in node.kids if isinstance(k, str)])
 
 
-def _list(node: Node) -> list[Node]:
-    kids = node.nodes()
-    return kids if len(kids) <= 2 * HALF else kids[:HALF] + kids[-HALF:]
-
-
 def likeness(slot: Node, b: Node) -> float:
     """What a template's slot, which has no children, adds to its match: equal marks count as a node, and more text (Node.mass) as less than one."""
     return bool(slot.marks and slot.marks == b.marks) + b.mass / (b.mass + 1000)
 
 
+def _key(a: Node, b: Node) -> tuple[int, int]:
+    return a.shape, id(b) if a.holds else b.shape
+
+
 def tree_match(a: Node, b: Node, memo: dict | None = None) -> float:
     """Size of the largest order-preserving match of two trees whose roots correspond (simple tree matching)."""
     if a.tag != b.tag:
         return 0
     memo = {} if memo is None else memo
-    key = (id(a), id(b))
+    key = _key(a, b)
     if key not in memo:
-        x, y = _list(a), _list(b)
-        row = [0] * (len(y) + 1)
-        for p in x:
-            before, new = row, [0]
-            for j, q in enumerate(y):
-                w = tree_match(p, q, memo) if p.tag == q.tag else 0
-                new.append(max(before[j + 1], new[j], before[j] + w))
-            row = new
-        memo[key] = 1 + row[-1] + (likeness(a, b) if a.slot else 0)
+        row = None
+        for row, _ in _rows(a.nodes(), b.nodes(), memo):  # noqa: B007
+            pass
+        memo[key] = 1 + (row[-1] if row is not None else 0) + (likeness(a, b) if a.slot else 0)
     return memo[key]
 
 
-def align(a: Node, b: Node, memo: dict | None = None) -> Iterator[tuple[Node, Node]]:
-    """Corresponding nodes of the best match."""
-    memo = {} if memo is None else memo
-    if not tree_match(a, b, memo):
-        return
-    yield a, b
-    x, y = _list(a), _list(b)
-    if not x or not y:
+def _rows(x: list[Node], y: list[Node], memo: dict) -> Iterator[tuple]:
+    """For each node of x: the best sizes up to it and each of y, and what it adds with each of y. Whole lists, of any length."""
+    if len(x) * len(y) <= WIDE:
+        row = [0] * (len(y) + 1)
+        for p in x:
+            before, row, w = row, [0], [tree_match(p, q, memo) for q in y]
+            for j in range(len(y)):
+                row.append(max(before[j + 1], row[j], before[j] + w[j]))
+            yield row, w
         return
-    rows = [[0] * (len(y) + 1)]
+    first: dict[int, int] = {}
+    at = np.array([first.setdefault(q.shape, len(first)) for q in y])
+    one = list({q.shape: q for q in y}.values())
+    held: dict[int, np.ndarray] = {}
+    row = np.zeros(len(y) + 1)
     for p in x:
-        before, new = rows[-1], [0]
-        for j, q in enumerate(y):
-            w = memo.get((id(p), id(q)), 0) if p.tag == q.tag else 0
-            new.append(max(before[j + 1], new[j], before[j] + w))
-        rows.append(new)
+        if p.holds:
+            w = np.array([tree_match(p, q, memo) for q in y], float)
+        else:
+            if p.shape not in held:
+                held[p.shape] = np.array([tree_match(p, q, memo) for q in one], float)
+            w = held[p.shape][at]
+        row = np.concatenate([[0.0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))])
+        yield row, w
+
+
+def _pairs(x: list[Node], y: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """Pairs of the best match of two lists; a table too large to hold is cut where a best match passes its middle row."""
+    if not x or not y:
+        return []
+    if len(x) * len(y) > HELD and len(x) > 1:
+        half = len(x) // 2
+        for up, _ in _rows(x[:half], y, memo):  # noqa: B007
+            pass
+        for down, _ in _rows(x[half:][::-1], y[::-1], memo):  # noqa: B007
+            pass
+        cut = int(np.argmax(np.asarray(up) + np.asarray(down)[::-1]))
+        return _pairs(x[:half], y[:cut], memo) + _pairs(x[half:], y[cut:], memo)
+    found = list(_rows(x, y, memo))
+    rows = [[0] * (len(y) + 1), *(r for r, _ in found)]
     i, j, pairs = len(x), len(y), []
     while i and j:
-        w = memo.get((id(x[i - 1]), id(y[j - 1])), 0) if x[i - 1].tag == y[j - 1].tag else 0
+        w = found[i - 1][1][j - 1]
         if w and rows[i][j] == rows[i - 1][j - 1] + w:
             pairs.append((x[i - 1], y[j - 1]))
             i, j = i - 1, j - 1
@@ -216,7 +246,16 @@ def align(a: Node, b: Node, memo: dict | None = None) -> Iterator[tuple[Node, No
             i -= 1
         else:
             j -= 1
-    for p, q in reversed(pairs):
+    return pairs[::-1]
+
+
+def align(a: Node, b: Node, memo: dict | None = None) -> Iterator[tuple[Node, Node]]:
+    """Corresponding nodes of the best match."""
+    memo = {} if memo is None else memo
+    if not tree_match(a, b, memo):
+        return
+    yield a, b
+    for p, q in _pairs(a.nodes(), b.nodes(), memo):
         yield from align(p, q, memo)
 
 
@@ -251,8 +290,8 @@ def find_slot(root: Node, varying: set[int] | None = None) -> Node:
         node = down
 
 
-def induce(pages: list[str]) -> str:
-    """A host's template as JSON: a tree of [tag, text that all pages share or null, whether it is the slot, children, marks of the slot]."""
+def induce(pages: list[str]) -> str | None:
+    """A host's template as JSON, or None where no text varies among several pages: a tree of [tag, text that all pages share or null, whether it is the slot, children, marks of the slot]."""
     trees = [parse(p) for p in pages]
     pivot = trees[0]
     same: dict[int, int] = {}
@@ -274,11 +313,14 @@ def induce(pages: list[str]) -> str:
                 grow(k)
 
         grow(pivot)
+        texts = lambda node: [own_text(node), *(t for k in node.nodes() for t in texts(k))]
+        if len({tuple(texts(t)) for t in trees}) == 1:
+            return None
     slot = find_slot(pivot, varying)
     slot.slot = True
 
     def dump(node: Node) -> list:
-        kids = [] if node.slot else [dump(k) for k in _list(node) if id(k) in seen or k.slot or n < 1]
+        kids = [] if node.slot else [dump(k) for k in node.nodes() if id(k) in seen or k.slot or n < 1]
         text = own_text(node) if id(node) in fixed and not node.slot else ""
         return [node.tag, text or None, int(node.slot), kids, sorted(node.marks) if node.slot else []]
 
@@ -286,10 +328,15 @@ def induce(pages: list[str]) -> str:
 
 
 def load(raw: list) -> Node:
-    node = Node(raw[0], frozenset(raw[4]))
-    node.fixed, node.slot = raw[1], bool(raw[2])
-    node.kids = [load(k) for k in raw[3]]
-    return node
+    def node_of(part: list) -> Node:
+        node = Node(part[0], frozenset(part[4]))
+        node.fixed, node.slot = part[1], bool(part[2])
+        node.kids = [node_of(k) for k in part[3]]
+        return node
+
+    root = node_of(raw)
+    number(root, {})
+    return root
 
 
 def extract(html: str, template: Node | None) -> str:
@@ -336,13 +383,13 @@ def host_of(url: F.Column) -> F.Column:
 def extract_pages(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Templates come from at most `exemplars` pages a host (a bound on fitting only), every page is aligned. Pages
+    Templates come from at most `exemplars` different pages a host (a bound on fitting only), every page is aligned. Pages
     without host share the host ''. Null and empty html give empty text; broken markup is read as far as it goes. Equal pages of a
     host give equal texts, so repeated rows do. An empty table gives no rows; further columns are not read.
     """
     rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    order = F.xxhash64("page_id", "url", "html")
-    ranked = rows.filter("length(html) > 0").select("host", "page_id", order.alias("order"))
+    order = F.xxhash64("html")  # copies are one exemplar
+    ranked = rows.filter("length(html) > 0").select("host", "page_id", order.alias("order")).groupBy("host", "order").agg(F.min("page_id").alias("page_id"))
     ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("order", "page_id"))).filter(F.col("nth") <= exemplars)
     chosen = settle(ranked.select("host", "page_id", "order"))
     texts = lookup_join(rows.select("page_id", "html", order.alias("order")), chosen, ["page_id", "order"], "inner")
