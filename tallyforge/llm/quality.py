@@ -208,22 +208,29 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
 
+def sample(rows: DataFrame) -> list[bytes]:
+    """Different texts with the smallest hashes: at most 1.5 * SAMPLE_DOCS and, but for the first, SAMPLE_BYTES.
+
+    Texts over an eighth of these bytes come after all others. Copies count once and the order of rows does not matter: what is chosen
+    follows from hashes and lengths, before a text is read.
+    """
+    h, n = F.xxhash64("text"), F.octet_length("text")
+    hashed = rows.filter("text is not null").select("text", n.alias("n"), F.struct((n > SAMPLE_BYTES // 8).alias("long"), h.alias("h")).alias("place"))
+    keys = hashed.select("place.long", "place.h", "n").distinct().orderBy("long", "h").limit(int(1.5 * SAMPLE_DOCS)).toPandas()
+    if not len(keys):
+        return []
+    last = keys[(keys["n"].cumsum() <= SAMPLE_BYTES) | (keys.index == 0)].iloc[-1]
+    chosen = hashed.filter(F.col("place") <= F.struct(F.lit(bool(last["long"])).alias("long"), F.lit(int(last["h"])).cast("bigint").alias("h"))).dropDuplicates(["place"])
+    return [row.text.encode() for row in sorted(chosen.collect(), key=lambda r: tuple(r.place))]
+
+
 def train(docs: DataFrame) -> tuple[LabelModel, Scorer]:
-    """Label model from the vote patterns of all documents, scorer from a bounded sample of them (smallest hashes of text)."""
+    """Label model from the vote patterns of all documents, scorer from a bounded sample of their different texts (smallest hashes)."""
     rows = docs.select("text")
     found = rows.mapInArrow(_patterns, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3 ** len(LABELLERS)
     kinds = np.array(list(itertools.product(range(3), repeat=len(LABELLERS))), np.int8)[:, ::-1]
     model = expectation_maximisation(kinds[found["pattern"].to_numpy(int)], found["n"].to_numpy(float)) if len(found) else LabelModel(0.5, np.full((len(LABELLERS), 2, 2), 0.5))
-    h = F.xxhash64("text")
-    n = int(found["n"].sum()) if len(found) else 0
-    share = min(1.0, 1.5 * SAMPLE_DOCS / max(n, 1))
-    some = rows.filter("text is not null").filter(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    texts, size = [], 0
-    for row in some.toLocalIterator():
-        texts.append(row.text.encode())
-        size += len(texts[-1])
-        if len(texts) >= 2 * SAMPLE_DOCS or size > SAMPLE_BYTES:
-            break
+    texts = sample(rows)
     if not len(texts):
         return model, Scorer(np.zeros(BUCKETS), np.zeros(TRIGRAMS))
     got = []
