@@ -113,7 +113,8 @@ class Distances:
     def __init__(self, model: Model) -> None:
         import zstandard as zs
 
-        how = zs.ZstdCompressionParameters(window_log=15, hash_log=15, chain_log=14, search_log=5, min_match=MATCH, target_length=32, strategy=zs.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+        log = max(15, len(model.ordinary + model.weak + model.strong + LEAD).bit_length())  # the match tables hold whole dictionaries
+        how = zs.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log - 1, search_log=5, min_match=MATCH, target_length=32, strategy=zs.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
         made = [zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(model.ordinary + x + LEAD, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=how) for x in (b"", model.weak + model.strong, model.strong)]
         self.ordinary, self.toxic, self.strong = (x.compress for x in made)
         self.clean: set[str] = set()
@@ -177,7 +178,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
                 alike.add(raw[i:j])
                 i = j
             i += 1
-    model = Model("".join(reversed(common)).encode() + b"".join(sorted(alike)[:4096]), *contents)
+    model = Model("".join(reversed(common)).encode() + b"".join(sorted(alike)), *contents)
     measure = model.distances()
     cells = [Counter(), Counter()]
     for side, texts in enumerate((ordinary, toxic)):
