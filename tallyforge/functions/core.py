@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings of severities.
 SEVERITIES = {
@@ -24,14 +25,17 @@ NOTE_MARKERS = {
 }
 # Detectors of personal data, in the order in which they apply.
 DETECTORS = (
-    ("EMAIL", r"(?<![A-Za-z0-9_])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9_])"),
+    ("EMAIL", r"(?<![A-Za-z0-9_])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9_])"),
     ("AADHAAR", r"(?<![A-Za-z0-9_])\d{4}[ -]\d{4}[ -]\d{4}(?![A-Za-z0-9_])"),
     ("DL_NUMBER", r"(?i)(?<![A-Za-z0-9_])[A-Z]{2}[ -]?\d{2}[ -]\d{11}(?![A-Za-z0-9_])"),
     ("PHONE", r"\+?91[ -]?(?:\d{5}[ -]?\d{5}|\d{10})(?![A-Za-z0-9_])"),
     ("PHONE", r"(?<![\d.])[6-9]\d{9}(?![\d.])"),
 )
 # Words that say nothing about a document's subject.
-STOPWORDS = tuple("the a an and or to of in on for is are we our your please kindly as at be it this that with from by".split())
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "to", "of", "in", "on", "for", "is", "are", "we", "our", "your", "please", "kindly", "as", "at", "be", "it",
+    "this", "that", "with", "from", "by",
+)
 
 
 def _c(x: Column | str) -> Column:
@@ -143,16 +147,62 @@ def completeness(fields: Iterable[Column]) -> Column:
     return sum((F.when(f.isNotNull() & (f != ""), 1).otherwise(0) for f in fields), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def redact(x: Column | str, detectors: Iterable[tuple[str, str]] = DETECTORS, names: Iterable[str] = ()) -> Column:
     """STR-09, STR-11: struct(text, hits): masked text and the sorted kinds of what was masked, each tested on the running text."""
-    text, hits = _c(x), []
-    for kind, pattern in detectors:
-        hits.append(F.when(text.rlike(pattern), kind))
-        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+    steps = [(kind, pattern, f"[REDACTED:{kind}]") for kind, pattern in detectors]
     if mask := name_pattern(names):
-        hits.append(F.when(text.rlike(mask), "PERSON_NAME"))
-        text = F.regexp_replace(text, mask, "[REDACTED:PERSON]")
-    return F.struct(text.alias("text"), F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))).alias("hits"))
+        steps.append(("PERSON_NAME", mask, "[REDACTED:PERSON]"))
+
+    def run(text: Column, left: list[tuple[str, str, str]], hits: list[Column]) -> Column:
+        if not left:
+            return F.struct(text.alias("text"), F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))).alias("hits"))
+        kind, pattern, instead = left[0]
+        masked = F.regexp_replace(text, pattern, instead)
+        if kind == "EMAIL":
+            masked = F.when(text.contains("@"), masked).otherwise(text)
+        return let(masked, lambda after: run(after, left[1:], [*hits, F.when(after != text, kind)]))  # what is masked differs
+
+    return let(_c(x), lambda text: run(text, steps, []))
+
+
+def scrub_deep(x: Column, kind: T.DataType, names: Iterable[str] = ()) -> Column:
+    """STR-14: every text of a nested value, masked; keys and other values stay."""
+    if isinstance(kind, T.StringType):
+        return redact(x, names=names)["text"]
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: scrub_deep(v, kind.elementType, names))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: scrub_deep(v, kind.valueType, names))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*(scrub_deep(x[f.name], f.dataType, names).alias(f.name) for f in kind.fields)))
+    return x
+
+
+def html_escape(x: Column | str) -> Column:
+    """STR-15."""
+    out = _c(x)
+    for plain, instead in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(plain), F.lit(instead))
+    return out
+
+
+def xml_unescape(x: Column | str) -> Column:
+    """STR-16: the five named entities; the ampersand last, so nothing is decoded twice."""
+    out = _c(x)
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(plain))
+    return out
+
+
+def column_index(ref: Column | str) -> Column:
+    """STR-16: the column of a cell reference, A1 being 0."""
+    letters = F.split(F.upper(F.regexp_extract(_c(ref), "^[A-Za-z]+", 0)), "")
+    return F.aggregate(letters, F.lit(0), lambda n, ch: F.when(ch == "", n).otherwise(n * 26 + F.ascii(ch) - 64)) - 1
 
 
 def name_pattern(names: Iterable[str]) -> str:

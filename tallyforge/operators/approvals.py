@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ledger import Ledger, mark_sent
+from .ledger import Ledger, accepted_now
 
 
 def approve_one(ledger: Ledger, key: str, value: str, approved_by: str, sent_at: str) -> str:
-    """LED-04: not_found, no_message, already_sent or ok; only ok changes the ledger."""
-    accepted = ledger.load("accepted")
-    row = accepted.filter(F.col(key) == value).first()
+    """LED-04: not_found, no_message, already_sent or ok; only ok changes the ledger, by one appended row."""
+    accepted = accepted_now(ledger, key)
+    row = accepted.filter(F.col(key) == value).first() if accepted is not None else None
     if row is None:
         return "not_found"
     if "mailbox" in accepted.columns and row["mailbox"] is None:
@@ -21,14 +21,14 @@ def approve_one(ledger: Ledger, key: str, value: str, approved_by: str, sent_at:
     if "sent" in accepted.columns and row["sent"]:
         return "already_sent"
     approvals = accepted.sparkSession.createDataFrame([(value, approved_by, sent_at, row["mailbox"] if "mailbox" in accepted.columns else None, None)], f"{key} string, approved_by string, sent_at string, recipient string, body string")
-    ledger.save(accepted=mark_sent(accepted, approvals, key), quarantine=ledger.load("quarantine"))
+    ledger.append(approvals=approvals)
     return "ok"
 
 
-def approval_session(pending: DataFrame, answer: Callable[[object], str], approved_by: str, sent_at: str, most: int = 1000) -> DataFrame:
-    """LED-03: ask for each pending message, in order, y, N or s (stop); gives the approvals. A person answers, so at most `most` are shown."""
+def approval_session(pending: DataFrame, answer: Callable[[object], str], approved_by: str, sent_at: str) -> DataFrame:
+    """LED-03: ask for each pending message, in order, y, N or s (stop); gives the approvals. A person answers, so rows come one by one, and nothing ends the session but s or the last row."""
     given = []
-    for row in pending.orderBy("ticket_id").limit(most).toLocalIterator():
+    for row in pending.orderBy("ticket_id").toLocalIterator():
         said = answer(row).strip().lower()
         if said == "s":
             break

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.scratch import settle
+
 
 def best_record(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """WIN-04, LIM-02: the first row of each key in order; a limit by group runs before the shuffle."""
@@ -20,44 +22,47 @@ def group_stats(rows: DataFrame, key: str, content: Column, fields: Sequence[str
     return rows.groupBy(key).agg(F.count("*").alias("occurrences"), F.count_distinct(content).alias("n_contents"), F.array_join(F.array_compact(F.array(*differ)), ",").alias("differing"))
 
 
-def near_pairs(rows: DataFrame, block: str, id_col: str, tokens: str, threshold: float) -> DataFrame:
-    """JOIN-15: pairs of a block with Jaccard similarity at the threshold, by prefix filtering.
+def near_pairs(rows: DataFrame, block: str, id_col: str, tokens: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """JOIN-15: (pairs, members): pairs of a block's different token sets with Jaccard similarity at the threshold, by prefix filtering, and (id, rep) of every row.
 
-    Tokens are ordered rare first; only rows that share a token of both prefixes meet, so a block is never paired with itself.
+    Sets are told apart by the hashes of their tokens and named by their smallest id, so a group of copies meets nobody else more than once. Tokens
+    are ordered rare first; only sets that share a token of both prefixes meet, so a block is never paired with itself; sets are made once,
+    and each pair is verified once. Rows without tokens stand alone.
     """
-    sized = rows.select(block, id_col, tokens, F.size(tokens).alias("n")).filter("n > 0")
-    words = sized.select(block, id_col, F.explode(tokens).alias("token"))
-    frequency = words.groupBy(block, "token").agg(F.count("*").alias("df"))
-    ranked = words.join(frequency, [block, "token"]).groupBy(block, id_col).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
-    short = F.slice("order", 1, F.size("order") - F.ceil(F.lit(threshold) * F.size("order") - 1e-9).cast("int") + 1)
-    prefix = ranked.select(block, id_col, F.explode(short).alias("x")).select(block, id_col, "x.token")
-    prefix = prefix.join(sized.select(block, id_col, "n"), [block, id_col])
+    own = settle(rows.select(block, F.col(id_col).alias("id"), F.array_sort(F.transform(tokens, lambda x: F.xxhash64(x))).alias("hashes")))
+    classes = settle(own.filter(F.size("hashes") > 0).groupBy(block, "hashes").agg(F.min("id").alias("rep")))
+    members = own.join(classes, [block, "hashes"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    words = classes.select(block, "rep", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
+    frequency = words.groupBy(block, "token").agg(F.count("*").alias("df")).filter("df > 1")  # what one set has alone cannot bring it together with another
+    ranked = words.join(frequency, [block, "token"], "left").groupBy(block, "rep", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("order"))
+    short = F.slice("order", 1, F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)
+    prefix = settle(ranked.select(block, "rep", "n", F.explode(short).alias("x")).filter("x.df > 1").select(block, "rep", "n", "x.token"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    met = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.token") == F.col("b.token")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9))
-    pairs = met.select(F.col(f"a.{id_col}").alias("id_a"), F.col(f"b.{id_col}").alias("id_b")).distinct()
-    x, y = (sized.select(F.col(id_col).alias(f"id_{s}"), F.col(tokens).alias(f"t_{s}")) for s in "ab")
+    met = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9))
+    pairs = met.select(F.col("a.rep").alias("id_a"), F.col("b.rep").alias("id_b")).distinct()
+    x, y = (classes.select(F.col("rep").alias(f"id_{s}"), F.col("hashes").alias(f"t_{s}")) for s in "ab")
     both = F.size(F.array_intersect("t_a", "t_b"))
-    score = both / (F.size("t_a") + F.size("t_b") - both)
-    return pairs.join(x, "id_a").join(y, "id_b").withColumn("similarity", score).filter(score >= threshold).select("id_a", "id_b", "similarity")
+    scored = pairs.join(x, "id_a").join(y, "id_b").withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("t_a") + F.size("t_b") - F.col("both")))
+    return scored.filter(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity"), members
 
 
-def leader_clusters(rows: DataFrame, block: str, id_col: str, pairs: DataFrame) -> DataFrame:
-    """DUP-02: greedy clusters: in id order each row joins the first leader it is near to, or leads a cluster itself.
+def leader_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """DUP-02: (id, leader): greedy clusters: in id order each row joins the first leader it is near to, or leads a cluster itself.
 
-    Only rows with a near pair are gathered, by block; all others lead themselves.
+    Decided in rounds over the pairs of representatives: who has no smaller undecided neighbour and no leader among the smaller ones leads;
+    who has a leader among them follows the smallest. Copies go with their representative. Nothing is gathered by block or component.
     """
-    import pandas as pd
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(pdf["id_a"], pdf["id_b"], strict=True):
-            near.setdefault(b, []).append(a)
-        leads: dict = {}
-        for i in sorted(set(pdf["id_a"]) | set(pdf["id_b"])):
-            first = min((a for a in near.get(i, ()) if leads[a] == a), default=i)
-            leads[i] = first
-        return pd.DataFrame({"id": list(leads), "leader": list(leads.values())})
-
-    kind = dict(rows.dtypes)[id_col]
-    grouped = pairs.join(rows.select(F.col(id_col).alias("id_a"), block), "id_a").groupBy(block).applyInPandas(run, f"id {kind}, leader {kind}")
-    return rows.select(id_col).join(grouped, F.col(id_col) == F.col("id"), "left").select(id_col, F.coalesce("leader", id_col).alias("leader"))
+    near = settle(pairs.select("id_a", "id_b"))
+    nodes = near.select(F.col("id_a").alias("id")).unionByName(near.select(F.col("id_b").alias("id"))).distinct()
+    kind = dict(near.dtypes)["id_a"]
+    state = settle(nodes.select("id", F.lit(None).cast(kind).alias("leader")))
+    while not state.filter("leader is null").isEmpty():
+        smaller = near.join(state.select(F.col("id").alias("id_a"), F.col("leader").alias("of_a")), "id_a")
+        seen = smaller.groupBy(F.col("id_b").alias("id")).agg(F.min(F.when(F.col("of_a") == F.col("id_a"), F.col("id_a"))).alias("first"), F.bool_or(F.col("of_a").isNull()).alias("waits"), F.min(F.when(F.col("of_a").isNull(), F.col("id_a"))).alias("open"))
+        state = state.join(seen, "id", "left")
+        # a leader that is smaller than every neighbour still open is the first one for good
+        follows = F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("first") < F.col("open")))
+        decided = F.when(follows, F.col("first")).when(F.col("first").isNull() & ~F.coalesce("waits", F.lit(False)), F.col("id"))
+        state = settle(state.select("id", F.coalesce("leader", decided).alias("leader")))
+    led = members.join(state.select(F.col("id").alias("rep"), "leader"), "rep", "left")
+    return led.select("id", F.coalesce("leader", "rep").alias("leader"))

@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+from tallyforge.scratch import file_system, put_text
+
+SCHEMA_VERSION = 2
 
 
 class LedgerError(RuntimeError):
@@ -37,45 +39,79 @@ def mark_sent(accepted: DataFrame, approvals: DataFrame, key: str) -> DataFrame:
     return out.withColumn("sent", F.col("sent_at").isNotNull())
 
 
+def pending(accepted: DataFrame) -> DataFrame:
+    """FLT-09: rows that are not sent."""
+    return accepted.filter(~F.coalesce("sent", F.lit(False)))
+
+
+def sent(accepted: DataFrame) -> DataFrame:
+    """FLT-09: rows that are sent."""
+    return accepted.filter(F.coalesce("sent", F.lit(False)))
+
+
+def incident_seeds(accepted: DataFrame) -> DataFrame:
+    """PRJ-19: accepted rows as earlier incidents, for the rules that look back."""
+    return accepted.select("ticket_id", "client", F.col("created_iso").alias("at"), F.col("vehicle_key").alias("reg_key"), "citation")
+
+
 @dataclass
 class Ledger:
-    """SNK-06: tables of a folder; a pointer row, replaced last, names the snapshot that counts."""
+    """SNK-06: tables of a folder. A pointer, replaced in one step, names the snapshot and the parts appended to it that count."""
 
     spark: SparkSession
     path: str
 
-    def _fs(self, name: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def current(self) -> str | None:
-        fs, where = self._fs("CURRENT")
+    def current(self) -> dict | None:
+        fs, where = file_system(self.spark, f"{self.path}/CURRENT")
         if not fs.exists(where):
             return None
         said = json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
         if said["schema_version"] != SCHEMA_VERSION:
             raise LedgerError(f"snapshot of schema {said['schema_version']}, not {SCHEMA_VERSION}")
-        return said["snapshot"]
+        return said
 
     def load(self, name: str) -> DataFrame | None:
-        snapshot = self.current()
-        return self.spark.read.parquet(f"{self.path}/{snapshot}/{name}") if snapshot else None
+        said = self.current()
+        places = [p for p in (said["snapshot"], *said.get("parts", ())) if name in said["tables"][p]] if said else []
+        return self.spark.read.option("mergeSchema", len(places) > 1).parquet(*(f"{self.path}/{p}/{name}" for p in places)) if places else None
 
-    def save(self, **tables: DataFrame) -> str:
-        """Write a new snapshot whole, then point to it."""
-        snapshot = f"snapshot-{uuid.uuid4().hex}"
+    def _write(self, tables: dict[str, DataFrame]) -> str:
+        place = f"snapshot-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{snapshot}/{name}")
-        fs, where = self._fs("CURRENT")
-        _, fresh = self._fs(f".{snapshot}.tmp")
-        out = fs.create(fresh)
-        out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "snapshot": snapshot}).encode()))
-        out.close()
-        fs.delete(where, True)
-        fs.rename(fresh, where)
-        return snapshot
+            df.write.parquet(f"{self.path}/{place}/{name}")
+        return place
+
+    def _point(self, said: dict) -> None:
+        put_text(self.spark, f"{self.path}/CURRENT", json.dumps({"schema_version": SCHEMA_VERSION} | said))
+
+    def save(self, **tables: DataFrame) -> str:
+        """Write a new snapshot whole, point to it, and remove what no pointer has named since the last one."""
+        before = self.current()
+        place = self._write(tables)
+        self._point({"snapshot": place, "parts": [], "tables": {place: sorted(tables)}, "old": [before["snapshot"], *before.get("parts", ())] if before else []})
+        for gone in before.get("old", ()) if before else ():  # readers of the last pointer may still be at work on its files
+            fs, where = file_system(self.spark, f"{self.path}/{gone}")
+            fs.delete(where, True)
+        return place
+
+    def append(self, **tables: DataFrame) -> str:
+        """Add rows to tables at a cost that follows the rows, not the ledger; the first call makes a snapshot."""
+        said = self.current()
+        if said is None:
+            return self.save(**tables)
+        place = self._write(tables)
+        self._point(said | {"parts": [*said.get("parts", ()), place], "tables": said["tables"] | {place: sorted(tables)}})
+        return place
 
     def reset(self) -> None:
-        fs, where = self._fs("CURRENT")
+        fs, where = file_system(self.spark, f"{self.path}/CURRENT")
         fs.delete(where, True)
+
+
+def accepted_now(ledger: Ledger, key: str) -> DataFrame | None:
+    """Accepted rows with the approvals that were appended since; of several approvals of a row the first stays."""
+    accepted, given = ledger.load("accepted"), ledger.load("approvals")
+    if accepted is None or given is None:
+        return accepted
+    order = F.struct("sent_at", "approved_by")
+    return mark_sent(accepted, given.groupBy(key).agg(*(F.min_by(c, order).alias(c) for c in ("approved_by", "recipient", "body")), F.min("sent_at").alias("sent_at")), key)

@@ -44,18 +44,25 @@ def regressions(events: DataFrame, key: str, order: Sequence[str], value: str) -
     return events.filter(F.col(value).isNotNull()).withColumn("previous", F.lag(value).over(w)).filter(F.col(value) < F.col("previous"))
 
 
-def as_of_state(probes: DataFrame, events: DataFrame, key: str, probe_at: str, event_at: str, facts: dict[str, Column]) -> DataFrame:
+def as_of_state(probes: DataFrame, events: DataFrame, key: str, probe_at: str, event_at: str, facts: dict[str, Column], slice_: str = "month") -> DataFrame:
     """JOIN-07: for each probe, the latest time not after it at which each fact held, by key.
 
-    Union and window: one shuffle by key and one sort, linear in both sides, where a range join would grow with their product.
-    facts: conditions on event columns by result name.
+    Linear in both sides, where a range join would grow with their product, and no task holds a whole key: events are summed
+    up by key and slice of time, running maxima over those sums tell what a slice starts with, and within a slice a window over
+    probes and events does the rest. facts: conditions on event columns by result name; slice_: a unit of date_trunc.
     """
-    left = probes.withColumns({"__at": F.col(probe_at), "__probe": F.lit(1), **{f"__{k}": F.lit(None).cast("timestamp") for k in facts}})
-    right = events.select(key, F.col(event_at).alias("__at"), F.lit(0).alias("__probe"), *(F.when(c, F.col(event_at)).cast("timestamp").alias(f"__{k}") for k, c in facts.items()))
-    w = Window.partitionBy(key).orderBy("__at", "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True)
-    seen = both.withColumns({k: F.max(f"__{k}").over(w) for k in facts}).filter("__probe = 1")
-    return seen.select(*probes.columns, *facts)
+    cut = lambda c: F.coalesce(F.date_trunc(slice_, c), F.lit("0001-01-01").cast("timestamp"))
+    values = {k: F.when(c, F.col(event_at)).cast("timestamp") for k, c in facts.items()}
+    right = events.select(key, F.col(event_at).cast("timestamp").alias("__at"), F.lit(0).alias("__probe"), *(v.alias(f"__{k}") for k, v in values.items()))
+    left = probes.withColumns({"__at": F.col(probe_at).cast("timestamp"), "__probe": F.lit(1), **{f"__{k}": F.lit(None).cast("timestamp") for k in facts}})
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("__slice", cut(F.col("__at")))
+    sums = both.groupBy(key, "__slice").agg(*(F.max(f"__{k}").alias(f"__s_{k}") for k in facts))  # a row a key and slice
+    earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col(key).alias("__key"), F.col("__slice").alias("__from"), *(F.max(f"__s_{k}").over(earlier).alias(f"__c_{k}") for k in facts))
+    w = Window.partitionBy(key, "__slice").orderBy("__at", "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({f"__w_{k}": F.max(f"__{k}").over(w) for k in facts}).filter("__probe = 1")
+    out = seen.join(starts, seen[key].eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__from")), "left")
+    return out.select(*probes.columns, *(F.greatest(f"__w_{k}", f"__c_{k}").alias(k) for k in facts))
 
 
 def prior_events(probes: DataFrame, key: Sequence[str], at: str, id_col: str) -> DataFrame:
@@ -67,3 +74,23 @@ def prior_events(probes: DataFrame, key: Sequence[str], at: str, id_col: str) ->
     n = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - 1
     last = F.lag(id_col).over(Window.partitionBy(*key).orderBy(at, id_col))
     return probes.withColumns({"n_prior": n, "last_prior": last})
+
+
+def global_rank(rows: DataFrame, order: str, place: str) -> DataFrame:
+    """SRT-02: rows with their place in the order of a column, binary and from 1: a range sort, and counts of the ranges before; no task sees all rows.
+
+    Equal values get their places in any order.
+    """
+    from tallyforge.scratch import settle
+
+    ranged = settle(rows.repartitionByRange(order).withColumn("__range", F.spark_partition_id()))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))  # a row a range
+    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return ranged.join(F.broadcast(before), "__range").select(*rows.columns, (F.col("__before") + nth).cast("bigint").alias(place))
+
+
+def event_sequence(events: DataFrame, key: str, when: str, citation: Column) -> DataFrame:
+    """WIN-01: events with their place by date, those without one first, and citation."""
+    order = F.coalesce(F.date_format(when, "yyyy-MM-dd"), F.lit(""))
+    return events.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order, citation)).cast("bigint"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.core import prefixed_id, reg_key
 from tallyforge.operators import emit, resolve, rules, select, validate
-from tallyforge.operators.ledger import Ledger, merge, new_rows
+from tallyforge.operators.ledger import Ledger, accepted_now, merge, new_rows
 
 
 @dataclass
@@ -52,6 +52,16 @@ class Context:
         return spark.createDataFrame(rows, "client string, sla_hours int, mailbox string")
 
 
+def build_context(fleet: DataFrame, maintenance: DataFrame, distances: DataFrame, drivers: DataFrame, rulebook: Rulebook) -> tuple[Context, DataFrame]:
+    """CTX-01: (context, conflicts) from the registers: rows of one vehicle are merged, that with a vehicle_id first and then by citation, with its workshop history and open temporary fix."""
+    fields = ["vehicle_id", "model", "year", "bs_stage", "engine_heater", "home_hub", "capacity_tonnes", "status"]
+    merged = resolve.merge_with_precedence(fleet, "reg_key", [F.col("vehicle_id").isNull().cast("int"), F.col("citation")], fields)
+    history = resolve.event_rollup(maintenance, "reg_key", "date", "odometer_km").withColumnsRenamed({"last_at": "last_visit", "last_value": "odometer_km"})
+    state = resolve.open_state(maintenance, "reg_key", ["date", "citation"], F.col("jugaad"), F.col("permanent_repair"))
+    vehicles = merged.join(history, "reg_key", "left").join(state, "reg_key", "left").fillna({"is_open": False, "n_events": 0})
+    return Context(vehicles, maintenance, distances, drivers, rulebook), resolve.conflicts(fleet, "reg_key", fields)
+
+
 def _region(book: Rulebook, name: str) -> Column:
     return rules.touches(F.col("origin_hub"), F.col("destination"), book.regions.get(name, ["\0"]))
 
@@ -111,7 +121,7 @@ def decide(ctx: Context, accepted: DataFrame) -> DataFrame:
     out = plan_checks(ctx, base).join(chosen, "ticket_id", "left")
     failed = F.array_contains(F.array("r005", "r008", "r013"), "FAIL")
     out = out.withColumn("needs_human", F.col("replacement").isNull() | failed | F.coalesce(F.size("replacement.unknowns") > 0, F.lit(False)))
-    status = F.when(F.col("replacement").isNull(), "ESCALATED_NO_VEHICLE").when(F.col("needs_human"), "DISPATCHED_WITH_CONSTRAINTS").otherwise("DISPATCHED")
+    status = emit.work_order_status(F.col("replacement").isNotNull(), F.col("needs_human"))
     return out.withColumns({"status": status, "work_order_id": prefixed_id("WO-", "wo", F.col("ticket_id")), "message_id": prefixed_id("MSG-", "msg", F.col("ticket_id"))})
 
 
@@ -119,22 +129,25 @@ def run_batch(ctx: Context, tickets: DataFrame, ledger: Ledger) -> Ledger:
     """LED-01: validate, decide only what is new, merge, save. What was decided before stays as it was."""
     seen = validate.validate_batch(tickets, ctx.vehicles, ctx.hubs(), ctx.drivers, ctx.clients())
     good, bad = seen.filter("accepted"), seen.filter("not accepted")
-    old_a, old_q = ledger.load("accepted"), ledger.load("quarantine")
+    old_a, old_q = accepted_now(ledger, "ticket_id"), ledger.load("quarantine")
     fresh = decide(ctx, good if old_a is None else new_rows(good, old_a, "ticket_id"))
-    held = bad.select(F.col("batch_id").alias("ticket_id"), "reason_codes", "finding_codes", "remediation", "occurrences", "citation")
+    held = validate.quarantine_records(bad, F.col("raw"), F.col("citation")).drop("ticket_id").withColumnRenamed("quarantine_id", "ticket_id")
     merged, rest = merge(fresh.limit(0) if old_a is None else old_a, held.limit(0) if old_q is None else old_q, fresh, held, "ticket_id")
     ledger.save(accepted=merged, quarantine=rest)
     return ledger
 
 
 def outputs(ctx: Context, ledger: Ledger) -> dict[str, tuple[DataFrame, str]]:
-    """EMT-01..04: work orders, pending messages, quarantine, audit, each with the key it is ordered by."""
-    acc, held = ledger.load("accepted"), ledger.load("quarantine")
+    """EMT-01..04: work orders, pending and sent messages, quarantine, audit, each with the key it is ordered by."""
+    acc, held = accepted_now(ledger, "ticket_id"), ledger.load("quarantine")
+    for name, kind in (("sent", "boolean"), ("recipient", "string"), ("body", "string"), ("approved_by", "string"), ("sent_at", "string")):
+        if name not in acc.columns:
+            acc = acc.withColumn(name, F.lit(None).cast(kind))
     orders = acc.select("work_order_id", "ticket_id", F.col("vehicle_key").alias("vehicle_reg"), F.col("created_iso").alias("created_at"), "client", "severity", "issue", "origin_hub", "destination", F.col("replacement.reg_key").alias("replacement"), F.col("replacement.from_hub").alias("from_hub"), "status", F.col("needs_human").alias("needs_human_review"))
     lines = [F.concat(F.lit("Service update, ticket "), F.col("ticket_id")), F.lit(""), F.concat(F.lit("Vehicle "), F.col("vehicle_key"), F.lit(" is out of service.")), F.when(F.col("replacement").isNotNull(), F.concat(F.lit("A replacement comes from "), F.col("replacement.from_hub"), F.lit("."))).otherwise("A replacement is being arranged."), F.when(F.col("r005") == "FAIL", "Delivery is held until 08:00 as a scheduled morning delivery."), F.when(F.col("r008") == "FAIL", "The load moves straight to the replacement."), F.when(F.col("quoted_hours").isNotNull(), F.concat(F.lit("Expect about "), F.col("quoted_hours"), F.lit(" hours.")))]
-    pending = acc.filter("client is not null and client not in ('', 'Internal') and mailbox is not null").select("message_id", "ticket_id", F.col("mailbox").alias("recipient"), emit.message(lines).alias("body"))
+    pending = emit.comms_pending(acc, emit.message(lines), "client", F.col("vehicle_key").alias("vehicle_reg"), "status", "needs_human", F.col("created_iso").alias("drafted_at"))
     yes, none = F.lit(True), F.lit("")
-    steps = [("INGESTED", yes, F.col("citation")), ("VALIDATED", yes, F.lit("ACCEPTED")), ("DEDUPLICATED", F.col("occurrences") > 1, F.col("occurrences")), ("CLASSIFIED", yes, F.col("issue")), *(("RULE_EVALUATED", yes, F.concat(F.lit(f"R-{k[1:]} "), F.col(k))) for k in ("r004", "r009", "r005", "r008", "r013")), ("REPLACEMENT_SELECTED", F.col("replacement").isNotNull(), F.col("replacement.reg_key")), ("REPLACEMENT_ESCALATED", F.col("replacement").isNull(), none), ("WORK_ORDER_EMITTED", yes, F.col("work_order_id")), ("COMMS_DRAFTED", F.col("mailbox").isNotNull() & (F.col("client") != "Internal"), F.col("message_id"))]
+    steps = [("INGESTED", yes, F.col("citation")), ("VALIDATED", yes, F.lit("ACCEPTED")), ("DEDUPLICATED", F.col("occurrences") > 1, F.col("occurrences")), ("CLASSIFIED", yes, F.col("issue")), *(("RULE_EVALUATED", yes, F.concat(F.lit(f"R-{k[1:]} "), F.col(k))) for k in ("r004", "r009", "r005", "r008", "r013")), ("REPLACEMENT_SELECTED", F.col("replacement").isNotNull(), F.col("replacement.reg_key")), ("REPLACEMENT_ESCALATED", F.col("replacement").isNull(), none), ("WORK_ORDER_EMITTED", yes, F.col("work_order_id")), ("COMMS_DRAFTED", F.col("mailbox").isNotNull() & emit.needs_message(F.col("client")), F.col("message_id")), ("COMMS_SENT", F.coalesce("sent", F.lit(False)), F.col("approved_by"))]
     trail = emit.audit(acc, "ticket_id", steps).unionByName(emit.audit(held, "ticket_id", [("INGESTED", yes, F.col("occurrences")), ("QUARANTINED", yes, F.array_join("reason_codes", ","))]))
     key = lambda df: df.withColumn("key", F.concat_ws(" ", F.col("ticket_id"), F.lpad(F.col("seq").cast("string"), 4, "0")))
-    return {"work_orders": (orders, "ticket_id"), "comms_pending": (pending, "ticket_id"), "quarantine": (held.select("ticket_id", "reason_codes", "finding_codes", "remediation", "occurrences"), "ticket_id"), "audit": (key(trail), "key")}
+    return {"work_orders": (orders, "ticket_id"), "comms_pending": (pending, "ticket_id"), "comms_sent": (emit.comms_sent(acc), "ticket_id"), "quarantine": (emit.quarantine(held.withColumns({"quarantine_id": F.col("ticket_id"), "ticket_id": F.when(~F.col("ticket_id").startswith("NO-ID-"), F.col("ticket_id"))})), "quarantine_id"), "audit": (key(trail), "key")}

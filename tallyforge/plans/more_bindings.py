@@ -9,10 +9,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import core as c
-from tallyforge.operators import emit, reports, resolve, rules
+from tallyforge.operators import reports, resolve, rules
 from tallyforge.sources import delimited, tickets
 
-from .bindings import FINGERPRINT, PICK_SQL, ELIGIBLE, RULES_SQL, TOKENS, incident_query, incidents, judged, picked, query, t
+from .bindings import ELIGIBLE, FINGERPRINT, RULES_SQL, TOKENS, judged, query, t
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -23,12 +23,10 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "row", "name", "size"])
 
 
-for name in ("src_01", "src_02"):
-
-    @query(name, "SELECT p_partkey AS key, CAST(2 AS BIGINT) AS row, 'say \"' || p_name || '\", ' || p_brand AS name, CAST(p_size AS VARCHAR) AS size FROM part")
-    def src_02(s, d):
-        text = F.concat(F.lit('name,size\r\n"say ""'), F.col("p_name"), F.lit('"", '), F.col("p_brand"), F.lit('", '), F.col("p_size").cast("string"), F.lit("\r\n\r\n"))
-        return t(s, d, "part").select(F.col("p_partkey").alias("key"), text.alias("text"), F.lit(",").alias("d")).mapInPandas(_parsed, "key bigint, row bigint, name string, size string")
+@query("src_02", "SELECT p_partkey AS key, CAST(2 AS BIGINT) AS row, 'say \"' || p_name || '\", ' || p_brand AS name, CAST(p_size AS VARCHAR) AS size FROM part")
+def src_02(s, d):
+    text = F.concat(F.lit('name,size\r\n"say ""'), F.col("p_name"), F.lit('"", '), F.col("p_brand"), F.lit('", '), F.col("p_size").cast("string"), F.lit("\r\n\r\n"))
+    return t(s, d, "part").select(F.col("p_partkey").alias("key"), text.alias("text"), F.lit(",").alias("d")).mapInPandas(_parsed, "key bigint, row bigint, name string, size string")
 
 
 @query("src_03", "SELECT p_partkey, [',', ';', chr(9), '|'][CAST(p_partkey % 4 AS INTEGER) + 1] AS delimiter FROM part")
@@ -42,20 +40,11 @@ def _contained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(k, (got := tickets.read_container(x, "f"))[0], len(got[1])) for k, x in zip(b["key"], b["text"], strict=True)], columns=["key", "format", "records"])
 
 
-for name in ("src_06", "src_07"):
-
-    @query(name, "SELECT event_id AS key, ['json_array', 'json_object.rows', 'json_single_object', 'jsonl', 'csv', 'unknown'][CAST(event_id % 6 AS INTEGER) + 1] AS format, CAST([2, 1, 1, 2, 1, 0][CAST(event_id % 6 AS INTEGER) + 1] AS BIGINT) AS records FROM events")
-    def src_06(s, d):
-        p, i = F.col("props"), F.col("event_id") % 6
-        text = F.when(i == 0, F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))).when(i == 1, F.concat(F.lit('{"rows": ['), p, F.lit("]}"))).when(i == 2, p).when(i == 3, F.concat(p, F.lit("\n"), p, F.lit("\n{bad"))).when(i == 4, F.lit("a,b\n1,2\n")).otherwise("plain")
-        return t(s, d, "events").select(F.col("event_id").alias("key"), text.alias("text")).mapInPandas(_contained, "key bigint, format string, records bigint")
-
-
-for name, table, key in (("src_08", "supplier", "s_suppkey"), ("src_09", "customer", "c_custkey"), ("src_11", "orders", "o_orderkey")):
-
-    @query(name, f"SELECT {key} AS id, 'P-' || upper(substr(sha256('P' || {key}), 1, 8)) AS pseudonym FROM {table} WHERE {key} IS NOT NULL")
-    def scan(s, d, table=table, key=key):
-        return t(s, d, table).filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.concat(F.lit("P-"), F.upper(c.short_hash(F.concat(F.lit("P"), F.col(key)), 8))).alias("pseudonym"))
+@query("src_06", "SELECT event_id AS key, ['json_array', 'json_object.rows', 'json_single_object', 'jsonl', 'csv', 'unknown'][CAST(event_id % 6 AS INTEGER) + 1] AS format, CAST([2, 1, 1, 2, 1, 0][CAST(event_id % 6 AS INTEGER) + 1] AS BIGINT) AS records FROM events")
+def src_06(s, d):
+    p, i = F.col("props"), F.col("event_id") % 6
+    text = F.when(i == 0, F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))).when(i == 1, F.concat(F.lit('{"rows": ['), p, F.lit("]}"))).when(i == 2, p).when(i == 3, F.concat(p, F.lit("\n"), p, F.lit("\n{bad"))).when(i == 4, F.lit("a,b\n1,2\n")).otherwise("plain")
+    return t(s, d, "events").select(F.col("event_id").alias("key"), text.alias("text")).mapInPandas(_contained, "key bigint, format string, records bigint")
 
 
 @query("src_13", "WITH l AS (SELECT conv_id, turn, string_split(replace(text, chr(13), ''), chr(10)) AS x FROM conversations) SELECT conv_id, turn, CAST(unnest(range(1, len(x) + 1)) AS BIGINT) AS line_no, unnest(x) AS line FROM l")
@@ -64,33 +53,6 @@ def src_13(s, d):
     return lines.select("conv_id", "turn", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.regexp_replace("line", "\r", "").alias("line"))
 
 
-for name in ("src_14", "jsn_02"):
-
-    @query(name, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-    def src_14(s, d):
-        return t(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
-for name in ("snk_01", "snk_02"):
-
-    @query(name, """SELECT n_nationkey, '{"key":' || n_nationkey || ',"name":"' || n_name || '","region":' || n_regionkey || '}' AS line FROM nation""")
-    def snk_01(s, d):
-        df = t(s, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))
-        return df.select(F.col("key").alias("n_nationkey"), emit.sorted_json(df).alias("line"))
-
-
-for name in ("snk_04", "emt_05"):
-
-    @query(name, "SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))::BIGINT AS with_mail FROM conversations")
-    def snk_04(s, d):
-        return t(s, d, "conversations").agg(F.count("*").alias("n_rows"), F.count_if(F.array_contains(c.violations("text"), "EMAIL")).alias("with_mail"))
-
-
-@query("snk_05", "SELECT n_nationkey, sha256(n_name || '|' || n_regionkey) AS h FROM nation")
-def snk_05(s, d):
-    return t(s, d, "nation").select("n_nationkey", F.sha2(F.concat_ws("|", "n_name", "n_regionkey"), 256).alias("h"))
-
-
 def _flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
@@ -100,7 +62,7 @@ def _flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "long", "bare", "names"])
 
 
-@query("prj_06", "SELECT p_partkey AS key, p_name AS long, p_name AS bare, 'id,registration,vehicle_deep_x,vehicle_registration,x' AS names FROM part".replace(",x'", "'"))
+@query("prj_06", "SELECT p_partkey AS key, p_name AS long, p_name AS bare, 'id,registration,vehicle_deep_x,vehicle_registration' AS names FROM part")
 def prj_06(s, d):
     return t(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value")).mapInPandas(_flat, "key bigint, long string, bare string, names string")
 
@@ -111,28 +73,11 @@ def prj_12(s, d):
     return o.select("o_orderkey", F.struct(F.col("n_name").alias("origin"), F.col("r_name").alias("destination")).alias("route")).select("o_orderkey", "route.origin", "route.destination")
 
 
-@query("prj_19", "SELECT o_orderkey AS ticket_id, o_custkey AS vehicle, o_orderstatus AS client FROM orders")
-def prj_19(s, d):
-    return t(s, d, "orders").select(F.col("o_orderkey").alias("ticket_id"), F.col("o_custkey").alias("vehicle"), F.col("o_orderstatus").alias("client"))
-
-
-@query("prj_20", "SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = (SELECT min(l_orderkey) FROM lineitem)")
-def prj_20(s, d):
-    li = t(s, d, "lineitem")
-    first = li.agg(F.min("l_orderkey").alias("o_orderkey"))
-    return t(s, d, "orders").join(first, "o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity")
-
-
-@query("flt_09", "SELECT count(*) FILTER (o_orderstatus <> 'F')::BIGINT AS pending, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS sent FROM orders")
-def flt_09(s, d):
-    return t(s, d, "orders").agg(F.count_if(F.col("o_orderstatus") != "F").alias("pending"), F.count_if(F.col("o_orderstatus") == "F").alias("sent"))
-
-
-@incident_query("join_11", f"{RULES_SQL}, e AS (SELECT o_orderkey, hub, s_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY hub_rank, s_acctbal DESC, s_suppkey) AS nth FROM r WHERE {ELIGIBLE}) SELECT o_orderkey, hub, s_suppkey FROM e WHERE nth = 1")
-def join_11(s, d, which):
+@query("join_11", f"{RULES_SQL}, e AS (SELECT o_orderkey, hub, s_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY hub_rank, s_acctbal DESC, s_suppkey) AS nth FROM r WHERE {ELIGIBLE}) SELECT o_orderkey, hub, s_suppkey FROM e WHERE nth = 1")
+def join_11(s, d):
     from tallyforge.operators.select import pick
 
-    return pick(judged(s, d, which), ["o_orderkey"], F.col("eligible"), [F.col("hub_rank"), F.desc("s_acctbal"), F.col("s_suppkey")]).select("o_orderkey", "hub", "s_suppkey")
+    return pick(judged(s, d), ["o_orderkey"], F.col("eligible"), [F.col("hub_rank"), F.desc("s_acctbal"), F.col("s_suppkey")]).select("o_orderkey", "hub", "s_suppkey")
 
 
 @query("join_13", "SELECT n_nationkey, array_to_string(list_sort(list(r_name)), ',') AS regions FROM nation JOIN region ON r_regionkey IN (n_regionkey, (n_regionkey + 1) % 5) GROUP BY 1")
@@ -142,13 +87,15 @@ def join_13(s, d):
     return x.groupBy("n_nationkey").agg(F.array_join(F.array_sort(F.collect_list("r_name")), ",").alias("regions"))
 
 
-@query("join_15", f"""WITH k AS (SELECT conv_id * 1000 + turn AS id, role, {TOKENS.format('text')} AS w FROM conversations), p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m
-    FROM k a JOIN k b ON a.role = b.role AND a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0) SELECT id_a, id_b, round(CAST(i AS DOUBLE) / (n + m - i), 6) AS similarity FROM p WHERE CAST(i AS DOUBLE) / (n + m - i) >= 0.9""")
+@query("join_15", f"""WITH r AS (SELECT conv_id * 1000 + turn AS id, role, list_sort({TOKENS.format('text')}) AS w FROM conversations), k AS (SELECT min(id) AS id, role, w FROM r WHERE len(w) > 0 GROUP BY role, w),
+    p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS n, len(b.w) AS m FROM k a JOIN k b ON a.role = b.role AND a.id < b.id)
+    SELECT id_a, id_b, round(CAST(i AS DOUBLE) / (n + m - i), 6) AS similarity FROM p WHERE CAST(i AS DOUBLE) / (n + m - i) >= 0.9""")
 def join_15(s, d):
     from tallyforge.operators.dedup import near_pairs
 
     rows = t(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", c.subject_tokens("text").alias("tokens"))
-    return near_pairs(rows, "role", "id", "tokens", 0.9).withColumn("similarity", F.round("similarity", 6))
+    pairs, _ = near_pairs(rows, "role", "id", "tokens", 0.9)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("join_16", "SELECT s_suppkey, a.n_regionkey = b.n_regionkey AS same_region FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON s_suppkey % 25 = b.n_nationkey")
@@ -163,24 +110,14 @@ def agg_04(s, d):
     return t(s, d, "lineitem").groupBy("l_suppkey").agg(F.date_format(F.max(F.when(F.col("l_returnflag") == "A", F.col("l_shipdate"))), "yyyy-MM-dd").alias("last_brake"))
 
 
-for name in ("agg_07", "win_01"):
+@query("agg_07", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
+def agg_07(s, d):
+    return t(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("bigint").alias("place"))
 
-    @query(name, "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
-    def agg_07(s, d):
-        return t(s, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("bigint").alias("place"))
 
-
-for name in ("agg_13", "agg_16"):
-
-    @query(name, "SELECT count(*)::BIGINT AS total, count(*) FILTER (event_type = 'error')::BIGINT AS errors, count(*) FILTER (value IS NULL)::BIGINT AS missing FROM events")
-    def agg_13(s, d):
-        return reports.kpis(t(s, d, "events"), errors=F.col("event_type") == "error", missing=F.col("value").isNull())
-
-
-@query("agg_15", "SELECT 'orders' AS source, count(*)::BIGINT AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")
-def agg_15(s, d):
-    counts = [t(s, d, x).agg(F.count("*").alias("n")).select(F.lit(x).alias("source"), "n") for x in ("orders", "part", "supplier")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+@query("agg_13", "SELECT count(*)::BIGINT AS total, count(*) FILTER (event_type = 'error')::BIGINT AS errors, count(*) FILTER (value IS NULL)::BIGINT AS missing FROM events")
+def agg_13(s, d):
+    return reports.kpis(t(s, d, "events"), errors=F.col("event_type") == "error", missing=F.col("value").isNull())
 
 
 @query("agg_20", "SELECT lang, count(*)::BIGINT AS n, count(*) = count(DISTINCT text) AS unique_texts FROM documents GROUP BY 1")
@@ -188,11 +125,6 @@ def agg_20(s, d):
     return t(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("text").alias("k")).select("lang", "n", (F.col("n") == F.col("k")).alias("unique_texts"))
 
 
-@query("agg_21", "SELECT bit_xor(hash_) AS content FROM (SELECT CAST(('0x' || substr(sha256(html), 1, 15)) AS BIGINT) AS hash_ FROM pages)")
-def agg_21(s, d):
-    return t(s, d, "pages").agg(F.bit_xor(F.conv(F.substring(F.sha2("html", 256), 1, 15), 16, 10).cast("bigint")).alias("content"))
-
-
 @query("win_07", f"SELECT {FINGERPRINT} AS fp, doc_id, row_number() OVER (PARTITION BY {FINGERPRINT} ORDER BY (source = 'src0') DESC, doc_id) AS place FROM documents")
 def win_07(s, d):
     docs = t(s, d, "documents").select(c.fingerprint("text").alias("fp"), "doc_id", "source")
@@ -205,10 +137,12 @@ def srt_01(s, d):
     return t(s, d, "nation").select("n_nationkey", "n_name").orderBy(F.expr("collate(n_name, 'UNICODE')"), "n_nationkey").limit(25)
 
 
-@query("srt_02", "SELECT n_name, row_number() OVER (ORDER BY n_name) AS place FROM nation")
+@query("srt_02", "SELECT s_name, row_number() OVER (ORDER BY s_name) AS place FROM supplier")
 def srt_02(s, d):
-    one = t(s, d, "nation").select("n_name", F.lit(1).alias("k"))  # 25 rows
-    return one.select("n_name", F.row_number().over(Window.partitionBy("k").orderBy("n_name")).cast("bigint").alias("place"))
+    """Code-unit order over a whole table: ranges in order, then places counted on from the ranges before."""
+    from tallyforge.operators.resolve import global_rank
+
+    return global_rank(t(s, d, "supplier").select("s_name"), "s_name", "place")
 
 
 @query("srt_04", "SELECT o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1")
@@ -227,56 +161,12 @@ def str_01(s, d):
     return t(s, d, "part").select("p_partkey", F.lpad(F.col("p_size").cast("string"), 4, "0").alias("padded"), F.upper(F.trim("p_brand")).alias("brand"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("type"), F.substring("p_name", 1, 3).alias("head"))
 
 
-for name in ("str_13", "pii_01"):
-
-    @query(name, "SELECT DISTINCT regexp_extract(text, '^([A-Z][a-z]+)', 1) AS name FROM conversations WHERE regexp_matches(text, '^[A-Z][a-z]+')")
-    def str_13(s, d):
-        return t(s, d, "conversations").select(F.regexp_extract("text", "^([A-Z][a-z]+)", 1).alias("name")).filter("name <> ''").distinct()
-
-
-@query("str_14", "SELECT event_id, replace(props, '\"k\"', '\"K\"') AS props FROM events")
-def str_14(s, d):
-    scrubbed = F.transform_keys(F.from_json("props", "map<string,int>"), lambda k, v: F.upper(k))
-    return t(s, d, "events").select("event_id", F.regexp_replace(F.to_json(scrubbed), ":", ": ").alias("props"))
-
-
 @query("pii_02", "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS word FROM conversations) SELECT substr(word, 1, 1) || repeat('*', length(word) - 1) AS preview, count(*)::BIGINT AS n FROM w GROUP BY 1")
 def pii_02(s, d):
     words = t(s, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))).alias("word"))
     return words.groupBy(c.preview("word").alias("preview")).agg(F.count("*").alias("n"))
 
 
-@incident_query("dec_01", f"{PICK_SQL} SELECT i.o_orderkey, CASE WHEN k.o_orderkey IS NULL THEN 'ESCALATED_NO_VEHICLE' WHEN {ELIGIBLE} THEN 'DISPATCHED' ELSE 'DISPATCHED_WITH_CONSTRAINTS' END AS status, coalesce(k.s_suppkey, -1) AS s_suppkey FROM inc i LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) k ON i.o_orderkey = k.o_orderkey")
-def dec_01(s, d, which):
-    inc = incidents(s, d, which).select("o_orderkey", "o_custkey").join(t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").drop("o_custkey")
-    out = inc.join(picked(s, d, which).select("o_orderkey", "eligible", "s_suppkey"), "o_orderkey", "left")
-    status = F.when(F.col("s_suppkey").isNull(), "ESCALATED_NO_VEHICLE").when(F.col("eligible"), "DISPATCHED").otherwise("DISPATCHED_WITH_CONSTRAINTS")
-    return out.select("o_orderkey", status.alias("status"), F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"))
-
-
-for name, keep in (("emt_01", "o_orderstatus <> 'F'"), ("emt_02", "o_orderstatus = 'F'")):
-
-    @query(name, f"SELECT 'MSG-' || upper(substr(sha256('msg:' || o_orderkey), 1, 10)) AS message_id, o_orderkey AS ticket_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE {keep} AND c_mktsegment <> 'BUILDING'")
-    def emt_01(s, d, keep=keep):
-        o = t(s, d, "orders").filter(keep).join(t(s, d, "customer").filter("c_mktsegment <> 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"))
-        return o.select(c.prefixed_id("MSG-", "msg", F.col("o_orderkey").cast("string")).alias("message_id"), F.col("o_orderkey").alias("ticket_id"))
-
-
-for name in ("emt_03", "dup_04"):
-
-    @query(name, "SELECT o_orderkey AS quarantine_id, concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN 'MISSING_VEHICLE' END, CASE WHEN o_orderkey % 3 = 0 THEN 'MISSING_DESTINATION' END) AS codes FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
-    def emt_03(s, d):
-        k = F.col("o_orderkey")
-        codes = F.array_compact(F.array(F.when(k % 2 == 0, "MISSING_VEHICLE"), F.when(k % 3 == 0, "MISSING_DESTINATION")))
-        return t(s, d, "orders").withColumn("codes", codes).filter(F.size("codes") > 0).select(k.alias("quarantine_id"), F.array_join("codes", ",").alias("codes"))
-
-
-@query("ctx_01", "SELECT (SELECT count(*) FROM supplier)::BIGINT AS vehicles, (SELECT count(*) FROM nation)::BIGINT AS hubs, (SELECT count(DISTINCT c_mktsegment) FROM customer)::BIGINT AS clients")
-def ctx_01(s, d):
-    one = lambda df, n: df.agg(F.count("*").alias(n))  # noqa: E731  each of one row
-    return one(t(s, d, "supplier"), "vehicles").crossJoin(one(t(s, d, "nation"), "hubs")).crossJoin(one(t(s, d, "customer").select("c_mktsegment").distinct(), "clients"))
-
-
 @query("win_02_state", "SELECT user_id, count(*)::BIGINT AS n FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE value < p GROUP BY 1")
 def win_02_state(s, d):
     return resolve.regressions(t(s, d, "events"), "user_id", ["ts", "event_id"], "value").groupBy("user_id").agg(F.count("*").alias("n"))

@@ -77,8 +77,8 @@ def flatten(record: dict, prefix: str = "", depth: int = 0) -> dict:
     return out | {x: y for x, y in bare.items() if x not in out}
 
 
-def raw_tickets(spark: SparkSession, path: str) -> DataFrame:
-    """(file, format, idx, raw, entries): one row a record, bad lines too; entries keep the record's field order."""
+def raw_tickets(texts: DataFrame) -> DataFrame:
+    """(file, format, idx, raw, entries) of rows (name, value): one row a record, bad lines too; entries keep the record's field order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -91,8 +91,7 @@ def raw_tickets(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, form, i, json.dumps(r, ensure_ascii=False), [{"key": k, "value": text(v)} for k, v in flat.items()]))
                 yield pd.DataFrame(rows, columns=["file", "format", "idx", "raw", "entries"])
 
-    texts = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
-    return texts.mapInPandas(run, "file string, format string, idx bigint, raw string, entries array<struct<key:string,value:string>>")
+    return texts.select("value", "name").mapInPandas(run, "file string, format string, idx bigint, raw string, entries array<struct<key:string,value:string>>")
 
 
 def field(entries: Column | str, name: str) -> Column:
@@ -104,7 +103,12 @@ def field(entries: Column | str, name: str) -> Column:
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
     """SRC-07: typed tickets with provenance and the names of fields that no spelling covers."""
-    raw = raw_tickets(spark, path)
+    return tickets_of(spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")))
+
+
+def tickets_of(texts: DataFrame) -> DataFrame:
+    """SRC-07 on rows (name, value), a file each."""
+    raw = raw_tickets(texts)
     known = [k for v in ALIASES.values() for k in v.split()] + [k.replace("_", "") for k in ALIASES]
     unmapped = F.array_sort(F.array_distinct(F.transform(F.filter("entries", lambda e: ~norm_key(e["key"]).isin(*known) & ~e["key"].startswith("_")), lambda e: e["key"])))
     plain = {k: blank_to_null(field(F.col("entries"), k)) for k in ALIASES}

@@ -22,16 +22,22 @@ def column_index(ref: str) -> int:
     return n - 1
 
 
-def read_sheet(content: bytes) -> list[dict]:
-    """SRC-04, SRC-05: records of the lowest-numbered sheet by header; _row is the sheet's row number; empty rows are skipped."""
+def read_zip(content: bytes) -> dict[str, bytes]:
+    """SRC-04: files of a ZIP archive by name, stored or deflated."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = [n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
-        if not names:
-            raise ValueError("no sheet")
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{NS}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{NS}si")]
-        sheet = ET.fromstring(z.read(min(names, key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))))
+        return {n: z.read(n) for n in z.namelist() if not n.endswith("/")}
+
+
+def read_sheet(content: bytes) -> list[dict]:
+    """SRC-05: records of the lowest-numbered sheet by header; _row is the sheet's row number; empty rows are skipped."""
+    files = read_zip(content)
+    names = [n for n in files if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+    if not names:
+        raise ValueError("no sheet")
+    shared = []
+    if "xl/sharedStrings.xml" in files:
+        shared = ["".join(t.text or "" for t in si.iter(f"{NS}t")) for si in ET.fromstring(files["xl/sharedStrings.xml"]).iter(f"{NS}si")]
+    sheet = ET.fromstring(files[min(names, key=lambda n: int(re.search(r"\d+", n.rsplit("/", 1)[1])[0]))])
     rows = []
     for row in sheet.iter(f"{NS}row"):
         cells: dict[int, str] = {}
@@ -54,11 +60,16 @@ def read_sheet(content: bytes) -> list[dict]:
 
 def read_spreadsheets(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of spreadsheet files, one task a file: columns, _row, _source."""
+    return sheets_of(spark.read.format("binaryFile").load(path).select("path", "content"), columns)
+
+
+def sheets_of(files: DataFrame, columns: list[str]) -> DataFrame:
+    """SRC-05 on rows (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([[*(r.get(c) for c in columns), r["_row"], name.rsplit("/", 1)[1]] for r in read_sheet(bytes(content))], columns=[*columns, "_row", "_source"])
+                yield pd.DataFrame([[*(r.get(c) for c in columns), r["_row"], name.rsplit("/", 1)[-1]] for r in read_sheet(bytes(content))], columns=[*columns, "_row", "_source"])
 
     schema = ", ".join([*(f"`{c}` string" for c in columns), "_row bigint, _source string"])
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)

@@ -1,18 +1,20 @@
 """Operators against DuckDB on the driver's tables, and functions against literals."""
 
+import datetime as dt
 import glob
 import hashlib
 import hmac
 import math
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import core as c
-from tallyforge.operators import dedup, emit
-from tallyforge.plans import bindings, more_bindings  # noqa: F401
+from tallyforge.operators import dedup, emit, resolve
+from tallyforge.plans import bindings, case_bindings, more_bindings, source_bindings  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,7 +84,23 @@ def test_small_functions(spark):
 
 
 def test_leader_clusters_are_greedy(spark):
-    rows = spark.createDataFrame([(i, "b") for i in range(5)], "id_ long, block string")
-    pairs = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (3, 4, 1.0)], "id_a long, id_b long, similarity double")
-    got = {r.id_: r.leader for r in dedup.leader_clusters(rows, "block", "id_", pairs).collect()}
-    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    r = random.Random(3)
+    edges = sorted({(a, b) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(45)) if a < b} | {(50, 51), (51, 52), (52, 53)})
+    members = spark.createDataFrame([(i, i) for i in range(60)] + [(100, 52)], "id long, rep long")
+    pairs = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "id_a long, id_b long, similarity double")
+    leads = {}
+    for i in range(60):
+        leads[i] = min((a for a, b in edges if b == i and leads[a] == a), default=i)
+    assert {r.id: r.leader for r in dedup.leader_clusters(members, pairs).collect()} == leads | {100: leads[52]}
+
+
+def test_as_of_state_over_slices(spark):
+    """Slices of time change nothing: every unit gives what a plain look back gives, ties and nulls included."""
+    r = random.Random(5)
+    day = lambda: dt.datetime(2020, 1, 1) + dt.timedelta(days=r.randrange(400), hours=r.randrange(3))
+    probes = [(i, r.choice("ab"), day() if i % 17 else None) for i in range(150)]
+    events = [(r.choice("ab"), day() if i % 13 else None, bool(i % 3)) for i in range(200)] + [("a", probes[1][2], True)]
+    p, e = spark.createDataFrame(probes, "id int, k string, at timestamp"), spark.createDataFrame(events, "k string, seen timestamp, flag boolean")
+    want = {i: max((s for kk, s, f in events if kk == k and f and s is not None and at is not None and s <= at), default=None) for i, k, at in probes}
+    for unit in ("day", "month", "year"):
+        assert {x.id: x.last for x in resolve.as_of_state(p, e, "k", "at", "seen", {"last": F.col("flag")}, unit).collect()} == want

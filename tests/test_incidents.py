@@ -1,36 +1,17 @@
-"""The NAME_all queries judge every order; the filtered ones only the incidents that their SQL names."""
+"""Queries take whole tables: every order is an incident and has a decision."""
 
-from tallyforge.plans import bindings, more_bindings  # noqa: F401
+from tallyforge.plans import bindings, case_bindings, more_bindings, source_bindings  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-FAMILY = ("sel_01", "sel_02", "win_05", "join_09", "rule_000", "rule_003", "rule_011", "rule_012", "eval_01", "agg_09", "agg_10", "sel_03", "flt_11", "dec_01", "join_11")
 
 
-def test_every_order_is_an_incident(spark):
+def test_every_order_is_decided(spark):
     orders = {r.o_orderkey for r in bindings.t(spark, SF, "orders").select("o_orderkey").collect()}
-    for name in ("dec_01_all", "flt_11_all"):
+    for name in ("dec_01", "flt_11"):
         got = [r.o_orderkey for r in bindings.QUERIES[name](spark, SF).collect()]
         assert len(got) == len(orders) and set(got) == orders
 
 
-def test_all_agrees_with_the_filtered_query(spark):
-    few = {tuple(r) for r in bindings.QUERIES["sel_01"](spark, SF).collect()}
-    keys = {r[0] for r in few}
-    assert few == {tuple(r) for r in bindings.QUERIES["sel_01_all"](spark, SF).collect() if r[0] in keys}
-
-
-def test_sql_of_all_has_no_filter():
-    for name in FAMILY:
-        assert "1-URGENT" in bindings.ORACLES[name] and "1-URGENT" not in bindings.ORACLES[f"{name}_all"]
-
-
-def test_conflicts_and_marks_cover_every_order(spark):
-    orders = [(r.o_orderkey, r.o_custkey % 50, r.o_orderstatus, r.o_orderpriority) for r in bindings.t(spark, SF, "orders").collect()]
-    seen = {}
-    for _, k, status, priority in orders:
-        seen.setdefault((k, "status"), set()).add(status)
-        seen.setdefault((k, "priority"), set()).add(priority)
-    want = {(k, f, len(v), "|".join(sorted(v))) for (k, f), v in seen.items() if len(v) > 1}
-    assert {(r["k"], r["field"], r["n_values"], r["values"]) for r in bindings.QUERIES["agg_02_all"](spark, SF).collect()} == want
-    by = {k: (k % 4 == 0 or k % 6 == 0, "old" if k % 4 == 0 else "new" if k % 6 == 0 else None) for k, *_ in orders}
-    assert {r.o_orderkey: (r.sent, r.approved_by) for r in bindings.QUERIES["led_02_all"](spark, SF).collect()} == by
+def test_no_query_is_registered_twice():
+    made = [(f.__module__, f.__qualname__) for f in bindings.QUERIES.values()]
+    assert len({f for f in made if "rule" not in f[1]}) == len([f for f in made if "rule" not in f[1]])
