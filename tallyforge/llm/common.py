@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,10 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local folder serves if all executors are threads of this machine (tests); a cluster raises.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/tallyforge")
     return "file:///tmp/checkpoints/tallyforge"
 
@@ -52,6 +60,21 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; when they end, what the worker's allocators hold free goes back to the system, as workers are used again by later tasks."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
+def release() -> None:
+    """Free memory of this process's allocators to the system, where the platform has a call for it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and the n + 1 offsets into them, without copies; null is empty."""
     if column.null_count:
@@ -63,7 +86,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each has about `most` bytes of a string column, and one row at least."""
     for batch in batches:
         if not batch.num_rows:
