@@ -16,7 +16,7 @@ from tallyforge.scratch import file_system, put_text, settle
 
 
 #: Ids that the engine makes from hashes; their digits can look like a telephone number.
-OWN_IDS = r"(?<![A-Za-z0-9_])(?:WO|MSG|PERSON|MECHANIC)-[0-9A-F]{10}(?![A-Za-z0-9_])"
+OWN_IDS = r"(?<![A-Za-z0-9_])(?:(?:WO|MSG|PERSON|MECHANIC)-[0-9A-F]{10}|NO-ID-[0-9a-f]{16})(?![A-Za-z0-9_])"
 
 
 class GateError(RuntimeError):
