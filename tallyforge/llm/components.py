@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, trimmed
 
 #: Edges that one local union-find holds.
-FOREST_EDGES = 500_000
+FOREST_EDGES = 200_000
 
 
 class Forest:
@@ -80,7 +80,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     plain = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).filter("a is not null and b is not null and a <> b")
-    now = settle(plain.mapInArrow(_local_forests, "a bigint, b bigint").filter("a <> b").distinct())
+    now = settle(plain.mapInArrow(lambda b: trimmed(_local_forests(b)), "a bigint, b bigint").filter("a <> b").distinct())
     mark = None
     for _ in range(rounds):
         seen = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()

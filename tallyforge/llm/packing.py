@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, slices, table
+from .common import settle, slices, table, trimmed
 
 #: Documents that one packing group gets on average; groups are dealt by a hash of the row's place.
 GROUP_DOCS = 1500
 #: Distinct words whose ids a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+CACHE_WORDS, CACHE_CHARS = 100_000, 40
 
 
 #: Words of these characters only are split here: printable ASCII and the letters of Latin-1 and Latin Extended-A.
@@ -39,7 +39,7 @@ CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
 CLASS[97:123] = CLASS[128:] = LETTER
 CLASS[48:58] = DIGIT
 #: Slots of the table by hash, and ids it may hold before it is emptied.
-SLOT_BITS, STORE_IDS = 21, 1 << 23
+SLOT_BITS, STORE_IDS = 19, 1 << 21
 
 
 class WordEncoder:
@@ -66,18 +66,23 @@ class WordEncoder:
         ends = {k: k.endswith("</w>") and len(k) > 4 for k in vocab}
         ranks = {bytes(byte[c] for c in (k[:-4] if ends[k] else k)) + self.END * ends[k]: v for k, v in vocab.items()}
         self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self._reset()
         rng = np.random.default_rng(5)
         self.salt = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         base = 0xD1342543DE82EF95
         self.power = np.array([1, base], np.uint64)
         self.inverse = np.array([1, pow(base, -1, 1 << 64)], np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that is remembered of words; the vocabulary stays."""
+        self._reset()
+        self.power, self.inverse = self.power[:2], self.inverse[:2]
         self.keys, self.at, self.n = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int32)
-        self.store, self.top = np.zeros(1 << 20, np.int32), 0
+        self.store, self.top = np.zeros(1 << 18, np.int32), 0
 
     def _reset(self) -> None:
         self.words: dict[str, int] = {"": 0}
-        self.flat, self.used, self.known = np.zeros(1 << 20, np.int32), 0, 1
+        self.flat, self.used, self.known = np.zeros(1 << 18, np.int32), 0, 1
         self.start, self.length = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.int64)
         self.tokens: dict[str, list[int]] = {}
 
@@ -225,7 +230,8 @@ def encoder(path: str) -> WordEncoder:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, grain: int, end: int, groups: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     """Cut each document's ids into full windows, and the rest into pieces of at most grain."""
-    encode, row, task = encoder(path).encode, 0, TaskContext.get().partitionId()
+    words = encoder(path)
+    encode, row, task = words.encode, 0, TaskContext.get().partitionId()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", "place"] + ["ids"] * keep_ids
     for batch in slices(batches, "text"):
         texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -247,6 +253,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, grain:
         if keep_ids:
             cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ids)))
         yield pa.RecordBatch.from_arrays(cols, names)
+    words = encode = None
+    _encoders.clear()  # a worker serves other operators next; its memory is theirs
 
 
 def differencing(sizes: list[int] | np.ndarray, k: int) -> list[list[int]]:
@@ -326,7 +334,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, grain: int = 512
 
     A document's ids and one end_id are cut into full windows of capacity, and the rest into pieces of at most grain (fine
     enough that padding stays under one per cent); the pieces of a group of about group_docs documents go to near-equal windows by differencing. Groups are dealt by a hash of a row's place
-    in the scan, so repeated rows and equal or null ids spread evenly. Null and empty texts are one end_id each; an
+    in the scan, so repeated rows and equal or null ids spread evenly; pieces are written once before they are packed, so that
+    a task that runs again finds the same groups. Null and empty texts are one end_id each; an
     empty table gives no pieces. Further columns are not read.
     """
     spark = docs.sparkSession
@@ -334,7 +343,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, grain: int = 512
     ids = ", ids array<int>" * keep_ids
     kind = dict(docs.dtypes)["doc_id"]
     base = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    pieces = docs.select("doc_id", "text").mapInArrow(lambda b: _pieces(b, tokenizer, capacity, grain, end_id, groups, keep_ids), f"{base}, grp bigint, place bigint{ids}")
+    pieces = settle(docs.select("doc_id", "text").mapInArrow(lambda b: trimmed(_pieces(b, tokenizer, capacity, grain, end_id, groups, keep_ids)), f"{base}, grp bigint, place bigint{ids}"))
     return pieces.groupBy("grp").applyInPandas(_pack_group(capacity), f"{base}{ids}, sequence_id bigint, offset bigint")
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, utf8
-from .shingles import LOWER, SPACE, mix, prefix_sums, span_hash
+from .common import slices, table, trimmed, utf8
+from .shingles import LOWER, SPACE, mix, word_hash
 
 #: Bounds of the sample that the scorer is fitted on: documents, and bytes of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 12_000_000
@@ -35,6 +35,8 @@ LABELLERS = (
     ("length", 5.9, 6.4, 12),
     ("looped", 0.15, 0.40, 25),
 )
+#: Documents that the share of good ones starts with, four in five of them good: a handful of documents cannot make all others bad.
+PRIOR_DOCS = 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[np.frombuffer(b"%*$&#|!<>{}[]\\^~=_@+", np.uint8)] = True
 CAPITAL = np.zeros(256, bool)
@@ -62,7 +64,7 @@ def measures(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap[first] = True
     bounds = np.append(np.nonzero(gap)[0], len(b))
     stop = bounds[np.searchsorted(bounds, start, "right")]
-    h = span_hash(prefix_sums(low), start, stop)
+    h = word_hash(low, start, stop)
     doc = np.searchsorted(at, start, "right") - 1
     n = np.bincount(doc, minlength=n_docs)
     words = np.maximum(n, 1)
@@ -132,7 +134,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
                 new[i, :, vote] = weight[:, patterns[:, i] == vote].sum(1)
             new[i] += np.array([[2.0, 2.0], [0.1, 9.9]])  # a prior that fixes which class is which
             new[i] /= new[i].sum(1, keepdims=True)
-        good = float(np.clip(weight[1].sum() / max(total, 1), 0.02, 0.98))
+        good = float(np.clip((weight[1].sum() + 0.8 * PRIOR_DOCS) / (total + PRIOR_DOCS), 0.02, 0.98))
         done = abs(good - model.good) < 1e-9 and np.abs(new - model.says).max() < 1e-9
         model = LabelModel(good, new)
         if done:
@@ -227,7 +229,7 @@ def sample(rows: DataFrame) -> list[bytes]:
 def train(docs: DataFrame) -> tuple[LabelModel, Scorer]:
     """Label model from the vote patterns of all documents, scorer from a bounded sample of their different texts (smallest hashes)."""
     rows = docs.select("text")
-    found = rows.mapInArrow(_patterns, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3 ** len(LABELLERS)
+    found = rows.mapInArrow(lambda b: trimmed(_patterns(b)), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3 ** len(LABELLERS)
     kinds = np.array(list(itertools.product(range(3), repeat=len(LABELLERS))), np.int8)[:, ::-1]
     model = expectation_maximisation(kinds[found["pattern"].to_numpy(int)], found["n"].to_numpy(float)) if len(found) else LabelModel(0.5, np.full((len(LABELLERS), 2, 2), 0.5))
     texts = sample(rows)
@@ -259,7 +261,7 @@ def score_quality(docs: DataFrame, models: tuple[LabelModel, Scorer], threshold:
     """
     docs = docs.drop("quality_score", "weak_posterior", "quality_kept")
     more = [T.StructField("quality_score", T.DoubleType()), T.StructField("weak_posterior", T.DoubleType()), T.StructField("quality_kept", T.BooleanType())]
-    return docs.mapInArrow(lambda b: _score(b, *models, threshold), T.StructType(docs.schema.fields + more))
+    return docs.mapInArrow(lambda b: trimmed(_score(b, *models, threshold)), T.StructType(docs.schema.fields + more))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

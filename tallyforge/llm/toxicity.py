@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, trimmed
 
 #: Bounds of the labelled sample that the model is fitted on: documents of each class, and characters of each.
 TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_CHARS = 1500, 4500, 24_000_000
@@ -33,7 +33,7 @@ WINDOW, OVERLAP = 256, 32
 #: Bytes saved from which on a window counts.
 THRESHOLD = 1
 #: Words without toxic content that a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 MARK = "\x01 "
 LEAD = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 2
 TRAIL = b"\n\0\1\2\3\4\5\6\7"
@@ -236,7 +236,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3, text_c
     docs = docs.drop("score", "predicted", "distance", "hits")
     more = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("distance", T.IntegerType()), T.StructField("hits", T.LongType())]
     spot = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda b: _score(b, model, spot, threshold), T.StructType(docs.schema.fields + more))
+    return docs.mapInArrow(lambda b: trimmed(_score(b, model, spot, threshold)), T.StructType(docs.schema.fields + more))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

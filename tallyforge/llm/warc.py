@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_join, settle, table
+from .common import lookup_join, settle, table, trimmed
 
 #: Payloads below this many bytes are always stored in full.
 REVISIT_BYTES = 100
@@ -197,7 +197,7 @@ def to_archives(pages: DataFrame) -> DataFrame:
     told = lookup_join(rows, groups, ["digest"])
     revisit = F.coalesce(F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))), F.lit(False))
     told = told.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("first")))
-    return told.select("page_id", "url", "html", "digest", "refers_to", "revisit").mapInArrow(_archives, "archive string, records bigint, content binary")
+    return told.select("page_id", "url", "html", "digest", "refers_to", "revisit").mapInArrow(lambda b: trimmed(_archives(b)), "archive string, records bigint, content binary")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """Records of archives (columns archive, content), digests verified; a damaged archive raises WarcError."""
-    return archives.select("archive", "content").mapInArrow(_read, "archive string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint")
+    return archives.select("archive", "content").mapInArrow(lambda b: trimmed(_read(b)), "archive string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint")
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
