@@ -1,13 +1,15 @@
 """Operator 10: media columns as progressive JPEG, coded and decoded with arrays.
 
 Bytes are stored losslessly in the format's own unit: each 8x8 block carries 64 bytes as its 64 quantised
-coefficients (byte minus 128, in zigzag order, quantisers of 1). Every MCU is a restart interval, so all intervals of a scan
-are byte-aligned and are decoded side by side: one array step handles the next symbol of every block.
+coefficients (in zigzag order, quantisers of 1), bytes that are common in text as the smallest ones. Every MCU is a restart interval, so all
+intervals of a scan are byte-aligned and are decoded side by side: one array step handles the next symbol of every block. Images
+are written to the shared folder and read back before anything is told of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import struct
 import zlib
@@ -21,22 +23,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import settle, slices, table, trimmed
 
 # The zigzag order of an 8x8 block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (s := i // 8 + i % 8, i // 8 if s % 2 else i % 8)))
 #: Scans of the encoder: (components, first and last coefficient, high and low bit position).
 SCRIPT = (
     ((0, 1, 2), 0, 0, 0, 1),
-    ((0,), 1, 5, 0, 1), ((1,), 1, 5, 0, 1), ((2,), 1, 5, 0, 1),
-    ((0,), 6, 63, 0, 0), ((1,), 6, 63, 0, 0), ((2,), 6, 63, 0, 0),
-    ((0,), 1, 5, 1, 0), ((1,), 1, 5, 1, 0), ((2,), 1, 5, 1, 0),
+    ((0,), 1, 63, 0, 0), ((1,), 1, 5, 0, 1), ((2,), 1, 5, 0, 1),
+    ((1,), 6, 63, 0, 0), ((2,), 6, 63, 0, 0),
+    ((1,), 1, 5, 1, 0), ((2,), 1, 5, 1, 0),
     ((0, 1, 2), 0, 0, 1, 0),
 )
 #: Sampling factors of the encoder: four luma blocks and one of each chroma make an MCU.
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 
 
+#: Fixed value: bytes that are common in prose, commonest first.
+COMMON = b" enthairosudlcgbmfpwyvkzq\xc3.,!-\n\x00" + b"ETSANIORHDLCUMGBPFWKVY" + b"0123456789"
+#: Coefficient of each byte, 0, -1, 1, -2, 2 and so on by rank: COMMON, then the others by value; and the byte of each coefficient plus 128.
+COEFFICIENT = np.zeros(256, np.int64)
+COEFFICIENT[[*COMMON, *(b for b in range(256) if b not in COMMON)]] = [r // 2 if r % 2 == 0 else -(r + 1) // 2 for r in range(256)]
+BYTE = np.zeros(256, np.uint8)
+BYTE[COEFFICIENT + 128] = np.arange(256)
+
+
 def _codes(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Canonical Huffman code and length by symbol, and the segment body, from code lengths by symbol."""
     code, size = np.zeros(256, np.int64), np.zeros(256, np.int64)
@@ -52,18 +63,24 @@ def _codes(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, bytes]:
 
 
 def _lengths(weights: dict[int, float]) -> dict[int, int]:
-    """Code lengths of at most 16 bits that leave the all-ones code free, by halving weights into rounded logarithms."""
-    total = sum(weights.values())
-    out = {s: max(1, min(16, math.ceil(-math.log2(w / total)))) for s, w in weights.items()}
-    while sum(2.0**-n for n in out.values()) > 1 - 2**-16:
-        s = min((s for s in out if out[s] < 16), key=lambda s: (weights[s] * 2 ** out[s], s))
-        out[s] += 1
+    """Huffman code lengths, with one more symbol of the least weight, so that no real one gets the all-ones code."""
+    heap = [(w, i, (s,)) for i, (s, w) in enumerate([*weights.items(), (-1, 0.0)])]
+    heapq.heapify(heap)
+    out, made = dict.fromkeys([*weights, -1], 0), len(heap)
+    while len(heap) > 1:
+        (v, _, a), (w, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        for s in (*a, *b):
+            out[s] += 1
+        heapq.heappush(heap, (v + w, made, (*a, *b)))
+        made += 1
+    del out[-1]
     return out
 
 
-#: Code lengths suited to text held as coefficients: categories up to 8, hardly any zeros; every symbol of a progressive scan has a code.
-DC_CODE, DC_SIZE, DC_BODY = _codes(_lengths({s: 1.0 if 3 <= s <= 8 else 0.05 for s in range(12)}))
-AC_CODE, AC_SIZE, AC_BODY = _codes(_lengths({r << 4 | s: (1.0 if 3 <= s <= 8 else 0.2) if r == 0 else 0.004 for r in range(16) for s in range(11) if s or r in (0, 15)}))
+#: How often a coefficient of text has so many bits; every symbol of a progressive scan has a code, whatever the bytes are.
+SHARES = (0.15, 0.19, 0.25, 0.23, 0.12, 0.03, 0.02, 0.01, 0.004, 0.001, 0.001, 0.001)
+DC_CODE, DC_SIZE, DC_BODY = _codes(_lengths({s: SHARES[s] + 0.03 for s in range(12)}))
+AC_CODE, AC_SIZE, AC_BODY = _codes(_lengths({r << 4 | s: max(1e-4, (SHARES[s] if s else 0.02) * 0.17**r) for r in range(16) for s in range(9) if s or r in (0, 15)}))
 
 
 def _bits_of(v: np.ndarray) -> np.ndarray:
@@ -193,8 +210,7 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     blocks = np.zeros((int(base[-1]) * 6, 64), np.int64)
     luma = []
     for p, n, w, t, at in zip(payloads, sizes.tolist(), wide.tolist(), tall.tolist(), base.tolist(), strict=False):
-        blocks[at * 6 : at * 6 + n] = np.frombuffer(p, np.uint8).reshape(-1, 64)
-        blocks[at * 6 : at * 6 + n] -= 128
+        blocks[at * 6 : at * 6 + n] = COEFFICIENT[np.frombuffer(p, np.uint8)].reshape(-1, 64)
         y, x = np.divmod(np.arange(4 * w * t), 2 * w)
         luma.append(at * 4 + ((y >> 1) * w + (x >> 1)) * 4 + (y & 1) * 2 + (x & 1))
     blocks = blocks.reshape(-1, 6, 64)
@@ -537,7 +553,7 @@ def payload_of(image: Decoded) -> bytes:
     wide, tall = cb.wide, cb.tall
     luma = y.coef.reshape(tall, 2, wide, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 4, 64)
     blocks = np.concatenate([luma, cb.coef[:, None], cr.coef[:, None]], 1)
-    return (blocks + 128).astype(np.uint8).tobytes()[: int(image.comment.split()[1])]
+    return BYTE[blocks + 128].tobytes()[: int(image.comment.split()[1])]
 
 
 _k = np.arange(8)
@@ -582,34 +598,50 @@ def padded(data: bytes) -> bytes:
     return data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
 
 
-def _media(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for batch in slices(batches, "text"):
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 1 << 20):
         raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        stored = encode_payloads([padded(x) for x in raw])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(encode_payloads([padded(x) for x in raw]), pa.binary())], ["doc_id", "n_bytes", "media"])
+
+
+def _load(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    for batch in slices(batches, "media", 1 << 20):
         rows, tensors = [], []
-        for data, media, image in zip(raw, stored, decode_many(stored), strict=True):
+        stored = batch.column(2).to_pylist()
+        for media, image in zip(stored, decode_many(stored), strict=True):
             payload, tensor = payload_of(image), rgb(image)
-            rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensor)))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensor)))
             if keep:
                 tensors.append((tensor.shape[1], tensor.shape[0], tensor.tobytes()))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        cols = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
+        cols = [*batch.columns[:2], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))]
         if keep:
-            cols += [pa.array(stored, pa.binary()), *(pa.array(c, t) for c, t in zip(zip(*tensors, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True))]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names, *(["media", "width", "height", "rgb"] if keep else [])])
+            cols += [batch.column(2), *(pa.array(c, t) for c, t in zip(zip(*tensors, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", *names, *(["media", "width", "height", "rgb"] if keep else [])])
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media, a JPEG, of each text: rows for a table; see media_columns."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(lambda b: trimmed(_store(b)), f"doc_id {kind}, n_bytes bigint, media binary")
+
+
+def load_media(media: DataFrame, keep: bool = False) -> DataFrame:
+    """Figures of each row of a media table, from the stored bytes alone; with keep also the JPEG and its RGB tensor. Damaged images raise JpegError."""
+    kind = dict(media.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lambda b: trimmed(_load(b, keep)), schema + ", media binary, width bigint, height bigint, rgb binary" * keep)
 
 
 def media_columns(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id and figures of each text as stored and read back; with keep also the JPEG and its RGB tensor.
+    """doc_id and figures of each text, stored as a table of JPEGs in the shared folder and read back; with keep also the JPEG and its RGB tensor.
 
     Null and empty texts are a payload of 64 zero bytes. Equal texts give equal values, so repeated rows do. An
     empty table gives no rows; further columns are not read. Texts are coded in slices of about a
     megabyte, one text at least; a text beyond some 6 GB has no room in one image and raises JpegError.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _media(b, keep), schema + ", media binary, width bigint, height bigint, rgb binary" * keep)
+    return load_media(settle(store_media(docs), compression="none"), keep)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
