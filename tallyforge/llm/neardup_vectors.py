@@ -12,103 +12,116 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lookup_join, parts, settle, table
+from .common import lookup_join, parts, settle, table, trimmed, utf8
 from .components import connected_components
 
 #: Rows of one bucket that are compared with each other at once; larger buckets are cut into pairs of blocks.
 BLOCK = 1024
 
 
-def plan_tables(n: int, threshold: float, recall: float, mean_bucket: int = 64) -> tuple[int, int]:
-    """(tables, bits): buckets of about mean_bucket rows, and as many tables as the recall of a pair at the threshold needs."""
+def plan_tables(n: float, threshold: float, recall: float, mean_bucket: int = 64) -> tuple[int, int]:
+    """(tables, bits): buckets of about mean_bucket of n comparable rows, and as many tables as the recall of a pair at the threshold needs."""
     bits = min(28, max(6, math.ceil(math.log2(max(n, 1) / mean_bucket + 1))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - agree))), bits
 
 
 def _sign(batches: Iterator[pa.RecordBatch], tables: int, bits: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Add sig: one 32-bit key a table."""
+    """The vector as bytes (raw, as wide as it came), and keys: one 32-bit number a table."""
     planes: dict[int, np.ndarray] = {}
     weights = (1 << np.arange(bits, dtype=np.int64)).astype(np.float64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index("vector"))
+        spot = batch.schema.get_field_index("vector")
+        column = batch.column(spot)
+        kind = "<f4" if pa.types.is_float32(column.type.value_type) else "<f8"
         sizes = np.asarray(pc.list_value_length(column))
-        out: list[bytes] = [b""] * batch.num_rows
+        raw: list[bytes] = [b""] * batch.num_rows
+        keys = np.zeros((batch.num_rows, tables), np.int32)
         for dim in np.unique(sizes):
             at = np.nonzero(sizes == dim)[0]
-            x = np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(len(at), int(dim))
+            x = np.asarray(column.take(pa.array(at)).flatten()).astype(kind).reshape(len(at), int(dim))
             if dim not in planes:
                 planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), tables * bits))
-            keys = ((x @ planes[dim]) > 0).reshape(len(at), tables, bits) @ weights
-            for i, key in zip(at, keys.astype("<i4"), strict=True):
-                out[i] = key.tobytes()
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "sig"])
+            keys[at] = ((x.astype(np.float64) @ planes[dim]) > 0).reshape(len(at), tables, bits) @ weights
+            for i, row in zip(at.tolist(), x, strict=True):
+                raw[i] = row.tobytes()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
+        rest = [c for i, c in enumerate(batch.columns) if i != spot]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(raw, pa.binary()), lists], [*(x for x in batch.schema.names if x != "vector"), "raw", "keys"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and side. Emits (node, other, links): counts have no other, forest edges no links.
+    """Rows come sorted by bucket, its name in the first columns up to pair. Emits (node, other, links): counts have no other, forest edges no links.
 
     A pair counts only in the first table whose keys agree, so once.
     """
-    held: list[dict] = []
-    out: list[tuple[int, int | None, int]] = []
+    out: list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]] = []
 
-    def judge() -> None:
-        if len(held) < 2:
+    def judge(held: pa.RecordBatch) -> None:
+        if held.num_rows < 2:
             return
-        ids = np.array([r["rep"] for r in held])
-        x = np.array([r["vector"] for r in held], np.float64)
+        col = lambda name: held.column(held.schema.get_field_index(name))
+        n, dim = held.num_rows, col("dim")[0].as_py()
+        data, _ = utf8(col("raw"))
+        x = data.view(np.dtype(f"<f{len(data) // (n * dim)}")).reshape(n, dim).astype(np.float64)
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.sqrt((x * x).sum(1, keepdims=True))
-        sig = np.array([np.frombuffer(r["sig"], "<i4") for r in held])
-        side = np.array([r["side"] for r in held])
-        mult = np.array([r["copies"] for r in held])
-        left = np.nonzero(side <= 0)[0]
-        right = np.nonzero(side >= 0)[0]
+        ids, side, mult = (np.asarray(col(c)) for c in ("rep", "side", "copies"))
+        left, right = np.nonzero(side <= 0)[0], np.nonzero(side >= 0)[0]
         near = x[left] @ x[right].T >= threshold
         near &= ids[left][:, None] != ids[right][None, :]
         if not near.any():
             return
+        keys = np.asarray(col("keys").flatten()).reshape(n, -1)
         new = near.copy()
-        for t in range(held[0]["tab"]):
-            new &= sig[left, t][:, None] != sig[right, t][None, :]
-        count = np.zeros(len(held), np.int64)
+        for t in range(col("tab")[0].as_py()):
+            new &= keys[left, t][:, None] != keys[right, t][None, :]
+        count = np.zeros(n, np.int64)
         if (side == 0).all():
             count += new @ mult
         else:
             count[left] += new @ mult[right]
             count[right] += new.T @ mult[left]
-        full = np.zeros((len(held), len(held)), bool)
+        full = np.zeros((n, n), bool)
         full[np.ix_(left, right)] = near
         full |= full.T
-        label = np.arange(len(held))
+        label = np.arange(n)
         while True:
-            least = np.minimum(label, np.where(full, label[None, :], len(held)).min(1))
+            least = np.minimum(label, np.where(full, label[None, :], n).min(1))
             least = least[least]
             if (least == label).all():
                 break
             label = least
-        out.extend((int(ids[i]), None, int(count[i])) for i in np.nonzero(count)[0])
-        out.extend((int(ids[i]), int(ids[label[i]]), 0) for i in np.nonzero(label != np.arange(len(held)))[0])
+        linked, led = np.nonzero(count)[0], np.nonzero(label != np.arange(n))[0]
+        out.append((ids[linked], None, count[linked]))
+        out.append((ids[led], ids[label[led]], None))
 
     def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        none = lambda x, k: pa.array(x) if x is not None else pa.nulls(k, pa.int64())
+        cols = [pa.concat_arrays([none(x[i], len(x[0])) for x in out]) if out else pa.array([], pa.int64()) for i in range(3)]
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "other", "links"])
+        return pa.RecordBatch.from_arrays(cols, ["node", "other", "links"])
 
-    now = None
+    carry = None
     for batch in batches:
-        for row in batch.to_pylist():
-            key = (row["label"], row["dim"], row["tab"], row["bucket"], row["pair"])
-            if key != now:
-                judge()
-                held, now = [], key
-            held.append(row)
-        if len(out) > 20_000:
+        if carry is not None:
+            batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches(max_chunksize=1 << 62)[0]
+        if not batch.num_rows:
+            continue
+        edge = np.zeros(batch.num_rows, bool)
+        edge[0] = True
+        for c in batch.columns[: batch.schema.get_field_index("pair") + 1]:
+            edge[1:] |= np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)))
+        at = np.nonzero(edge)[0].tolist()
+        for i, j in zip(at, at[1:], strict=False):
+            judge(batch.slice(i, j - i))
+        carry = batch.slice(at[-1])
+        if sum(len(x[0]) for x in out) > 20_000:
             yield flush()
-    judge()
+    if carry is not None:
+        judge(carry)
     yield flush()
 
 
@@ -132,21 +145,21 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, recall:
     fit = rows.filter("fit")
     reps = fit.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = settle(reps.withColumn("dim", F.size("vector")))
-    tables, bits = plan_tables(reps.count(), threshold, recall)
+    peers = reps.groupBy("label", "dim").count().agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("n")).first().n or 1.0
+    tables, bits = plan_tables(peers, threshold, recall)
 
-    signed = settle(reps.mapInArrow(lambda b: _sign(b, tables, bits, seed), T.StructType(reps.schema.fields + [T.StructField("sig", T.BinaryType())])))
-    key = lambda t: F.conv(F.hex(F.reverse(F.substring("sig", t * 4 + 1, 4))), 16, 10).cast("bigint")
-    keyed = F.posexplode(F.array(*[key(t) for t in range(tables)])).alias("tab", "bucket")
+    signed = settle(reps.mapInArrow(lambda b: trimmed(_sign(b, tables, bits, seed)), T.StructType([f for f in reps.schema.fields if f.name != "vector"] + [T.StructField("raw", T.BinaryType()), T.StructField("keys", T.ArrayType(T.IntegerType()))])))
+    keyed = F.posexplode("keys").alias("tab", "bucket")
     counts = signed.select("label", "dim", keyed).groupBy("label", "dim", "tab", "bucket").count()
     large = settle(counts.filter(F.col("count") > BLOCK).select("label", "dim", "tab", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    spread = lookup_join(signed.select("label", "dim", "rep", "copies", "vector", "sig", keyed), large, ["label", "dim", "tab", "bucket"])
+    spread = lookup_join(signed.select("label", "dim", "rep", "copies", "raw", "keys", keyed), large, ["label", "dim", "tab", "bucket"])
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = spread.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
     spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("pair", F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).withColumn("side", F.signum(F.col("own") - F.col("with")).cast("int"))
     bucket = ["label", "dim", "tab", "bucket", "pair"]
-    sorted_rows = spread.select(*bucket, "side", "rep", "copies", "vector", "sig").repartition(parts(spark), *bucket).sortWithinPartitions(*bucket)
-    found = settle(sorted_rows.mapInArrow(lambda b: _compare(b, threshold), "node bigint, other bigint, links bigint"))
+    sorted_rows = spread.select(F.xxhash64(*bucket).alias("place"), *bucket, "side", "rep", "copies", "raw", "keys").repartition(parts(spark), "place").sortWithinPartitions("place", *bucket)
+    found = settle(sorted_rows.mapInArrow(lambda b: trimmed(_compare(b, threshold)), "node bigint, other bigint, links bigint"))
 
     links = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(found.filter("other is not null").select("node", "other"))
