@@ -1,14 +1,16 @@
 """Operator 8: main text of pages by wrapper induction.
 
 Some pages of a host are parsed into trees and aligned by simple tree matching. Nodes whose text is the same in all of them are
-template; of those that vary, the one that holds most of the text is the content slot. A page is aligned with its host's
-template; what meets the slot is the article, less template text and parts that are marked as something else.
+template; of what varies, the container that holds nearly all running text (not links) is the content slot, whatever it is called. A page is
+aligned with its host's template; what meets the slot is the article, less template text and parts that are marked as comments,
+adverts or the like, which vary too. Only a host with a single page, a host whose pages hardly differ, and a page without the slot are judged by element names and marks.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from html import unescape
 
@@ -18,16 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, settle, table
+from .common import lookup_join, settle, table, trimmed
 
 #: Different pages of a host that its template is induced from: those whose html has the smallest hash. Every page is then aligned.
 EXEMPLARS = 5
 #: Pairs of children beyond which lists are aligned row by row in arrays, and pairs of which such a table is held at once.
 WIDE, HELD = 400, 1 << 22
 #: Deepest level that a tree keeps; what lies deeper hangs on that level.
-DEEPEST = 120
+DEEPEST = 400
 #: Share of the text of the slot that a page has by itself below which what met the template's slot is not taken for the article.
 LEAST_SHARE = 0.5
+#: Share of a node's varying text that its child must hold for the slot to be sought further down.
+SLOT_SHARE = 0.9
+#: Share of the running text of the slot that must vary between the exemplars for them to tell template from content.
+VARYING_SHARE = 0.5
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +41,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math select".split())
 DROPPED = frozenset("nav footer aside form button menu dialog object canvas audio video fieldset datalist head".split()) | RAW
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("ul ol dl table select body html div article section main".split())
 #: Words of class, id and role that mark something other than the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs footer colophon contentinfo comment comments commentlist disqus respond replies related recommended share sharing social newsletter subscribe signup login search searchbox pagination pager skip toolbar widget complementary banner dialog form".split())
@@ -46,14 +54,17 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 50 * DEEPEST))  # trees are walked level by level
+
+
 class Node:
     """An element; kids are nodes and, for text, strings. shape: equal in nodes of a tree with equal tags throughout; holds: has the slot."""
 
-    __slots__ = ("fixed", "holds", "kids", "marks", "mass", "shape", "slot", "tag")
+    __slots__ = ("fixed", "holds", "inner", "kids", "marks", "mass", "shape", "slot", "tag")
 
     def __init__(self, tag: str, marks: frozenset = frozenset()) -> None:
         self.tag, self.marks, self.kids, self.fixed, self.slot, self.mass = tag, marks, [], None, False, 0
-        self.shape, self.holds = -1, False
+        self.shape, self.holds, self.inner = -1, False, frozenset()
 
     def nodes(self) -> list[Node]:
         return [k for k in self.kids if not isinstance(k, str)]
@@ -138,6 +149,7 @@ def _clean(pieces: list[str]) -> str:
 
 def blocks(root: Node, fixed: set[int] | None = None) -> list[str]:
     """Text blocks of a subtree in page order; fixed: ids of template nodes, whose own text is left out."""
+    inside = root.tag not in ("html", "body")
     out: list[str] = []
     held: list[str] = []
 
@@ -154,7 +166,7 @@ def blocks(root: Node, fixed: set[int] | None = None) -> list[str]:
                     held.append(k)
             elif k.tag == "br":
                 held.append(" ")
-            elif dropped(k, True):
+            elif dropped(k, inside):
                 if k.tag not in INLINE:
                     flush()
             elif k.tag in INLINE:
@@ -173,6 +185,16 @@ def own_text(node: Node) -> str:
     return _clean([k for k in node.kids if isinstance(k, str)])
 
 
+def subtree(node: Node) -> Iterator[Node]:
+    yield node
+    for k in node.nodes():
+        yield from subtree(k)
+
+
+def whole_text(node: Node) -> str:
+    return " ".join(t for x in subtree(node) if (t := own_text(x)))
+
+
 def likeness(slot: Node, b: Node) -> float:
     """What a template's slot, which has no children, adds to its match: equal marks count as a node, and more text (Node.mass) as less than one."""
     return bool(slot.marks and slot.marks == b.marks) + b.mass / (b.mass + 1000)
@@ -259,17 +281,17 @@ def align(a: Node, b: Node, memo: dict | None = None) -> Iterator[tuple[Node, No
         yield from align(p, q, memo)
 
 
-def find_slot(root: Node, varying: set[int] | None = None) -> Node:
-    """The node that holds the article: most text that is not marked otherwise, as deep as nearly all of that text stays in it.
+def find_slot(root: Node) -> Node:
+    """The article of a page by itself: most text that is not marked otherwise, as deep as nearly all of that text stays in it.
 
-    Articles and mains go first. Sets the mass of what is not marked otherwise. varying: ids of nodes whose text differs from page to page; None: any may.
+    Articles and mains go first, then what is marked as content. Sets the mass of what is not marked otherwise.
     """
     size: dict[int, int] = {}
     best: list[tuple[int, int, Node]] = []
 
     def weigh(node: Node, inside: bool) -> int:
         kind = 3 if node.tag == "article" else 2 if node.tag == "main" or "main" in node.marks else 1 if node.marks & MAIN_MARKS and node.tag in ("div", "section") else 0
-        n = len(own_text(node)) if varying is None or id(node) in varying else 0
+        n = len(own_text(node))
         for k in node.nodes():
             if not dropped(k, inside or kind > 0):
                 n += weigh(k, inside or kind > 0)
@@ -290,9 +312,43 @@ def find_slot(root: Node, varying: set[int] | None = None) -> Node:
         node = down
 
 
+def running(node: Node, varying: set[int], own: dict[int, int], headed: set[int], inside: bool = False, all_text: bool = False) -> int:
+    """Characters of running text (outside links, not marked otherwise) in a subtree, of varying nodes or all; own: by node; headed: nodes with such a heading."""
+    n = len(own_text(node)) if all_text or id(node) in varying else 0
+    head = bool(n) and node.tag in HEADINGS
+    for k in node.nodes():
+        if k.tag != "a" and not dropped(k, inside or node.tag in ("article", "main")):
+            n += running(k, varying, own, headed, inside or node.tag in ("article", "main"), all_text)
+            head |= id(k) in headed or (k.tag in HEADINGS and own.get(id(k), 0) > 0)
+    own[id(node)] = n
+    if head:
+        headed.add(id(node))
+    return n
+
+
+def content_slot(root: Node, varying: set[int]) -> Node:
+    """The deepest container with nearly all running text that varies; a heading that varies stays in."""
+    mass: dict[int, int] = {}
+    headed: set[int] = set()
+    running(root, varying, mass, headed)
+    node = root
+    while True:
+        kids = node.nodes()
+        down = max((k for k in kids if k.tag in CONTAINERS), key=lambda k: mass.get(id(k), 0), default=None)
+        if down is None or mass.get(id(down), 0) < max(1, SLOT_SHARE * mass[id(node)]) or any(id(k) in headed for k in kids if k is not down):
+            return node
+        node = down
+
+
 def induce(pages: list[str]) -> str | None:
-    """A host's template as JSON, or None where no text varies among several pages: a tree of [tag, text that all pages share or null, whether it is the slot, children, marks of the slot]."""
+    """A host's template as JSON, or None where its pages don't tell template from content: a single one, or several that hardly differ.
+
+    A tree of [tag, text that all pages share or null, whether it is the slot, children, marks of the slot, (tag, text) of constant containers within the slot].
+    """
     trees = [parse(p) for p in pages]
+    n = len(trees) - 1
+    if n < 1:
+        return None
     pivot = trees[0]
     same: dict[int, int] = {}
     seen: dict[int, int] = {}
@@ -300,29 +356,39 @@ def induce(pages: list[str]) -> str | None:
         for a, b in align(pivot, other):
             seen[id(a)] = seen.get(id(a), 0) + 1
             same[id(a)] = same.get(id(a), 0) + (own_text(a) == own_text(b))
-    n = len(trees) - 1
-    fixed = {i for i, k in same.items() if n > 1 and k == n}
-    varying = None
-    if n > 1:
-        varying = {i for i in seen if i not in fixed}
-
-        def grow(node: Node) -> None:
-            for k in node.nodes():
-                if id(k) not in seen:
-                    varying.add(id(k))
-                grow(k)
-
-        grow(pivot)
-        texts = lambda node: [own_text(node), *(t for k in node.nodes() for t in texts(k))]
-        if len({tuple(texts(t)) for t in trees}) == 1:
-            return None
-    slot = find_slot(pivot, varying)
+    fixed = {i for i, k in same.items() if k == n}
+    varying: set[int] = set()
+
+    def grow(node: Node) -> None:
+        if id(node) not in fixed:
+            varying.add(id(node))
+        for k in node.nodes():
+            grow(k)
+
+    grow(pivot)
+    slot = content_slot(pivot, varying)
+    if running(slot, varying, {}, set(), True) <= VARYING_SHARE * running(slot, varying, {}, set(), True, True):
+        return None
+    find_slot(pivot)  # sets masses
     slot.slot = True
+    inner: set[tuple[str, str]] = set()
+
+    def constants(node: Node) -> None:
+        """Whole containers within the slot that all exemplars share; single paragraphs and words that happen to agree are content."""
+        for k in node.nodes():
+            text = whole_text(k)
+            if k.tag in CONTAINERS and text and all(id(x) in fixed for x in subtree(k)):
+                inner.add((k.tag, text))
+            else:
+                constants(k)
+
+    if n > 1 and slot.tag not in ("article", "main"):
+        constants(slot)
 
     def dump(node: Node) -> list:
-        kids = [] if node.slot else [dump(k) for k in node.nodes() if id(k) in seen or k.slot or n < 1]
+        kids = [] if node.slot else [dump(k) for k in node.nodes() if id(k) in seen or k.slot]
         text = own_text(node) if id(node) in fixed and not node.slot else ""
-        return [node.tag, text or None, int(node.slot), kids, sorted(node.marks) if node.slot else []]
+        return [node.tag, text or None, int(node.slot), kids, sorted(node.marks) if node.slot else [], sorted(inner) if node.slot else []]
 
     return json.dumps(dump(pivot), ensure_ascii=False, separators=(",", ":"))
 
@@ -330,7 +396,7 @@ def induce(pages: list[str]) -> str | None:
 def load(raw: list) -> Node:
     def node_of(part: list) -> Node:
         node = Node(part[0], frozenset(part[4]))
-        node.fixed, node.slot = part[1], bool(part[2])
+        node.fixed, node.slot, node.inner = part[1], bool(part[2]), frozenset(map(tuple, part[5]))
         node.kids = [node_of(k) for k in part[3]]
         return node
 
@@ -340,23 +406,31 @@ def load(raw: list) -> Node:
 
 
 def extract(html: str, template: Node | None) -> str:
-    """Main text of one page by its host's template, if there is one."""
+    """Main text of one page by its host's template; without one, or where the slot is missing or holds little, by the page's own marks."""
     tree = parse(html)
     alone = find_slot(tree)
-    root, fixed = None, set()
-    if template is not None:
-        for a, b in align(template, tree):
-            if a.slot:
-                root = b
-            elif a.fixed and a.fixed == own_text(b):
-                fixed.add(id(b))
-    # a page without the slot, or whose slot holds little of its text, is judged alone
+    if template is None:
+        return " ".join(blocks(alone))
+    slot, fixed, inner = None, set(), frozenset()
+    for a, b in align(template, tree):
+        if a.slot:
+            slot, inner = b, a.inner
+        elif a.fixed and a.fixed == own_text(b):
+            fixed.add(id(b))
+    if slot is None:
+        return " ".join(blocks(alone, fixed))
+
+    def constant(node: Node) -> None:
+        for k in node.nodes():
+            if k.tag in CONTAINERS and (k.tag, whole_text(k)) in inner:
+                fixed.update(id(x) for x in subtree(k))
+            else:
+                constant(k)
+
+    if inner:
+        constant(slot)
     held = lambda node: sum(map(len, blocks(node, fixed)))
-    if root is None or (root is not alone and ((alone.tag in ("article", "main") and root.tag not in ("article", "main")) or held(root) < LEAST_SHARE * held(alone))):
-        root = alone
-    marked = root.tag in ("article", "main") or bool(root.marks & MAIN_MARKS)
-    out = " ".join(blocks(root, None if marked else fixed))
-    return out if out or root is alone else " ".join(blocks(alone))
+    return " ".join(blocks(slot if slot is alone or held(slot) >= max(1, LEAST_SHARE * held(alone)) else alone, fixed))
 
 
 def _induce_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -394,7 +468,7 @@ def extract_pages(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
     chosen = settle(ranked.select("host", "page_id", "order"))
     texts = lookup_join(rows.select("page_id", "html", order.alias("order")), chosen, ["page_id", "order"], "inner")
     templates = settle(texts.dropDuplicates(["host", "order"]).groupBy("host").applyInPandas(_induce_group, "host string, template string"))
-    return lookup_join(rows, templates, ["host"]).select("page_id", "url", "html", "template").mapInArrow(_extract, ", ".join(f"{c} {t}" for c, t in pages.select("page_id", "url").dtypes) + ", text string, n_chars bigint")
+    return lookup_join(rows, templates, ["host"]).select("page_id", "url", "html", "template").mapInArrow(lambda b: trimmed(_extract(b)), ", ".join(f"{c} {t}" for c, t in pages.select("page_id", "url").dtypes) + ", text string, n_chars bigint")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
