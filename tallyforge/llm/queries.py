@@ -10,7 +10,7 @@ from .progressive_jpeg import op10_media_columns
 from .quality import op2_quality_classifier
 from .suffix_dedup import op7_suffix_array_dedup
 from .toxicity import op3_toxicity
-from .unigram import op1_sentencepiece
+from .piece_scan import op1_sentencepiece
 from .warc import op5_warc
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_toxicity, op4_packing, op5_warc, op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_html_extraction, op9_embedding_near_dedup, op10_media_columns)}
