@@ -15,18 +15,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_join, parts, settle, slices, table, utf8
+from .common import lookup_join, parts, settle, slices, table, trimmed, utf8
 from .components import connected_components
-from .shingles import mix, shingle_sets
+from .shingles import mix, shingle_sets, words_of
 
 #: Counters of the rarity table. Any order gives the same links; a good one keeps common shingles out of prefixes.
 SLOTS = 1 << 20
-#: Sets that a worker remembers to have sent already.
-SEEN = 1_000_000
+#: Slots of a worker's memory of sets that it has sent already.
+SEEN = 1 << 18
 #: Rows of one token that are held before they go out with their leader.
 LONG = 1 << 16
 #: Rows of a bucket that are compared with the rest of it at once.
 BLOCK = 1024
+#: Rows of a bucket that one task compares with each other; a larger bucket is cut into blocks, and each pair of blocks is a task's group.
+BUCKET = 1 << 14
+#: Pairs of one member that are verified in one group.
+MEMBER = 256
 
 
 def _sets(batch: pa.RecordBatch, spot: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,16 +82,13 @@ def needed(num: int, den: int, a: np.ndarray | int, b: np.ndarray | int) -> np.n
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+    seen = np.zeros(SEEN, np.int64)
     for batch in slices(batches, "text"):
         doc, h, n, name = _sets(batch, 1, k)
-        fresh = np.zeros(len(n), bool)
-        for i, x in enumerate(name.tolist()):
-            if n[i] and x not in seen:
-                seen.add(x)
-                fresh[i] = True
-        if len(seen) > SEEN:
-            seen.clear()
+        slot = name & (SEEN - 1)
+        fresh = (n > 0) & (seen[slot] != name)
+        fresh[np.setdiff1d(np.arange(len(name)), np.unique(name, return_index=True)[1])] = False
+        seen[slot[fresh]] = name[fresh]
         keep = fresh[doc]
         doc, h = doc[keep], h[keep]
         order = np.lexsort((h, rank[(h & np.uint64(SLOTS - 1)).astype(np.int64)], doc))
@@ -146,9 +147,12 @@ def _star(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
 
 
 def _cross(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by token, n: pairs of different components that the length and positional filters let pass."""
+    """Rows come sorted by token, pair of blocks, n: pairs of different components that the length and positional filters let pass.
 
-    def pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    side: -1 and 1 for the two blocks of a pair, which are compared with each other only, 0 for a block with itself.
+    """
+
+    def pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(node), BLOCK):
             end = int(np.searchsorted(n, n[min(i + BLOCK, len(node)) - 1] * den // num, "right"))  # length filter: n ascends
             for j in range(i, end, BLOCK):
@@ -156,6 +160,7 @@ def _cross(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
                 most = 1 + np.minimum.outer(n[a] - pos[a], n[b] - pos[b]) - 1
                 good = (comp[a][:, None] != comp[b][None, :]) & (most >= needed(num, den, n[a][:, None], n[b][None, :]))
                 good &= np.arange(a.start, a.stop)[:, None] < np.arange(b.start, b.stop)[None, :]
+                good &= (side[a][:, None] == 0) | (side[a][:, None] != side[b][None, :])
                 x, y = np.nonzero(good)
                 if len(x):
                     x, y = node[a][x], node[b][y]
@@ -163,12 +168,15 @@ def _cross(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 
     carry: list[np.ndarray] | None = None
 
+    def edges(cols: list[np.ndarray]) -> np.ndarray:
+        return np.nonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]))[0]
+
     def groups(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, node, n, pos, comp = cols
-        edge = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0].tolist() + [len(token)]
+        _, _, node, n, pos, comp, side = cols
+        edge = edges(cols).tolist() + [len(node)]
         for i, j in zip(edge, edge[1:], strict=False):
             if j - i > 1 and (comp[i:j] != comp[i]).any():
-                yield from pairs(node[i:j], n[i:j].astype(np.int64), pos[i:j].astype(np.int64), comp[i:j])
+                yield from pairs(node[i:j], n[i:j].astype(np.int64), pos[i:j].astype(np.int64), comp[i:j], side[i:j])
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -176,7 +184,7 @@ def _cross(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
             cols = [np.concatenate(x) for x in zip(carry, cols, strict=True)]
         if not len(cols[0]):
             continue
-        last = int(np.nonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))[0][-1])
+        last = int(edges(cols)[-1])
         if last:
             yield from groups([c[:last] for c in cols])
         carry = [c[last:] for c in cols]
@@ -205,25 +213,39 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return int((y[at] == x).sum()) >= least
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _named(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Texts with the names of their sets."""
     for batch in slices(batches, "text"):
-        doc, h, n, name = _sets(batch, 0, k)
-        cut = np.cumsum(n)[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([x.tobytes() for x in np.split(h, cut)], pa.binary())], ["node", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(_sets(batch, 0, k)[3]), batch.column(0)], ["node", "text"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, hashes of b), sorted by a with a's own set first: b is null there."""
-    own, name = None, None
-    for batch in batches:
-        a_s, b_s = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        out = []
-        for i, (a, b) in enumerate(zip(a_s, b_s, strict=True)):
-            if b is None:
-                own, name = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64), a
-            elif name == a and linked(own, np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64), num, den):
-                out.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+def shingles_of(text: str, k: int) -> set[tuple[str, ...]]:
+    """The set itself, of words and not of hashes."""
+    words = words_of(text)
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} - {()}
+
+
+def _verify(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, b, text of b), sorted by a and part, with a's own text first: b is null there.
+
+    Pairs that the suffix filter lets pass on hashes are verified on the words themselves.
+    """
+    own, mine, key = None, None, None
+    for whole in batches:
+        for batch in slices(iter([whole]), "text"):
+            _, hashes, n, _ = _sets(batch, 3, k)
+            sets = np.split(hashes, np.cumsum(n)[:-1])
+            out = []
+            for i, (a, part, b, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if b is None:
+                    own, mine, key = sets[i], text, (a, part)
+                elif (a, part) == key and linked(own, sets[i], num, den):
+                    if isinstance(mine, str):
+                        mine = shingles_of(mine, k)
+                    other = shingles_of(text, k)
+                    if den * len(mine & other) >= num * len(mine | other):
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
 def _sift(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -238,20 +260,23 @@ def _sifted(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """A filter without false negatives before whole sets move: symmetric differences are bounded below by bitmaps."""
     one, two = (reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return settle(rows.mapInArrow(lambda x: _sift(x, num, den), "a bigint, b bigint"))
+    return settle(rows.mapInArrow(lambda x: trimmed(_sift(x, num, den)), "a bigint, b bigint"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link; each is verified once, on whole sets. Rows are dealt by a, the member; b may be in any number of pairs."""
+    """The pairs (a, b) that link; each is verified once, on whole texts. Rows are dealt by a and, where it has very many pairs, by parts of them."""
     spark = pairs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = settle(reps.join(nodes, "node", "left_semi").select("doc_id").distinct())
-    rows = lookup_join(docs, wanted, ["doc_id"], "inner").select("text").mapInArrow(lambda b: _set_rows(b, k), "node bigint, hashes binary")
-    sets = settle(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
-    own = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "hashes")
-    other = pairs.join(sets, F.col("b") == F.col("node")).select("a", "b", "hashes")
-    dealt = own.unionByName(other).repartition(parts(spark), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return settle(dealt.mapInArrow(lambda x: _verify(x, num, den), "a bigint, b bigint"))
+    rows = lookup_join(docs, wanted, ["doc_id"], "inner").select("text").mapInArrow(lambda b: trimmed(_named(b, k)), "node bigint, text string")
+    texts = settle(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    busy = settle(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBER).cast("int").alias("parts")))
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1))).cast("int")
+    many = busy.filter("parts > 1")
+    own = texts.join(busy, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "text")
+    other = lookup_join(pairs, many, ["a"]).select("a", part("b").alias("part"), "b").join(texts, F.col("b") == F.col("node")).select("a", "part", "b", "text")
+    dealt = own.unionByName(other).repartition(parts(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return settle(dealt.mapInArrow(lambda x: trimmed(_verify(x, k, num, den)), "a bigint, b bigint"))
 
 
 def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -260,11 +285,11 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     Documents without words or text have n_shingles 0 and stand alone; documents of fewer than k words have one shingle.
     Equal sets are one vertex, so copies cost nothing in the join. A null doc_id links with nothing and has a null component. Rows
     that repeat a doc_id are separate documents that share the id's component. An empty table gives no rows; further columns are not read.
-    Sets and shingles are named by 64-bit hashes, pairs verified on the hashed sets.
+    Equal sets are told by a 64-bit name; a link between different ones is verified on the words themselves.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    made = settle(texts.mapInArrow(lambda b: _heads(b, k), "doc_id bigint, node bigint, n bigint, bits binary, slot bigint"))
+    made = settle(texts.mapInArrow(lambda b: trimmed(_heads(b, k)), "doc_id bigint, node bigint, n bigint, bits binary, slot bigint"))
     heads = made.filter("slot is null").drop("slot")
     counts = made.filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
     rank = np.zeros(SLOTS, np.uint32)
@@ -274,9 +299,9 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     reps = settle(reps)
 
     known = texts.filter("doc_id is not null")
-    postings = known.mapInArrow(lambda b: _prefixes(b, k, num, den, shared.value), "token bigint, node bigint, n int, pos int")
+    postings = known.mapInArrow(lambda b: trimmed(_prefixes(b, k, num, den, shared.value)), "token bigint, node bigint, n int, pos int")
     dealt = postings.repartition(parts(spark), "token").sortWithinPartitions("token", "pos", "n", "node")
-    starred = settle(dealt.mapInArrow(lambda b: _star(b, num, den), "token bigint, node bigint, n int, pos int, lead bigint, lead_n int, lead_pos int"))
+    starred = settle(dealt.mapInArrow(lambda b: trimmed(_star(b, num, den)), "token bigint, node bigint, n int, pos int, lead bigint, lead_n int, lead_pos int"))
     need = F.ceil(F.lit(num) * (F.col("n") + F.col("lead_n")) / (num + den))
     room = F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos"))
     first = starred.filter("node <> lead").filter(room >= need).select(F.col("node").alias("a"), F.col("lead").alias("b"))
@@ -284,10 +309,13 @@ def similar_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
 
     comps = settle(connected_components(links))
     bucket = starred.select("token", "node", "n", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    split = bucket.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    rest = bucket.join(split, "token", "left_semi").select("token", "node", "n", "pos", "comp").distinct()
-    rest = rest.repartition(parts(spark), "token").sortWithinPartitions("token", "n", "node")
-    open_pairs = rest.mapInArrow(lambda b: _cross(b, num, den), "a bigint, b bigint").distinct()
+    split = bucket.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).filter("x <> y")
+    split = settle(split.select("token", F.ceil(F.col("rows") / BUCKET).cast("int").alias("blocks")))
+    rest = lookup_join(bucket.select("token", "node", "n", "pos", "comp").distinct(), split, ["token"], "inner")
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.withColumn("pair", F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).withColumn("side", F.signum(F.col("own") - F.col("with")).cast("int"))
+    rest = rest.select("token", "pair", "node", "n", "pos", "comp", "side").repartition(parts(spark), "token", "pair").sortWithinPartitions("token", "pair", "n", "node")
+    open_pairs = rest.mapInArrow(lambda b: trimmed(_cross(b, num, den)), "a bigint, b bigint").distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(_sifted(open_pairs.join(tried, ["a", "b"], "left_anti"), reps, num, den), known, reps, k, num, den)
 
