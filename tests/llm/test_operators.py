@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ pytest.importorskip("tallyforge.llm")
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyforge.llm import html_wrapper, neardup_vectors, ngram_join, packing, progressive_jpeg, quality, shingles, suffix_dedup, toxicity, unigram, warc
+from tallyforge.llm import html_wrapper, neardup_vectors, ngram_join, packing, progressive_jpeg, quality, shingles, suffix_dedup, toxicity, piece_scan, warc
 from tallyforge.llm.components import Forest, connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -49,45 +50,53 @@ def table(df):
 # ---- 1
 
 
-def test_lattice_is_the_best_path():
-    p = unigram.pieces_of(PIECES)
-    texts = [t for t in TEXTS if t and len(t) < 400] + ["  a  b ", "the theatre and the end"]
-    ids, n, score = p.segment([unigram.escape(t) for t in texts])
-    for t, mine, s in zip(texts, np.split(ids, np.cumsum(n)[:-1]), score, strict=True):
-        best = p.best(unigram.escape(t))
-        assert mine.tolist() == [i for x in best for i in p.ids(x)]
-        assert s == sum(p.score.get(x, p.worst) for x in best)
-        assert unigram.decode(p, mine.tolist()) == t.replace("▁", " ")
-
+def whole_scan(p, text, chunk):
+    """The scan of one text, on the driver."""
+    spans = list(piece_scan.spans(piece_scan.escape(text), chunk, p.longest))
+    matrices = [piece_scan.transfer(p, s) for s in spans]
+    ways = [np.zeros(1)]
+    for m in matrices:
+        ways.append((ways[-1][:, None] + m).max(0))
+    states = [int(np.argmax(ways[-1]))]
+    for v, m in zip(ways[-2::-1], matrices[::-1], strict=True):
+        states.append(int(np.argmax(v + m[:, states[-1]])))
+    states.reverse()
+    return [x for s, i, j in zip(spans, states, states[1:], strict=False) for x in piece_scan.backtrace(p, s, i, j)]
+
+
+def test_scan_gives_the_librarys_ids_on_every_text():
+    p = piece_scan.pieces_of(PIECES)
+    texts = [t for t in TEXTS if t] + ["  a  b ", "the theatre and the end", "Zürich" * 40, "https://example.org/" + "aGVsbG8" * 30, "日本語" * 30, "\u2581\u2581 x"]
+    texts += [t[:3000] for t in pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text if t]
+    for t in texts:
+        want = p.model.encode(t)
+        assert whole_scan(p, t, 30) == want and whole_scan(p, t, 257) == want
+        assert piece_scan.decode(p, want) == t.replace("▁", " ")
 
-def test_lattice_equals_the_library_in_unigram_mode():
-    from sentencepiece import SentencePieceProcessor
 
-    raw = open(PIECES, "rb").read()
-    at = raw.rindex(b"tok_v0\x18\x02")
-    library = SentencePieceProcessor(model_proto=raw[:at] + b"tok_v0\x18\x01" + raw[at + 8 :])
-    p = unigram.pieces_of(PIECES)
-    for t in ("the theatre and the end", "Hello world of pieces", "retinting once more"):
-        assert p.segment([unigram.escape(t)])[0].tolist() == library.nbest_encode_as_ids(t, 2)[0]
+def test_pieces_of_short_texts_are_the_librarys():
+    p = piece_scan.pieces_of(PIECES)
+    for t in ["a", "aaaaaaa", "theatre", "ﬁnal", "x😀y", "retinting"]:
+        assert [i for x in p.merged(piece_scan.escape(t)) for i in p.ids(x)] == p.model.encode(t)
 
 
 @pytest.mark.parametrize("chunk", [40, 100, 1000])
 def test_scan_equals_the_whole(spark, docs, chunk):
     cols = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"]
-    whole = sorted(map(tuple, unigram.encode_documents(docs, PIECES, chunk=10**6).select(cols).fillna(-1).collect()))
-    parts = sorted(map(tuple, unigram.encode_documents(docs, PIECES, chunk=chunk).select(cols).fillna(-1).collect()))
+    whole = sorted(map(tuple, piece_scan.encode_documents(docs, PIECES, chunk=10**6).select(cols).fillna(-1).collect()))
+    parts = sorted(map(tuple, piece_scan.encode_documents(docs, PIECES, chunk=chunk).select(cols).fillna(-1).collect()))
     assert parts == whole and len(whole) == len(TEXTS) + 2
 
 
 def test_transfer_matrices_are_associative():
-    p = unigram.pieces_of(PIECES)
-    m = [unigram.transfer(p, s) for s in unigram.spans(unigram.escape("abracadabra" * 9 + " end"), 20, p.longest)]
-    left = unigram.combine(unigram.combine(m[0], m[1]), m[2])
-    assert np.array_equal(left, unigram.combine(m[0], unigram.combine(m[1], m[2])))
+    p = piece_scan.pieces_of(PIECES)
+    m = [piece_scan.transfer(p, s) for s in piece_scan.spans(piece_scan.escape("abracadabra" * 9 + " end"), 20, p.longest)]
+    left = piece_scan.combine(piece_scan.combine(m[0], m[1]), m[2])
+    assert np.array_equal(left, piece_scan.combine(m[0], piece_scan.combine(m[1], m[2])))
 
 
 def test_encode_nothing(none):
-    assert unigram.encode_documents(none, PIECES).count() == 0
+    assert piece_scan.encode_documents(none, PIECES).count() == 0
 
 
 # ---- 2
@@ -105,6 +114,26 @@ def test_weak_labels_find_the_planted_accuracies():
     assert ((model.posterior(v) > 0.5) == truth).mean() > 0.95
 
 
+def plain_measures(text):
+    """The measures of one text in plain Python."""
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in raw))
+    n, size = max(len(words), 1), max(len(raw), 1)
+    fives = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    many = sum(k for k in Counter(fives).values() if k > 1)
+    return [sum(c in b"%*$&#|!<>{}[]\\^~=_@+" for c in raw) / size, sum(65 <= c <= 90 for c in raw) / size, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+            1 - len(set(words)) / n if words else 0, max(Counter(words).values(), default=0) / n, sum(map(len, words)) / n, many / n], len(words)
+
+
+def test_measures_equal_plain_ones():
+    texts = [t or "" for t in TEXTS] + ["a a a a a a a b", "x " * 40, "A%b *c* A%b", "one two three four five one two three four five"]
+    raw = [t.encode() for t in texts]
+    got, n = quality.measures(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    for t, values, words in zip(texts, got, n, strict=True):
+        want, count = plain_measures(t)
+        assert count == words and np.allclose(values[words and slice(None) or slice(0, 2)], want[words and slice(None) or slice(0, 2)])
+
+
 def test_quality_against_labels(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = table(quality.score_quality(d, quality.train(d)).select("doc_id", "quality_kept")).merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"))
@@ -257,6 +286,34 @@ def test_jaccard_join_is_exact(spark, docs, none):
     assert ngram_join.similar_sets(none).count() == 0
 
 
+def test_made_up_words_stay_apart(spark):
+    """Thue-Morse words collide under any rolling hash modulo 2 ** 64."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (4, f"x {a} y z"), (5, f"x {b} y z")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_sets(df, 4, 85, 100).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_hot_buckets_and_members_are_split(spark, monkeypatch):
+    """A bucket of many components, cut into pairs of blocks, gives the links of the whole."""
+    monkeypatch.setattr(ngram_join, "BUCKET", 16)
+    monkeypatch.setattr(ngram_join, "MEMBER", 4)
+    r = random.Random(12)
+    texts = []
+    for i in range(60):  # a chain of neighbours: links beyond the leader's
+        texts.append(" ".join(f"w{j}" for j in range(i * 2, i * 2 + 40)) + " end of it")
+    texts += [f"{texts[0]} more{i}" for i in range(40)] + [" ".join(f"v{r.randrange(30)}" for _ in range(30)) for _ in range(20)]
+    sets, forest = [shingle_set(t, 4) for t in texts], Forest()
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                forest.union(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_sets(df, 4, 85, 100).collect()}
+    assert got == {i: (len(s), forest.root(i)) for i, s in enumerate(sets)}
+
+
 def test_bounds_never_cut_links():
     r = np.random.default_rng(2)
     for n in (1, 5, 80, 700):
@@ -278,7 +335,15 @@ def test_components(spark):
 # ---- 7
 
 
+def brute_kept(texts, length):
+    return [bytes(np.frombuffer(t, np.uint8)[~c]) for t, c in zip(texts, covered(texts, length), strict=True)]
+
+
 def brute_repeats(texts, length):
+    return [(len(t), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~c])).hexdigest()) for t, c in zip(texts, covered(texts, length), strict=True)]
+
+
+def covered(texts, length):
     seen = {}
     for i, t in enumerate(texts):
         for j in range(len(t) - length + 1):
@@ -288,7 +353,7 @@ def brute_repeats(texts, length):
         if len(places) > 1:
             for i, j in places:
                 cover[i][j : j + length] = True
-    return [(len(t), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~c])).hexdigest()) for t, c in zip(texts, cover, strict=True)]
+    return cover
 
 
 def test_repeats_are_exact(spark, docs, none):
@@ -300,16 +365,31 @@ def test_repeats_are_exact(spark, docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [False, True])
-def test_repeats_of_crowded_anchors(spark, monkeypatch, crowd):
-    if crowd:
-        monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+@pytest.mark.parametrize(("group", "bits", "piece"), [(1500, 28, 1 << 20), (4, 28, 150), (6, 0, 100)])
+def test_repeats_of_crowded_anchors(spark, monkeypatch, group, bits, piece):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "MOST_BITS", bits)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     r = random.Random(4)
     core = "".join(r.choice("abcdefgh ") for _ in range(150))
     texts = ["".join(r.choice("abcdefgh ") for _ in range(r.randrange(0, 120))) + core[: r.randrange(60, 151)] + "".join(r.choice("ab") for _ in range(60)) for _ in range(40)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(df, length=64, anchor=16).collect()}
-    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 64)))
+    texts += ["x" + core + core[40:] * 2 + "y" * 90, "z" + core, "z" + core, None]
+    df = spark.createDataFrame([(i, t, "clash", i) for i, t in enumerate(texts)], "doc_id long, text string, marks string, found long")
+    out = suffix_dedup.remove_repeats(df, length=64, anchor=16)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out.collect()}
+    assert got == dict(enumerate(brute_repeats([(t or "").encode() for t in texts], 64)))
+    assert out.columns[:4] == ["doc_id", "text", "marks", "found"]
+
+
+def test_thousands_of_segments_on_one_anchor(spark):
+    """One passage in 3,000 documents with different neighbours: its anchors have far more segments than a part holds."""
+    r = random.Random(6)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(330))
+    noise = lambda: "".join(r.choice("klmnopq ") for _ in range(r.randrange(20, 140)))
+    texts = [noise() + passage[r.randrange(0, 60) * (i % 3 == 0) :] + noise() for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(df).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 200)))
 
 
 def test_merged_transforms_give_the_suffix_order():
@@ -350,6 +430,44 @@ def test_induction_without_marks():
     assert html_wrapper.tree_match(a, b) == 4
 
 
+SITE = "<body><div class=a1>Site name <a href=/>Home</a></div><div class=b2>{promo}</div><div><div class=c3><h1>Title {i}</h1><div>{body}</div><div>Printed by the press</div></div></div><div class=d4>Imprint and terms of the site</div></body>"
+
+
+def site_pages(n):
+    bodies = [" ".join(words(60, 40 + i).split()) for i in range(n)]
+    return bodies, [SITE.format(i=i, promo="Offer of the day" * (i % 2), body=b) for i, b in enumerate(bodies)]
+
+
+def test_the_template_decides():
+    """Pages without any element or mark that names the article: each differs with and without its host's template, and only the template finds it."""
+    bodies, pages = site_pages(12)
+    template = html_wrapper.load(html_wrapper.json.loads(html_wrapper.induce(pages[:5])))
+    told = [html_wrapper.extract(p, template) for p in pages]
+    assert told == [f"Title {i} {b}" for i, b in enumerate(bodies)]
+    assert sum(html_wrapper.extract(p, None) != t for p, t in zip(pages, told, strict=True)) == 12
+
+
+def test_pages_of_one_host_go_through_its_template(spark):
+    bodies, pages = site_pages(9)
+    df = spark.createDataFrame([(i, "http://plain.example/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_wrapper.extract_pages(df).collect()} == {i: f"Title {i} {b}" for i, b in enumerate(bodies)}
+
+
+def test_hosts_that_tell_nothing_are_judged_by_marks():
+    page = "<nav>menu</nav><article><p>one two three</p></article><footer>f</footer>"
+    assert html_wrapper.induce([page]) is None
+    near = ["<div>menu</div><article><p>" + "same words again " * 30 + x + "</p></article>" for x in ("a", "b", "c")]
+    assert html_wrapper.induce(["<article>" + "".join(f"<p>{'para ' * 20}{i}</p>" for i in range(20)) + f"<p>{x}</p></article>" for x in "ab"]) is None
+    assert html_wrapper.extract(near[0], None) == ("same words again " * 30 + "a").strip()
+
+
+def test_deep_trees():
+    page = "<div>" * 390 + "<p>deep text</p>" + "</div>" * 390
+    assert html_wrapper.extract(page, None) == "deep text"
+    pages = [page.replace("deep text", f"deep text number {i} and more of it") for i in range(3)]
+    assert html_wrapper.extract(pages[1], html_wrapper.load(html_wrapper.json.loads(html_wrapper.induce(pages)))) == "deep text number 1 and more of it"
+
+
 # ---- 9
 
 
