@@ -38,42 +38,69 @@ def open_state(events: DataFrame, key: str, when: Sequence[str], opens: Column,
     return marked.groupBy(key).agg(F.max_by("__open", F.struct(*when)).alias("is_open"), F.max(F.when(F.col("__open"), F.col(when[0]))).alias("last_open_at"))
 
 
-def regressions(events: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """WIN-01, WIN-02: rows whose value is below the key's last one that is not null."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return events.filter(F.col(value).isNotNull()).withColumn("previous", F.lag(value).over(w)).filter(F.col(value) < F.col("previous"))
+#: Where a key's rows begin that no time is known of.
+FIRST = "0001-01-01"
 
 
-def as_of_state(probes: DataFrame, events: DataFrame, key: str, probe_at: str, event_at: str, facts: dict[str, Column], slice_: str = "month") -> DataFrame:
-    """JOIN-07: for each probe, the latest time not after it at which each fact held, by key.
+def _slice(at: Column, unit: str) -> Column:
+    return F.coalesce(F.date_trunc(unit, at), F.lit(FIRST).cast("timestamp"))
+
+
+def _carried(parts: DataFrame, key: Sequence[str], place: str, carry: dict[str, Column]) -> DataFrame:
+    """For each part of a key (a row each) what the parts before it hand over; a window of as many rows as a key has parts."""
+    before = Window.partitionBy(*key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*key, place, *(how.over(before).alias(name) for name, how in carry.items()))
 
-    Linear in both sides, where a range join would grow with their product, and no task holds a whole key: events are summed
-    up by key and slice of time, running maxima over those sums tell what a slice starts with, and within a slice a window over
-    probes and events does the rest. facts: conditions on event columns by result name; slice_: a unit of date_trunc.
+
+def regressions(events: DataFrame, key: str, order: Sequence[str], value: str, slice_: str | Column = "month") -> DataFrame:
+    """WIN-02: rows whose value is below the key's last one that is not null, with it as previous.
+
+    A key is cut into slices of its order, so that none is one task's work: the lag runs within a slice, and the first row of a slice gets the last
+    value of the slices before, one row a key and slice. slice_: a unit of date_trunc for the first column of the order, or a column that never falls in that order.
     """
-    cut = lambda c: F.coalesce(F.date_trunc(slice_, c), F.lit("0001-01-01").cast("timestamp"))
-    values = {k: F.when(c, F.col(event_at)).cast("timestamp") for k, c in facts.items()}
-    right = events.select(key, F.col(event_at).cast("timestamp").alias("__at"), F.lit(0).alias("__probe"), *(v.alias(f"__{k}") for k, v in values.items()))
-    left = probes.withColumns({"__at": F.col(probe_at).cast("timestamp"), "__probe": F.lit(1), **{f"__{k}": F.lit(None).cast("timestamp") for k in facts}})
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("__slice", cut(F.col("__at")))
-    sums = both.groupBy(key, "__slice").agg(*(F.max(f"__{k}").alias(f"__s_{k}") for k in facts))  # a row a key and slice
-    earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col(key).alias("__key"), F.col("__slice").alias("__from"), *(F.max(f"__s_{k}").over(earlier).alias(f"__c_{k}") for k in facts))
-    w = Window.partitionBy(key, "__slice").orderBy("__at", "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumns({f"__w_{k}": F.max(f"__{k}").over(w) for k in facts}).filter("__probe = 1")
-    out = seen.join(starts, seen[key].eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__from")), "left")
-    return out.select(*probes.columns, *(F.greatest(f"__w_{k}", f"__c_{k}").alias(k) for k in facts))
-
-
-def prior_events(probes: DataFrame, key: Sequence[str], at: str, id_col: str) -> DataFrame:
-    """JOIN-08: for each row, how many earlier or simultaneous other rows its key has, and the one before it by time and id.
-
-    Rows of equal time see each other in the count, so its frame is by range.
+    cut = _slice(F.col(order[0]).cast("timestamp"), slice_) if isinstance(slice_, str) else slice_
+    known = events.filter(F.col(value).isNotNull()).withColumn("__slice", cut)
+    ends = known.groupBy(key, "__slice").agg(F.max_by(value, F.struct(*order)).alias("__end"))
+    starts = _carried(ends, [key], "__slice", {"__before": F.last("__end")}).withColumnsRenamed({key: "__key", "__slice": "__from"})
+    w = Window.partitionBy(key, "__slice").orderBy(*order)
+    inside = known.withColumn("__lag", F.lag(value).over(w)).join(starts, F.col(key).eqNullSafe(F.col("__key")) & F.col("__slice").eqNullSafe(F.col("__from")))
+    return inside.withColumn("previous", F.coalesce("__lag", "__before")).filter(F.col(value) < F.col("previous")).select(*events.columns, "previous")
+
+
+def as_of(probes: DataFrame, events: DataFrame, key: str, probe_at: str, event_at: str, latest: dict[str, Column], totals: dict[str, Column] | None = None, slice_: str = "month") -> DataFrame:
+    """JOIN-07, JOIN-08: each probe with what its key's events not after it say.
+
+    latest: columns of events of which the greatest value counts; a struct that begins with the time is the latest event's, and what follows in it comes along
+    (null where an event is none of the kind). totals: numbers that are added up, 0 without events. Linear in both sides, where a join on "not after" grows with their
+    product, and no task holds a whole key: events are reduced by key and slice of time, running values over those tell what a slice begins with, and within a slice a window over
+    probes and events does the rest. Events without a time come before all others. Probes are read twice; give a settled table where they cost much.
     """
-    w = Window.partitionBy(*key).orderBy(at)
-    n = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - 1
-    last = F.lag(id_col).over(Window.partitionBy(*key).orderBy(at, id_col))
-    return probes.withColumns({"n_prior": n, "last_prior": last})
+    totals = totals or {}
+    how = {**{k: F.max for k in latest}, **{k: F.sum for k in totals}}
+    right = events.select(F.col(key).alias("__key"), F.coalesce(F.col(event_at).cast("timestamp"), F.lit(FIRST).cast("timestamp")).alias("__at"), *(v.alias(f"__{k}") for k, v in {**latest, **totals}.items()))
+    right = right.withColumn("__slice", _slice(F.col("__at"), slice_))
+    left = probes.withColumns({"__key": F.col(key), "__at": F.col(probe_at).cast("timestamp")}).withColumn("__slice", _slice(F.col("__at"), slice_))
+    sums = right.groupBy("__key", "__slice").agg(*(f(f"__{k}").alias(f"__{k}") for k, f in how.items()))
+    marks = left.select("__key", "__slice").distinct()
+    parts = sums.unionByName(marks, allowMissingColumns=True).groupBy("__key", "__slice").agg(*(f(f"__{k}").alias(f"__{k}") for k, f in how.items()))
+    starts = _carried(parts, ["__key"], "__slice", {f"__c_{k}": f(f"__{k}") for k, f in how.items()}).withColumnsRenamed({"__key": "__of", "__slice": "__from"})
+    both = left.withColumn("__probe", F.lit(1)).unionByName(right.withColumn("__probe", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("__key", "__slice").orderBy("__at", "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({f"__w_{k}": f(f"__{k}").over(w) for k, f in how.items()}).filter("__probe = 1")
+    out = seen.join(starts, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__slice") == F.col("__from")), "left")
+    later = {k: F.when(F.col(f"__w_{k}").isNull() | (F.col(f"__c_{k}") > F.col(f"__w_{k}")), F.col(f"__c_{k}")).otherwise(F.col(f"__w_{k}")) for k in latest}
+    added = {k: F.coalesce(f"__w_{k}", F.lit(0)) + F.coalesce(f"__c_{k}", F.lit(0)) for k in totals}
+    return out.select(*probes.columns, *(v.alias(k) for k, v in {**later, **added}.items()))
+
+
+def as_of_state(probes: DataFrame, events: DataFrame, key: str, probe_at: str, event_at: str, facts: dict[str, Column], slice_: str = "month") -> DataFrame:
+    """JOIN-07: for each probe, the latest time not after it at which each fact held, by key. facts: conditions on event columns by result name."""
+    return as_of(probes, events, key, probe_at, event_at, {k: F.when(c, F.col(event_at)).cast("timestamp") for k, c in facts.items()}, slice_=slice_)
+
+
+def prior_incidents(probes: DataFrame, incidents: DataFrame, key: str, probe_at: str, slice_: str = "month") -> DataFrame:
+    """JOIN-08: each probe with n_incidents and latest_incident (at, ticket_id, citation) of its key's incidents (key, at, ticket_id, citation) not after it; of equal times the greatest id."""
+    return as_of(probes, incidents, key, probe_at, "at", {"latest_incident": F.struct("at", "ticket_id", "citation")}, {"n_incidents": F.lit(1).cast("bigint")}, slice_)
 
 
 def global_rank(rows: DataFrame, order: str, place: str) -> DataFrame:
@@ -91,6 +118,13 @@ def global_rank(rows: DataFrame, order: str, place: str) -> DataFrame:
 
 
 def event_sequence(events: DataFrame, key: str, when: str, citation: Column) -> DataFrame:
-    """WIN-01: events with their place by date, those without one first, and citation."""
-    order = F.coalesce(F.date_format(when, "yyyy-MM-dd"), F.lit(""))
-    return events.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order, citation)).cast("bigint"))
+    """WIN-01: events with their place by date, those without one first, and citation.
+
+    Places are counted within a key's months and go on from the months before, so no task orders a whole key.
+    """
+    marked = events.withColumn("__date", F.coalesce(F.date_format(when, "yyyy-MM-dd"), F.lit(""))).withColumn("__slice", F.substring("__date", 1, 7))
+    counts = marked.groupBy(key, "__slice").agg(F.count("*").alias("__n"))
+    starts = _carried(counts, [key], "__slice", {"__before": F.sum("__n")}).withColumnsRenamed({key: "__key", "__slice": "__from"})
+    inside = marked.withColumn("__nth", F.row_number().over(Window.partitionBy(key, "__slice").orderBy("__date", citation)))
+    placed = inside.join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__from")))
+    return placed.select(*events.columns, (F.coalesce("__before", F.lit(0)) + F.col("__nth")).cast("bigint").alias("place"))

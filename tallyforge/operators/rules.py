@@ -12,10 +12,12 @@ from tallyforge.functions.core import days_between, in_hours, months_between, pa
 PASS, FAIL, NOT_APPLICABLE, INSUFFICIENT = "PASS", "FAIL", "NOT_APPLICABLE", "INSUFFICIENT_DATA"
 
 
-def result(rule_id: str, verdict: Column, hard: bool, because: Column | str = "", derived: bool = False, evidence: Mapping[str, Column] | None = None) -> Column:
+def result(rule_id: str, verdict: Column, hard: bool, because: Column | str = "", derived: Column | bool = False, evidence: Mapping[str, Column] | None = None, name: str = "", citations: Sequence[str] = (), assumptions: Sequence[str] = ()) -> Column:
     """The uniform result of a rule."""
+    text = lambda x: F.lit(x) if isinstance(x, (str, bool)) else x
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     facts = F.to_json(F.struct(*(v.cast("string").alias(k) for k, v in sorted((evidence or {}).items()))), {"ignoreNullFields": "false"}) if evidence else F.lit("{}")
-    return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(hard).alias("hard"), verdict.alias("verdict"), (F.lit(because) if isinstance(because, str) else because).alias("because"), F.lit(derived).alias("derived"), facts.alias("evidence"))
+    return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(name).alias("rule_name"), F.lit(hard).alias("hard"), verdict.alias("verdict"), text(because).alias("because"), text(derived).alias("derived"), facts.alias("evidence"), texts(citations).alias("citations"), texts(assumptions).alias("assumptions"))
 
 
 def _chain(*steps: tuple[Column, str], other: str = PASS) -> Column:
@@ -98,9 +100,14 @@ def overdue_service(last_visit: Column, at: Column, interval: int = 180, grace:
     return _chain((last_visit.isNull(), INSUFFICIENT), (overdue > grace, FAIL)), F.coalesce((overdue <= grace) & (grace - overdue <= margin), F.lit(False))
 
 
-def temporary_fix(open_since: Column, at: Column, home: Column, destination: Column, days: int = 7) -> Column:
+def leaves_region(home: Column, destination: Column) -> Column:
+    """JOIN-16: whether two regions are known to differ; an unknown one never does."""
+    return F.coalesce(home != destination, F.lit(False))
+
+
+def temporary_fix(open_since: Column, at: Column, home_region: Column, destination_region: Column, days: int = 7) -> Column:
     """RULE-012: an open temporary fix lasts so many days, and only within the home region."""
-    return _chain((open_since.isNull(), PASS), (F.coalesce(days_between(open_since, at), F.lit(days + 1)) > days, FAIL), (~F.coalesce(home == destination, F.lit(False)), FAIL))
+    return _chain((open_since.isNull(), PASS), (F.coalesce(days_between(open_since, at), F.lit(days + 1)) > days, FAIL), (leaves_region(home_region, destination_region), FAIL))
 
 
 def night_driver(driver: Column, joined: Column, at: Column, as_of: Column, start: int = 21, stop: int = 5, months: int = 6) -> Column:
@@ -108,9 +115,9 @@ def night_driver(driver: Column, joined: Column, at: Column, as_of: Column, star
     return _chain((driver.isNull(), INSUFFICIENT), (~in_hours(F.hour(at), start, stop), NOT_APPLICABLE), (joined.isNull(), INSUFFICIENT), (months_between(joined, as_of) >= months, PASS), other=FAIL)
 
 
-def evaluate(checks: Sequence[Column]) -> dict[str, Column]:
+def evaluate(checks: Sequence[Column] | Column) -> dict[str, Column]:
     """EVAL-01: checks, the ids that block, the ids that lack data, eligible, caveats_only, derived ids."""
-    all_ = F.array(*checks)
+    all_ = checks if isinstance(checks, Column) else F.array(*checks)
     ids = lambda verdict: F.transform(F.filter(all_, lambda c: c["hard"] & (c["verdict"] == verdict)), lambda c: c["rule_id"])
     blocking, unknown = ids(FAIL), ids(INSUFFICIENT)
     return {

@@ -7,12 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dedup import best_record
 
 
-def pick(candidates: DataFrame, group: Sequence[str], usable: Column, order: Sequence[Column]) -> DataFrame:
-    """SEL-01, WIN-05: the first usable candidate of each group."""
-    return best_record(candidates.filter(usable), group, order)
+def pick(candidates: DataFrame, group: Sequence[str], usable: Column, order: Sequence[Column], carry: Sequence[str] | None = None) -> DataFrame:
+    """SEL-01, WIN-05: the first usable candidate of each group, by a struct of keys that all rise; one aggregation, with partial minima before the shuffle and no window.
+
+    The keys should tell all candidates of a group apart. carry: the columns to keep, all by default.
+    """
+    kept = [c for c in (carry if carry is not None else candidates.columns) if c not in group]
+    keys = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))
+    best = candidates.filter(usable).groupBy(*group).agg(F.min_by(F.struct(*kept), keys).alias("__best"))
+    return best.select(*group, *(F.col(f"__best.{c}").alias(c) for c in kept))
+
+
+def ranking(eligible: Column, derived: Column, newest_first: Column, n_events: Column, year: Column, key: Column) -> list[Column]:
+    """SEL-02: six keys that all rise: eligible first, then what rests on no assumption, for some clients the newer, what has a history, the newer, the key; a null year is 0."""
+    newer = -F.coalesce(year, F.lit(0))
+    return [(~eligible).cast("int"), derived.cast("int"), F.when(newest_first, newer).otherwise(0), (F.coalesce(n_events, F.lit(0)) == 0).cast("int"), newer, key]
 
 
 def tally(candidates: DataFrame, by: Sequence[str], eligible: Column, caveats: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import core as c
-from tallyforge.operators import dedup, emit, ledger, reports, resolve, rules, select, validate
+from tallyforge.operators import dedup, emit, ledger, reports, resolve, rules, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -360,11 +360,6 @@ def join_07(s, d):
     return out.select("o_orderkey", *(F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x) for x in ("last_visit", "last_fix")))
 
 
-@query("join_08", """SELECT a.o_orderkey, (SELECT count(*) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderdate <= a.o_orderdate) - 1 AS n_prior FROM orders a""")
-def join_08(s, d):
-    return resolve.prior_events(t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_orderkey", "n_prior")
-
-
 @query("join_10", "SELECT a.n_nationkey, b.n_nationkey AS other, row_number() OVER (PARTITION BY a.n_nationkey ORDER BY abs(a.n_nationkey - b.n_nationkey), b.n_name) AS place FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
 def join_10(s, d):
     from pyspark.sql import Window
@@ -489,14 +484,6 @@ def dup_01(s, d):
     return docs.groupBy("fingerprint").agg(F.min_by("doc_id", F.struct(-F.col("n_chars"), "doc_id")).alias("doc_id"), F.count("*").alias("occurrences"))
 
 
-@query("emt_04", """WITH a AS (SELECT o_orderkey, list_filter(['INGESTED', 'VALIDATED', CASE WHEN o_orderstatus = 'F' THEN 'DEDUPLICATED' END, 'WORK_ORDER_EMITTED', CASE WHEN o_totalprice > 200000 THEN 'COMMS_DRAFTED' END], lambda x: x IS NOT NULL) AS s FROM orders)
-    SELECT o_orderkey, CAST(unnest(range(1, len(s) + 1)) AS BIGINT) AS seq, unnest(s) AS step FROM a""")
-def emt_04(s, d):
-    yes = F.lit(True)
-    steps = [("INGESTED", yes, F.col("o_orderdate")), ("VALIDATED", yes, F.lit("ACCEPTED")), ("DEDUPLICATED", F.col("o_orderstatus") == "F", F.lit("2")), ("WORK_ORDER_EMITTED", yes, F.lit("")), ("COMMS_DRAFTED", F.col("o_totalprice") > 200000, F.lit(""))]
-    return emit.audit(t(s, d, "orders"), "o_orderkey", steps).select("o_orderkey", "seq", "step")
-
-
 # ---- sorts, limits, sets
 
 
@@ -582,122 +569,15 @@ def led_02(s, d):
     return ledger.mark_sent(acc, approvals, "o_orderkey").select("o_orderkey", "sent", "approved_by")
 
 
-# ---- rules over orders and suppliers
-
-PARAMETERS = {"interval": 7, "grace": 3, "margin": 1, "fix_days": 7, "brake_days": 30}
-
-RULES_SQL = """WITH inc AS (SELECT o_orderkey, o_orderdate, c_nationkey AS origin, n_regionkey AS region, o_orderkey % 100 <= 50 AS exclusive, c_mktsegment AS client FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-    hubs AS (SELECT inc.*, n.n_nationkey AS hub, CASE WHEN n.n_nationkey = origin THEN 0 ELSE 1 + n.n_nationkey END AS hub_rank FROM inc JOIN nation n ON n.n_regionkey = region AND (n.n_nationkey = origin OR NOT exclusive)),
-    cand AS (SELECT hubs.*, s_suppkey, s_acctbal FROM hubs JOIN supplier ON s_nationkey = hub),
-    ev AS (SELECT o_orderkey, s_suppkey, max(l_shipdate) AS last_visit, max(l_shipdate) FILTER (l_returnflag = 'R') AS max_r, max(l_shipdate) FILTER (l_returnflag = 'A') AS max_a FROM cand LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_shipdate <= o_orderdate GROUP BY 1, 2),
-    v AS (SELECT cand.*, last_visit, CASE WHEN max_r IS NOT NULL AND (max_a IS NULL OR max_r >= max_a) THEN max_r END AS open_since, max_a FROM cand JOIN ev USING (o_orderkey, s_suppkey)),
-    r AS (SELECT *, CASE WHEN s_acctbal < 0 THEN 'FAIL' ELSE 'PASS' END AS r000,
-      CASE WHEN last_visit IS NULL THEN 'INSUFFICIENT_DATA' WHEN date_diff('day', CAST(last_visit AS DATE), CAST(o_orderdate AS DATE)) - 7 > 3 THEN 'FAIL' ELSE 'PASS' END AS r011,
-      CASE WHEN open_since IS NULL THEN 'PASS' WHEN date_diff('day', CAST(open_since AS DATE), CAST(o_orderdate AS DATE)) > 7 THEN 'FAIL' WHEN hub <> origin THEN 'FAIL' ELSE 'PASS' END AS r012,
-      CASE WHEN NOT (month(o_orderdate) IN (11, 12, 1, 2) AND region IN (1, 3)) THEN 'NOT_APPLICABLE' WHEN max_a IS NULL OR date_diff('day', CAST(max_a AS DATE), CAST(o_orderdate AS DATE)) > 30 THEN 'PASS' ELSE 'FAIL' END AS r003 FROM v)"""
-
-
-def hub_candidates(s, d) -> DataFrame:
-    """JOIN-09: incidents, every order one, their hubs in order, and the suppliers there."""
-    o = t(s, d, "orders")
-    n = t(s, d, "nation").select("n_nationkey", "n_regionkey")
-    inc = o.join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    inc = inc.select("o_orderkey", "o_orderdate", F.col("c_nationkey").alias("origin"), F.col("n_regionkey").alias("region"), (F.col("o_orderkey") % 100 <= 50).alias("exclusive"), F.col("c_mktsegment").alias("client"))
-    hubs = inc.join(n.select(F.col("n_nationkey").alias("hub"), F.col("n_regionkey").alias("region")), "region").filter("hub = origin or not exclusive")
-    hubs = hubs.withColumn("hub_rank", F.when(F.col("hub") == F.col("origin"), 0).otherwise(1 + F.col("hub")))
-    cand = hubs.join(t(s, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), F.col("hub") == F.col("s_nationkey")).drop("s_nationkey")
-    return cand
-
-
-def candidates(s, d) -> DataFrame:
-    """Candidates with those suppliers' state as of the incident."""
-    flag, cand = F.col("l_returnflag"), hub_candidates(s, d)
-    seen = resolve.as_of_state(cand, t(s, d, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey"), "s_suppkey", "o_orderdate", "l_shipdate", {"last_visit": F.lit(True), "max_r": flag == "R", "max_a": flag == "A"})
-    return seen.withColumn("open_since", F.when(F.col("max_r").isNotNull() & (F.col("max_a").isNull() | (F.col("max_r") >= F.col("max_a"))), F.col("max_r")))
-
-
-def verdicts() -> dict[str, object]:
-    at = F.col("o_orderdate")
-    hill = rules.in_season(at, (11, 12, 1, 2)) & F.col("region").isin(1, 3)
-    overdue, _ = rules.overdue_service(F.col("last_visit"), at, PARAMETERS["interval"], PARAMETERS["grace"], PARAMETERS["margin"])
-    return {
-        "r000": rules.availability(F.col("s_suppkey"), F.lit(-1), F.when(F.col("s_acctbal") < 0, "Idle").otherwise("Active")),
-        "r011": overdue, "r012": rules.temporary_fix(F.col("open_since"), at, F.col("hub"), F.col("origin"), PARAMETERS["fix_days"]), "r003": rules.cooled_off(hill, F.col("max_a"), at, PARAMETERS["brake_days"]),
-    }
-
-
-def judged(s, d) -> DataFrame:
-    v = candidates(s, d).withColumns(verdicts())
-    checks = [rules.result(f"R-{k[1:]}", F.col(k), True, derived=k == "r011") for k in ("r000", "r003", "r011", "r012")]
-    e = rules.evaluate(checks)
-    return v.withColumns({"eligible": e["eligible"], "caveats": e["caveats_only"], "blocking": e["blocking"], "unknown": e["unknown"]})
-
-
-for key, rule in (("rule_000", "r000"), ("rule_003", "r003"), ("rule_011", "r011"), ("rule_012", "r012")):
-
-    @query(key, f"{RULES_SQL} SELECT o_orderkey, s_suppkey, {rule} AS verdict FROM r")
-    def rule_query(s, d, rule=rule):
-        return candidates(s, d).select("o_orderkey", "s_suppkey", verdicts()[rule].alias("verdict"))
-
-
-ELIGIBLE = "r000 <> 'FAIL' AND r003 <> 'FAIL' AND r011 = 'PASS' AND r012 <> 'FAIL'"
-CAVEATS = "r000 <> 'FAIL' AND r003 <> 'FAIL' AND r011 = 'INSUFFICIENT_DATA' AND r012 <> 'FAIL'"
-
-
-@query("eval_01", f"{RULES_SQL} SELECT o_orderkey, s_suppkey, {ELIGIBLE} AS eligible, {CAVEATS} AS caveats, concat_ws(',', CASE WHEN r000 = 'FAIL' THEN 'R-000' END, CASE WHEN r003 = 'FAIL' THEN 'R-003' END, CASE WHEN r011 = 'FAIL' THEN 'R-011' END, CASE WHEN r012 = 'FAIL' THEN 'R-012' END) AS blocking FROM r")
-def eval_01(s, d):
-    return judged(s, d).select("o_orderkey", "s_suppkey", "eligible", "caveats", F.array_join("blocking", ",").alias("blocking"))
-
-
-PICK_SQL = f"{RULES_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY hub_rank, CAST({ELIGIBLE} AS INTEGER) DESC, (last_visit IS NOT NULL) DESC, s_acctbal DESC, s_suppkey) AS nth FROM r WHERE {ELIGIBLE} OR {CAVEATS})"
-
-
-
-def picked(s, d) -> DataFrame:
-    order = [F.col("hub_rank"), F.col("eligible").cast("int").desc(), F.col("last_visit").isNotNull().desc(), F.desc("s_acctbal"), F.col("s_suppkey")]
-    return select.pick(judged(s, d), ["o_orderkey"], F.col("eligible") | F.col("caveats"), order)
-
-
-@query("sel_01", f"{PICK_SQL} SELECT o_orderkey, s_suppkey, hub AS from_hub, {ELIGIBLE} AS fully_eligible FROM ranked WHERE nth = 1")
-def sel_01(s, d):
-    return picked(s, d).select("o_orderkey", "s_suppkey", F.col("hub").alias("from_hub"), F.col("eligible").alias("fully_eligible"))
-
-
-@query("agg_09", f"{RULES_SQL} SELECT o_orderkey, hub, count(*)::BIGINT AS considered, count(*) FILTER ({ELIGIBLE})::BIGINT AS n_eligible, count(*) FILTER ({CAVEATS})::BIGINT AS n_caveats, count(*) FILTER (NOT ({ELIGIBLE}) AND NOT ({CAVEATS}))::BIGINT AS n_rejected FROM r GROUP BY 1, 2")
-def agg_09(s, d):
-    return select.tally(judged(s, d), ["o_orderkey", "hub"], F.col("eligible"), F.col("caveats"))
-
-
-@query("agg_10", f"""{RULES_SQL}, x AS (SELECT o_orderkey, unnest(list_filter([CASE WHEN r000 = 'FAIL' THEN 'R-000' END, CASE WHEN r003 = 'FAIL' THEN 'R-003' END, CASE WHEN r011 IN ('FAIL', 'INSUFFICIENT_DATA') THEN 'R-011' END, CASE WHEN r012 = 'FAIL' THEN 'R-012' END], lambda c: c IS NOT NULL)) AS code FROM r)
-    SELECT o_orderkey, code, count(*)::BIGINT AS n FROM x GROUP BY 1, 2""")
-def agg_10(s, d):
-    return select.reasons(judged(s, d), ["o_orderkey"], F.array_union("blocking", "unknown"))
-
-
-@query("sel_03", f"{PICK_SQL} SELECT DISTINCT o_orderkey FROM inc WHERE exclusive AND o_orderkey NOT IN (SELECT o_orderkey FROM ranked)")
-def sel_03(s, d):
-    all_ = t(s, d, "orders").filter("o_orderkey % 100 <= 50").select("o_orderkey")
-    return select.escalations(all_, picked(s, d), ["o_orderkey"])
-
-
-@query("rule_010", "SELECT o_orderkey, o_orderkey % 100 <= 50 AS exclusive, CASE WHEN o_orderkey % 100 <= 50 THEN 'a' ELSE 'a,b,c' END AS hubs FROM orders")
-def rule_010(s, d):
-    hubs, near = rules.sourcing((F.col("o_orderkey") % 100).cast("double"), F.lit("a"), F.array(F.lit("b"), F.lit("c")))
-    return t(s, d, "orders").select("o_orderkey", near.alias("exclusive"), F.array_join(hubs, ",").alias("hubs"))
-
+# ---- rules over orders
 
-CLIENT = {"AUTOMOBILE": 36}
 SIMPLE_RULES = {
     "rule_001": ("CASE WHEN NOT (month(o_orderdate) IN (10, 11, 12, 1, 2) AND o_orderstatus = 'F') THEN 'NOT_APPLICABLE' WHEN o_orderkey % 4 = 0 THEN 'INSUFFICIENT_DATA' WHEN o_orderkey % 4 = 1 THEN 'PASS' ELSE 'FAIL' END",
                  lambda: rules.required_value(rules.in_season(F.col("o_orderdate"), (10, 11, 12, 1, 2)) & (F.col("o_orderstatus") == "F"), F.when(F.col("o_orderkey") % 4 == 1, "BS6").when(F.col("o_orderkey") % 4 > 1, "BS4"), "BS6")),
     "rule_002": ("CASE WHEN NOT month(o_orderdate) IN (11, 12, 1, 2) THEN 'NOT_APPLICABLE' WHEN o_orderkey % 3 = 0 THEN 'INSUFFICIENT_DATA' WHEN o_orderkey % 3 = 1 THEN 'PASS' ELSE 'FAIL' END",
                  lambda: rules.required_flag(rules.in_season(F.col("o_orderdate"), (11, 12, 1, 2)), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 3 == 1))),
-    "rule_004": ("CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'PASS' ELSE 'NOT_APPLICABLE' END", lambda: rules.service_window(F.col("c_mktsegment"), "AUTOMOBILE", 36, F.lit(48))[0]),
     "rule_005": ("CASE WHEN c_mktsegment <> 'BUILDING' OR o_orderstatus <> 'F' THEN 'NOT_APPLICABLE' WHEN o_orderkey % 24 >= 8 AND o_orderkey % 24 < 18 THEN 'PASS' ELSE 'FAIL' END",
                  lambda: rules.gate_hours(F.col("c_mktsegment"), "BUILDING", F.col("o_orderstatus"), "F", F.date_trunc("day", "o_orderdate") + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int")), 8, 18)),
-    "rule_006": ("CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'NOT_APPLICABLE' WHEN o_custkey % 2 = 0 THEN 'FAIL' ELSE 'PASS' END", lambda: rules.rotation(F.col("c_mktsegment"), "MACHINERY", 1 - F.col("o_custkey") % 2)),
-    "rule_007": ("CASE WHEN c_mktsegment <> 'FURNITURE' THEN 'NOT_APPLICABLE' WHEN o_custkey % 5 = 0 THEN 'INSUFFICIENT_DATA' WHEN year(o_orderdate) >= 1995 THEN 'PASS' ELSE 'FAIL' END",
-                 lambda: rules.least_year(F.col("c_mktsegment"), "FURNITURE", F.when(F.col("o_custkey") % 5 != 0, F.year("o_orderdate")), 1995)),
     "rule_008": ("CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN 'NOT_APPLICABLE' WHEN o_orderkey % 24 >= 20 OR o_orderkey % 24 < 6 THEN 'FAIL' ELSE 'PASS' END",
                  lambda: rules.no_overnight(F.col("c_mktsegment"), "HOUSEHOLD", F.date_trunc("day", "o_orderdate") + F.make_interval(hours=(F.col("o_orderkey") % 24).cast("int")))),
     "rule_009": ("CASE WHEN month(o_orderdate) IN (7, 8, 9) THEN 'FAIL' ELSE 'NOT_APPLICABLE' END", lambda: rules.seasonal_padding(rules.in_season(F.col("o_orderdate"), (7, 8, 9)), F.lit(36), 20)[0]),
@@ -711,7 +591,3 @@ for key, (sql, build) in SIMPLE_RULES.items():
         return t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", build().alias("verdict"))
 
 
-@query("flt_11", f"{PICK_SQL} SELECT i.o_orderkey, k.o_orderkey IS NULL OR NOT coalesce(({ELIGIBLE}), false) AS needs_human FROM inc i LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) k ON i.o_orderkey = k.o_orderkey")
-def flt_11(s, d):
-    inc = t(s, d, "orders").select("o_orderkey", "o_custkey").join(t(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").drop("o_custkey")
-    return inc.join(picked(s, d).select("o_orderkey", "eligible"), "o_orderkey", "left").select("o_orderkey", (~F.coalesce("eligible", F.lit(False))).alias("needs_human"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import contextlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import core as c
-from tallyforge.operators import approvals, dedup, emit, ledger, reports, resolve, rules, validate
+from tallyforge.operators import approvals, dedup, emit, ledger, reports, resolve, validate
 from tallyforge.scratch import file_system, fresh, put_text
 
-from .bindings import CAVEATS, ELIGIBLE, FINGERPRINT, O_SQL, PICK_SQL, REASON_SQL, RULES_SQL, SIMPLE_RULES, checked, dimensions, hub_candidates, judged, picked, query, t, tickets
+from .bindings import FINGERPRINT, O_SQL, REASON_SQL, checked, dimensions, query, t, tickets
 
 # ---- lookups
 
@@ -44,11 +44,6 @@ def join_06(s, d):
     return tickets(s, d).join(F.broadcast(config), "client", "left").select("idx", F.col("sla_hours").cast("string").alias("sla_hours"), "mailbox")
 
 
-@query("join_09", f"{RULES_SQL} SELECT o_orderkey, hub, CAST(hub_rank AS BIGINT) AS hub_rank, s_suppkey FROM cand")
-def join_09(s, d):
-    return hub_candidates(s, d).select("o_orderkey", "hub", F.col("hub_rank").cast("bigint").alias("hub_rank"), "s_suppkey")
-
-
 @query("join_12", "WITH a AS (SELECT l_suppkey % 12 AS rule_id, l_returnflag FROM lineitem), r AS (SELECT unnest(range(14)) AS rule_id) SELECT r.rule_id, count(l_returnflag)::BIGINT AS n_audited FROM r LEFT JOIN a USING (rule_id) GROUP BY 1")
 def join_12(s, d):
     """Rules without a single audit row stay."""
@@ -85,30 +80,6 @@ def win_06(s, d):
     return emit.audit(t(s, d, "events"), "event_id", steps).select("event_id", "seq", "step")
 
 
-USABLE = f"({ELIGIBLE} OR {CAVEATS})"
-KEYS_SQL = f"CAST({ELIGIBLE} AS INTEGER) DESC, (last_visit IS NOT NULL) DESC, s_acctbal DESC, s_suppkey"
-
-
-def usable(s, d) -> DataFrame:
-    return judged(s, d).filter(F.col("eligible") | F.col("caveats"))
-
-
-def _keys() -> list:
-    return [F.col("eligible").cast("int").desc(), F.col("last_visit").isNotNull().desc(), F.desc("s_acctbal"), F.col("s_suppkey")]
-
-
-@query("win_05", f"{RULES_SQL} SELECT o_orderkey, s_suppkey, hub, row_number() OVER (PARTITION BY o_orderkey ORDER BY hub_rank, {KEYS_SQL}) AS place FROM r WHERE {USABLE}")
-def win_05(s, d):
-    w = Window.partitionBy("o_orderkey").orderBy("hub_rank", *_keys())
-    return usable(s, d).select("o_orderkey", "s_suppkey", "hub", F.row_number().over(w).cast("bigint").alias("place"))
-
-
-@query("sel_02", f"{RULES_SQL} SELECT o_orderkey, hub, s_suppkey, row_number() OVER (PARTITION BY o_orderkey, hub ORDER BY {KEYS_SQL}) AS rank_at_hub, {ELIGIBLE} AS fully_eligible FROM r WHERE {USABLE}")
-def sel_02(s, d):
-    w = Window.partitionBy("o_orderkey", "hub").orderBy(*_keys())
-    return usable(s, d).select("o_orderkey", "hub", "s_suppkey", F.row_number().over(w).cast("bigint").alias("rank_at_hub"), F.col("eligible").alias("fully_eligible"))
-
-
 # ---- validation and quarantine
 
 HASH_SQL = """substr(sha256('created_at=' || CASE WHEN k % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ELSE 'soon' END || '|vehicle=' || CASE WHEN k % 11 <> 0 THEN 'v-' || k % 150 ELSE '' END || '|driver_id=' || CASE WHEN k % 3 = 0 THEN 'D' || k % 40 ELSE '' END
@@ -269,24 +240,3 @@ def led_04(s, d):
     book.save(accepted=t(s, d, "nation").filter("n_nationkey < 24").select(k.cast("string").alias("ticket_id"), F.when(k != 1, "desk@auto.example").alias("mailbox"), *(F.when(k % 3 == 0, v).alias(n) for n, v in (("approved_by", "bo"), ("sent_at", "t0"), ("recipient", "r"), ("body", "b")))).withColumn("sent", F.col("sent_at").isNotNull()))
     said = [(what, approvals.approve_one(book, "ticket_id", key, "ann", "t1")) for what, key in (("a missing one", "99"), ("one without mailbox", "1"), ("first", "2"), ("again", "2"))]
     return s.createDataFrame([*said, ("sent in the end", str(ledger.accepted_now(book, "ticket_id").filter("sent").count()))], "what string, said string")
-
-
-# ---- decisions
-
-PLAN = ("rule_004", "rule_005", "rule_008", "rule_009", "rule_013")
-PLAN_SQL = ", ".join(f"{SIMPLE_RULES[k][0]} AS r{k[-3:]}" for k in PLAN)
-
-
-@query("dec_01", f"""{PICK_SQL}, p AS (SELECT o_orderkey, {PLAN_SQL} FROM orders JOIN customer ON o_custkey = c_custkey), x AS (SELECT p.*, s_suppkey, hub, s_suppkey IS NULL OR 'FAIL' IN (r005, r008, r013) OR NOT ({ELIGIBLE}) AS needs_human FROM p LEFT JOIN (SELECT * FROM ranked WHERE nth = 1) k USING (o_orderkey))
-    SELECT o_orderkey, 'WO-' || upper(substr(sha256('wo:' || o_orderkey), 1, 10)) AS work_order_id, CAST(s_suppkey AS VARCHAR) AS s_suppkey, CAST(hub AS VARCHAR) AS from_hub, needs_human, CASE WHEN s_suppkey IS NULL THEN 'ESCALATED_NO_VEHICLE' WHEN needs_human THEN 'DISPATCHED_WITH_CONSTRAINTS' ELSE 'DISPATCHED' END AS status,
-    r004, r005, r008, r009, r013, CAST(CASE WHEN r009 = 'FAIL' THEN 44 ELSE 36 END AS BIGINT) AS quoted_hours FROM x""")
-def dec_01(s, d):
-    """The whole decision of every order: plan checks, the replacement, who has to look, and the hours to quote."""
-    rows = t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    plan = rows.withColumns({f"r{k[-3:]}": SIMPLE_RULES[k][1]() for k in PLAN})
-    hours = rules.seasonal_padding(rules.in_season(F.col("o_orderdate"), (7, 8, 9)), F.lit(36), 20)[1]
-    plan = plan.select("o_orderkey", "r004", "r005", "r008", "r009", "r013", hours.cast("bigint").alias("quoted_hours"))
-    out = plan.join(picked(s, d).select("o_orderkey", "s_suppkey", F.col("hub").alias("from_hub"), "eligible"), "o_orderkey", "left")
-    failed = F.array_contains(F.array("r005", "r008", "r013"), "FAIL")
-    out = out.withColumn("needs_human", F.col("s_suppkey").isNull() | failed | ~F.coalesce("eligible", F.lit(False)))
-    return out.withColumns({"status": emit.work_order_status(F.col("s_suppkey").isNotNull(), F.col("needs_human")), "work_order_id": c.prefixed_id("WO-", "wo", F.col("o_orderkey").cast("string")), "s_suppkey": F.col("s_suppkey").cast("string"), "from_hub": F.col("from_hub").cast("string")}).drop("eligible")

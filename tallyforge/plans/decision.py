@@ -1,20 +1,28 @@
-"""The batch run: tickets, validation, replacement by rules and rank, ledger, outputs."""
+"""The batch run: tickets, validation, replacement by rules and rank, the whole decision, ledger, outputs."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.core import prefixed_id, reg_key
+from tallyforge.functions.core import days_between, prefixed_id, reg_key
 from tallyforge.operators import emit, resolve, rules, select, validate
-from tallyforge.operators.ledger import Ledger, accepted_now, merge, new_rows
+from tallyforge.operators.ledger import Ledger, accepted_now, incident_seeds, merge, new_rows
+from tallyforge.scratch import settle
+
+VEHICLE_RULES = ("R-000", "R-001", "R-002", "R-003", "R-006", "R-007", "R-011", "R-012")
+PLAN_RULES = ("R-004", "R-009", "R-005", "R-008", "R-013")
+#: Columns of vehicles and of the workshop's log that may be absent.
+VEHICLE_DEFAULTS = {"registration": "string", "vehicle_id": "string", "capacity_tonnes": "double", "n_events": "bigint", "citations": "array<string>", "year_conflict": "boolean"}
+NOTES = {"last_visit_citation": "string", "open_fix_citation": "string", "last_brake_citation": "string"}
 
 
 @dataclass
 class Rulebook:
-    """Parameters of the rules; clients and places are the user's."""
+    """Parameters of the rules; clients, places, citations and assumptions are the user's."""
 
     regions: dict[str, list[str]] = field(default_factory=dict)
     clients: dict[str, dict] = field(default_factory=dict)
@@ -27,21 +35,31 @@ class Rulebook:
     rotation: dict = field(default_factory=lambda: {"client": ""})
     age: dict = field(default_factory=lambda: {"client": "", "year": 2020})
     cold: dict = field(default_factory=lambda: {"client": ""})
+    newest: dict = field(default_factory=lambda: {"client": ""})
     limit_km: float = 50
     service: dict = field(default_factory=lambda: {"interval": 180, "grace": 30, "margin": 15})
     fix_days: int = 7
     driver: dict = field(default_factory=lambda: {"start": 21, "stop": 5, "months": 6})
+    rules: dict[str, dict] = field(default_factory=dict)  # id -> name, hard, citations, assumptions
+    always: tuple[str, ...] = ()  # assumptions that every decision rests on
+    issues: dict[str, tuple[str, str]] = field(default_factory=dict)  # issue in lower case -> (class, recovery); a recovery that begins with TOW is a tow
+
+    def of(self, rule: str) -> dict:
+        """Arguments of rules.result for a rule."""
+        said = self.rules.get(rule, {})
+        return {"hard": said.get("hard", rule not in ("R-004", "R-009")), "name": said.get("name", ""), "citations": said.get("citations", ()), "assumptions": said.get("assumptions", ())}
 
 
 @dataclass
 class Context:
     """CTX-01: the tables that decisions are made against."""
 
-    vehicles: DataFrame  # reg_key, year, bs_stage, engine_heater, home_hub, status
-    maintenance: DataFrame  # reg_key, date, jugaad, brake_work, permanent_repair
+    vehicles: DataFrame  # reg_key, year, bs_stage, engine_heater, home_hub, status; VEHICLE_DEFAULTS and NOTES if known
+    maintenance: DataFrame  # reg_key, date, jugaad, brake_work, permanent_repair; citation if known
     distances: DataFrame  # hub, other, km
     drivers: DataFrame  # driver_id, joining_date
     rulebook: Rulebook
+    places: DataFrame | None = None  # hub, region
 
     def hubs(self) -> DataFrame:
         return self.distances.select("hub").distinct()
@@ -51,55 +69,248 @@ class Context:
         rows = [(k, v.get("sla_hours"), v.get("mailbox")) for k, v in self.rulebook.clients.items()]
         return spark.createDataFrame(rows, "client string, sla_hours int, mailbox string")
 
+    def regions_of(self, hub: str, name: str) -> DataFrame:
+        """(hub, name): the region dimension under other names; without it no region is known."""
+        found = self.distances.select("hub", F.lit(None).cast("string").alias("region")).limit(0) if self.places is None else self.places.groupBy("hub").agg(F.min("region").alias("region"))
+        return found.select(F.col("hub").alias(hub), F.col("region").alias(name))
+
 
-def build_context(fleet: DataFrame, maintenance: DataFrame, distances: DataFrame, drivers: DataFrame, rulebook: Rulebook) -> tuple[Context, DataFrame]:
+def build_context(fleet: DataFrame, maintenance: DataFrame, distances: DataFrame, drivers: DataFrame, rulebook: Rulebook, places: DataFrame | None = None) -> tuple[Context, DataFrame]:
     """CTX-01: (context, conflicts) from the registers: rows of one vehicle are merged, that with a vehicle_id first and then by citation, with its workshop history and open temporary fix."""
     fields = ["vehicle_id", "model", "year", "bs_stage", "engine_heater", "home_hub", "capacity_tonnes", "status"]
     merged = resolve.merge_with_precedence(fleet, "reg_key", [F.col("vehicle_id").isNull().cast("int"), F.col("citation")], fields)
+    sources = fleet.groupBy("reg_key").agg(F.array_sort(F.collect_set("citation")).alias("citations"), (F.count_distinct("year") > 1).alias("year_conflict"))
     history = resolve.event_rollup(maintenance, "reg_key", "date", "odometer_km").withColumnsRenamed({"last_at": "last_visit", "last_value": "odometer_km"})
     state = resolve.open_state(maintenance, "reg_key", ["date", "citation"], F.col("jugaad"), F.col("permanent_repair"))
-    vehicles = merged.join(history, "reg_key", "left").join(state, "reg_key", "left").fillna({"is_open": False, "n_events": 0})
-    return Context(vehicles, maintenance, distances, drivers, rulebook), resolve.conflicts(fleet, "reg_key", fields)
+    notes = _all_time(maintenance)
+    vehicles = merged.join(sources, "reg_key").join(history, "reg_key", "left").join(state, "reg_key", "left").join(notes, "reg_key", "left").fillna({"is_open": False, "n_events": 0})
+    return Context(vehicles, maintenance, distances, drivers, rulebook, places), resolve.conflicts(fleet, "reg_key", fields)
+
+
+def _log(maintenance: DataFrame) -> DataFrame:
+    cited = maintenance if "citation" in maintenance.columns else maintenance.withColumn("citation", F.lit(None).cast("string"))
+    flags = {k: F.coalesce(F.col(k), F.lit(False)) for k in ("brake_work", "jugaad", "permanent_repair")}
+    return cited.select("reg_key", F.col("date").cast("date").alias("date"), "citation", *(v.alias(k) for k, v in flags.items()))
+
+
+def _facts() -> dict[str, Column]:
+    """What the log says, each as a struct that begins with the date: the last visit, the last brake work, the last temporary fix or lasting repair."""
+    at = F.struct("date", "citation")
+    return {"visit": at, "brake": F.when(F.col("brake_work"), at), "fix": F.when(F.col("jugaad") | F.col("permanent_repair"), F.struct("date", "citation", F.col("jugaad").alias("opens")))}
+
+
+def _all_time(maintenance: DataFrame) -> DataFrame:
+    """(reg_key, NOTES): citations of a vehicle's last visit, last brake work and open fix, whenever they were."""
+    last = _log(maintenance).groupBy("reg_key").agg(*(F.max(v).alias(k) for k, v in _facts().items()))
+    return last.select("reg_key", F.col("visit.citation").alias("last_visit_citation"), F.when(F.col("fix.opens"), F.col("fix.citation")).alias("open_fix_citation"), F.col("brake.citation").alias("last_brake_citation"))
+
+
+def vehicle_state(ctx: Context, probes: DataFrame) -> DataFrame:
+    """JOIN-07: probes (reg_key, day, ...) with visit, brake and fix as (date, citation) as of the day; fix only while it is open."""
+    seen = resolve.as_of(probes, _log(ctx.maintenance), "reg_key", "day", "date", _facts())
+    return seen.withColumn("fix", F.when(F.col("fix.opens"), F.struct("fix.date", "fix.citation")))
+
+
+def incidents(ctx: Context, *accepted: DataFrame | None) -> DataFrame:
+    """PRJ-19: incidents of the client of the rotation rule among accepted rows, of the ledger and of the batch, a ticket once."""
+    out = None
+    for rows in accepted:
+        if rows is not None:
+            seeds = incident_seeds(rows)
+            out = seeds if out is None else out.unionByName(seeds)
+    named = out.filter((F.col("client") == ctx.rulebook.rotation["client"]) & (F.col("reg_key") != ""))
+    return named.dropDuplicates(["ticket_id"]).withColumn("at", F.to_timestamp("at", "yyyy-MM-dd'T'HH:mm:ss"))
+
+
+def fleet(ctx: Context, past: DataFrame) -> DataFrame:
+    """One row a vehicle with what does not depend on a ticket: home region, whether it has a history, and when it first had an incident of the rotation client.
+
+    The first time decides the rotation rule for a ticket at any time, so candidates need no join with incidents.
+    """
+    v = ctx.vehicles
+    for name, kind in {**VEHICLE_DEFAULTS, **NOTES}.items():
+        if name not in v.columns:
+            v = v.withColumn(name, F.lit(None).cast(kind))
+    v = v.select("reg_key", F.coalesce("registration", "reg_key").alias("registration"), "vehicle_id", "year", "bs_stage", "engine_heater", "home_hub", "capacity_tonnes", F.col("status").alias("fleet_status"), "citations", "year_conflict", "n_events", *NOTES)
+    if "n_events" not in ctx.vehicles.columns:
+        v = v.drop("n_events").join(ctx.maintenance.groupBy("reg_key").agg(F.count("*").alias("n_events")), "reg_key", "left")
+    if not set(NOTES) <= set(ctx.vehicles.columns):
+        v = v.drop(*NOTES).join(_all_time(ctx.maintenance), "reg_key", "left")
+    first = past.groupBy("reg_key").agg(F.min("at").alias("first_incident"))
+    return v.join(ctx.regions_of("home_hub", "home_region"), "home_hub", "left").join(first, "reg_key", "left")
 
 
 def _region(book: Rulebook, name: str) -> Column:
     return rules.touches(F.col("origin_hub"), F.col("destination"), book.regions.get(name, ["\0"]))
 
 
-def candidates(ctx: Context, tickets: DataFrame) -> DataFrame:
-    """JOIN-07..09, EVAL-01: tickets by hub in order by vehicle there, with as-of state and verdicts."""
-    book, at = ctx.rulebook, F.col("at")
-    ordered = ctx.distances.groupBy("hub").agg(F.transform(F.array_sort(F.collect_list(F.struct("km", "other"))), lambda x: x["other"]).alias("others"))
-    plan = tickets.join(ordered, tickets.origin_hub == ordered.hub, "left").drop("hub")
-    hubs, near = rules.sourcing(F.col("km_from_origin_hub"), F.col("origin_hub"), F.col("others"), book.limit_km)
-    plan = plan.withColumns({"exclusive": near, "hubs": hubs}).select("*", F.posexplode("hubs").alias("hub_rank", "from_hub")).drop("others", "hubs")
-    rows = plan.join(ctx.vehicles, plan.from_hub == ctx.vehicles.home_hub)
-    events = ctx.maintenance.withColumn("date", F.col("date").cast("timestamp"))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    facts = {"last_visit": F.lit(True), "last_brake": flag("brake_work"), "last_fix": flag("jugaad"), "last_repair": flag("permanent_repair")}
-    seen = resolve.as_of_state(rows.withColumn("day_end", F.date_trunc("day", "at") + F.expr("interval 86399 seconds")), events, "reg_key", "day_end", "date", facts)
-    past = tickets.select(F.col("vehicle_key").alias("reg_key"), F.col("client").alias("p_client"), F.col("at").alias("p_at"))
-    prior = seen.join(past, "reg_key").filter((F.col("p_client") == F.col("client")) & (F.col("p_at") <= at)).groupBy("ticket_id", "reg_key").agg(F.count("*").alias("prior"))
-    seen = seen.join(prior, ["ticket_id", "reg_key"], "left")
-    open_since = F.when(F.col("last_fix").isNotNull() & (F.col("last_repair").isNull() | (F.col("last_fix") > F.col("last_repair"))), F.col("last_fix"))
-    overdue, borderline = rules.overdue_service(F.col("last_visit"), at, **book.service)
+def verdicts(book: Rulebook) -> tuple[dict[str, Column], Column]:
+    """The eight verdicts on a vehicle for a ticket, by rule in order, and whether that of service is close to the line.
+
+    Columns: of the ticket at, client, origin_hub, destination, destination_region, barred (the vehicle that may not come), of the vehicle those of fleet(), last_visit, last_brake, open_since.
+    """
+    at = F.col("at")
     season = lambda r: rules.in_season(at, r["months"]) & _region(book, r["region"])
-    verdicts = {
-        "R-000": rules.availability(F.col("reg_key"), F.col("vehicle_key"), F.col("status_now")),
+    overdue, borderline = rules.overdue_service(F.col("last_visit"), at, **book.service)
+    named = book.rotation["client"]
+    return {
+        "R-000": rules.availability(F.col("reg_key"), F.col("barred"), F.col("fleet_status")),
         "R-001": rules.required_value(season(book.emission), F.col("bs_stage"), book.emission["stage"]),
         "R-002": rules.required_flag(season(book.heater), F.col("engine_heater")),
         "R-003": rules.cooled_off(season(book.brakes), F.col("last_brake"), at, book.brakes["days"]),
-        "R-006": rules.rotation(F.col("client"), book.rotation["client"], F.col("prior")),
+        "R-006": rules.rotation(F.col("client"), named, (F.col("first_incident") <= at).cast("int")),
         "R-007": rules.least_year(F.col("client"), book.age["client"], F.col("year"), book.age["year"]),
         "R-011": overdue,
-        "R-012": rules.temporary_fix(open_since, at, F.col("home_hub"), F.col("destination"), book.fix_days),
+        "R-012": rules.temporary_fix(F.col("open_since"), at, F.col("home_region"), F.col("destination_region"), book.fix_days),
+    }, borderline
+
+
+def _derived(rule: str, verdict: Column) -> Column | bool:
+    """Whether a verdict rests on an assumption: a finding of the rotation rule, and what the service rule could judge."""
+    return {"R-006": verdict == rules.FAIL, "R-011": verdict.isin(rules.PASS, rules.FAIL)}.get(rule, False)
+
+
+def base_tickets(ctx: Context, accepted: DataFrame) -> DataFrame:
+    """Accepted rows as decisions need them, with the destination's region and the hubs that may send, in order."""
+    book = ctx.rulebook
+    rows = accepted.withColumns({"at": F.to_timestamp("created_iso", "yyyy-MM-dd'T'HH:mm:ss"), "vehicle_key": reg_key("vehicle")})
+    rows = rows.select("ticket_id", "at", F.to_date("at").alias("day"), "created_iso", "vehicle_key", "driver_id", "origin_hub", "km_from_origin_hub", "destination", "issue", "severity", "client", "occurrences", "citation")
+    ordered = ctx.distances.groupBy(F.col("hub").alias("origin_hub")).agg(F.array_sort(F.collect_list(F.struct("km", "other"))).alias("others"))
+    rows = rows.join(ordered, "origin_hub", "left").join(ctx.regions_of("destination", "destination_region"), "destination", "left")
+    _, near = rules.sourcing(F.col("km_from_origin_hub"), F.col("origin_hub"), F.array("origin_hub"), book.limit_km)
+    return rows.withColumn("exclusive", near)
+
+
+ROUTE = ("ticket_id", "at", "day", "origin_hub", "destination", "destination_region", "client")
+
+
+def sources(ctx: Context, tickets: DataFrame) -> DataFrame:
+    """RULE-010, JOIN-10: a row for each ticket and hub that may send, with hub_rank from 0."""
+    hubs, _ = rules.sourcing(F.col("km_from_origin_hub"), F.col("origin_hub"), F.transform("others", lambda x: x["other"]), ctx.rulebook.limit_km)
+    return tickets.select(*ROUTE, F.col("vehicle_key").alias("barred"), F.posexplode(hubs).alias("hub_rank", "from_hub"))
+
+
+def candidates(ctx: Context, asked: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """JOIN-09, EVAL-01: asked (a ticket and a hub) by the vehicles there, each with its verdicts; a hub without vehicles stays, with a null vehicle.
+
+    What the log says of a vehicle is worked out once for each day that anyone asks its hub about, not for each ticket: the as-of join sees vehicles by days, and tickets meet the outcome by hub and day.
+    """
+    days = asked.select("from_hub", "day").distinct()
+    probes = settle(days.join(vehicles.select("reg_key", F.col("home_hub").alias("from_hub")), "from_hub"))
+    state = vehicle_state(ctx, probes).select("from_hub", "day", "reg_key", F.col("visit.date").alias("last_visit"), F.col("brake.date").alias("last_brake"), F.col("fix.date").alias("open_since"))
+    known = state.join(vehicles.select("reg_key", "year", "bs_stage", "engine_heater", "fleet_status", "n_events", "home_region", "first_incident"), "reg_key")
+    rows = asked.join(known, ["from_hub", "day"], "left")
+    found, borderline = verdicts(ctx.rulebook)
+    rows = rows.withColumns({_column(k): v for k, v in found.items()}).withColumn("borderline", borderline)
+    hard = [k for k in VEHICLE_RULES if ctx.rulebook.of(k)["hard"]]
+    any_ = lambda verdict: _any([F.col(_column(k)) == verdict for k in hard])
+    there, fails, lacks = F.col("reg_key").isNotNull(), any_(rules.FAIL), any_(rules.INSUFFICIENT)
+    return rows.withColumns({"eligible": there & ~fails & ~lacks, "caveats": there & ~fails & lacks, "derived": _any([_derived(k, F.col(_column(k))) for k in ("R-006", "R-011")])})
+
+
+def _any(conditions: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _column(rule: str) -> str:
+    return f"r{rule[2:]}"
+
+
+def ranking(book: Rulebook) -> list[Column]:
+    return select.ranking(F.col("eligible"), F.col("derived"), F.col("client") == book.newest["client"], F.col("n_events"), F.col("year"), F.col("reg_key"))
+
+
+def hub_report(ctx: Context, rows: DataFrame) -> DataFrame:
+    """AGG-09, AGG-10, SEL-02: for each ticket and hub how many vehicles were considered, usable and not, why not, and the best usable one by the six keys.
+
+    One aggregation: counters for each rule and the minimum of a struct of keys; rows are reduced before they are shuffled.
+    """
+    usable = F.col("eligible") | F.col("caveats")
+    keys = {f"k{i}": c for i, c in enumerate(ranking(ctx.rulebook))}
+    best = F.min(F.when(usable, F.struct(*(c.alias(k) for k, c in keys.items()), "reg_key", "eligible", "caveats", "derived", "borderline")))
+    counts = {f"{k}{suffix}": F.count_if(F.col("reg_key").isNotNull() & (F.col(_column(k)) == verdict)) for k in VEHICLE_RULES if ctx.rulebook.of(k)["hard"] for suffix, verdict in (("", rules.FAIL), (":unknown", rules.INSUFFICIENT))}
+    out = rows.groupBy("ticket_id", "hub_rank", "from_hub").agg(
+        F.count("reg_key").alias("considered"), F.count_if("eligible").alias("n_eligible"), F.count_if("caveats").alias("n_caveats"),
+        F.count_if(F.col("reg_key").isNotNull() & ~usable).alias("n_rejected"), best.alias("best"), *(v.alias(f"n {k}") for k, v in counts.items()),
+    )
+    tally = F.array_sort(F.filter(F.array(*(F.struct((-F.col(f"n {k}")).alias("order"), F.lit(k).alias("code")) for k in counts)), lambda x: x["order"] < 0))
+    return out.select("ticket_id", "hub_rank", "from_hub", "considered", "n_eligible", "n_caveats", "n_rejected", "best", F.transform(tally, lambda x: F.struct(x["code"].alias("code"), (-x["order"]).alias("n"))).alias("reasons"))
+
+
+def chosen(report: DataFrame) -> DataFrame:
+    """SEL-01: a row a ticket: the best vehicle of the first hub that has a usable one (null if none has), and the report of every hub in order."""
+    hubs = F.array_sort(F.collect_list(F.struct("hub_rank", F.col("from_hub").alias("hub"), "considered", "n_eligible", "n_caveats", "n_rejected", "reasons")))
+    first = F.min(F.when(F.col("best").isNotNull(), F.struct("hub_rank", "from_hub", F.col("best.reg_key").alias("reg_key"), F.col("best.eligible").alias("eligible"), F.col("best.derived").alias("derived"), F.col("best.borderline").alias("borderline"))))
+    return report.groupBy("ticket_id").agg(first.alias("choice"), hubs.alias("hubs_examined"))
+
+
+def waiver_options(ctx: Context, waiting: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """SEL-03, JOIN-11: (ticket_id, hub, km, reg_key): what the nearest other hub with a fully eligible vehicle could send to tickets that only their origin may serve and could not.
+
+    Hub by hub: those still without an offer go on to their next hub, so near hubs are judged for all and far ones for the few that are left; as many rounds as a hub has others, at most.
+    """
+    left = settle(waiting.select(*ROUTE, "vehicle_key", "others"))
+    out = left.select("ticket_id", F.lit("").alias("hub"), F.lit(0.0).alias("km"), F.lit("").alias("reg_key")).limit(0)
+    nth = 0
+    while not (asking := left.filter(F.size("others") > nth)).isEmpty():
+        at = F.get("others", F.lit(nth))
+        asked = asking.select(*ROUTE, F.col("vehicle_key").alias("barred"), at["other"].alias("from_hub"), at["km"].cast("double").alias("km"))
+        rows = candidates(ctx, asked, vehicles)
+        offers = settle(select.pick(rows, ["ticket_id"], F.col("eligible"), ranking(ctx.rulebook), ["from_hub", "km", "reg_key"]).withColumnRenamed("from_hub", "hub"))
+        out = out.unionByName(offers.select("ticket_id", "hub", "km", "reg_key"))
+        left = settle(asking.join(offers.select("ticket_id"), "ticket_id", "left_anti"))
+        nth += 1
+    return out
+
+
+def vehicle_checks(book: Rulebook) -> Column:
+    """The eight results with reasons and evidence. Beside the columns of verdicts(): visit, brake, fix with citations, n_incidents, latest_incident."""
+    found, borderline = verdicts(book)
+    v = {k: found[k] for k in VEHICLE_RULES}
+    text = lambda *parts: F.concat_ws("", *(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("unknown")) for p in parts))
+    at, since = F.col("at"), lambda c: days_between(c, F.col("at"))
+    because = {
+        "R-000": F.when(F.col("reg_key") == F.col("barred"), "it is the vehicle that failed").when(v["R-000"] == rules.FAIL, text("its status is ", F.col("fleet_status"))).otherwise("in service"),
+        "R-001": text("stage ", F.col("bs_stage"), " in month ", F.month(at)),
+        "R-002": text("engine heater: ", F.col("engine_heater"), ", month ", F.month(at)),
+        "R-003": F.when(F.col("last_brake").isNull(), "no brake work on record").otherwise(text("brake work ", since(F.col("last_brake")), " days ago")),
+        "R-006": F.when(F.coalesce(F.col("n_incidents"), F.lit(0)) == 0, "no incident with this client on record").otherwise(text("incident with this client, ticket ", F.col("latest_incident.ticket_id"))),
+        "R-007": text("model year ", F.col("year"), ", at least ", F.lit(book.age["year"])),
+        "R-011": F.when(F.col("last_visit").isNull(), "no visit to a workshop on record").otherwise(text(since(F.col("last_visit")), " days since the last visit")),
+        "R-012": F.when(F.col("open_since").isNull(), "no open temporary fix").otherwise(text("temporary fix ", since(F.col("open_since")), " days old, from ", F.col("home_region"), " to ", F.col("destination_region"))),
+    }
+    evidence = {
+        "R-000": {"status": F.col("fleet_status")},
+        "R-001": {"bs_stage": F.col("bs_stage"), "month": F.month(at)},
+        "R-002": {"engine_heater": F.col("engine_heater"), "month": F.month(at)},
+        "R-003": {"last_brake_work": F.col("last_brake"), "days_since": since(F.col("last_brake")), "citation": F.col("brake.citation")},
+        "R-006": {"incidents": F.coalesce(F.col("n_incidents"), F.lit(0)), "latest_incident_ticket": F.col("latest_incident.ticket_id"), "latest_incident_at": F.col("latest_incident.at"), "citation": F.col("latest_incident.citation")},
+        "R-007": {"year": F.col("year"), "year_conflict": F.coalesce(F.col("year_conflict"), F.lit(False))},
+        "R-011": {"last_workshop_visit": F.col("last_visit"), "days_since_service": since(F.col("last_visit")), "borderline": borderline, "citation": F.col("visit.citation")},
+        "R-012": {"fix_date": F.col("open_since"), "days_since": since(F.col("open_since")), "home_region": F.col("home_region"), "destination_region": F.col("destination_region"), "citation": F.col("fix.citation")},
     }
-    checks = [rules.result(k, v, True, derived=k in ("R-006", "R-011")) for k, v in verdicts.items()]
-    return seen.withColumn("borderline", borderline).withColumns(rules.evaluate(checks))
+    return F.array(*(rules.result(k, v[k], because=because[k], derived=_derived(k, v[k]), evidence=evidence[k], **book.of(k)) for k in VEHICLE_RULES))
+
+
+def detailed(ctx: Context, tickets: DataFrame, choices: DataFrame, vehicles: DataFrame, past: DataFrame) -> DataFrame:
+    """(ticket_id, sent, failed): the checks of the vehicle that is sent and of the one that failed, from one evaluation of both; null where there is no such vehicle."""
+    sent = choices.filter("choice is not null").select("ticket_id", F.col("choice.reg_key").alias("reg_key"), F.lit(True).alias("is_sent"))
+    failed = tickets.select("ticket_id", F.col("vehicle_key").alias("reg_key"), F.lit(False).alias("is_sent"))
+    route = tickets.select(*ROUTE, "vehicle_key")
+    rows = settle(sent.unionByName(failed).join(route, "ticket_id").withColumn("barred", F.when(F.col("is_sent"), F.col("vehicle_key"))))
+    seen = resolve.prior_incidents(settle(vehicle_state(ctx, rows)), past, "reg_key", "at").join(vehicles, "reg_key")
+    seen = seen.withColumns({"last_visit": F.col("visit.date"), "last_brake": F.col("brake.date"), "open_since": F.col("fix.date")})
+    seen = seen.withColumn("checks", vehicle_checks(ctx.rulebook))
+    one = seen.select("ticket_id", "is_sent", F.struct("reg_key", "registration", "vehicle_id", "year", "bs_stage", "engine_heater", "capacity_tonnes", "visit", "fix", "checks", F.concat(F.coalesce("citations", F.array().cast("array<string>")), F.array_compact(F.array(*NOTES))).alias("citations")).alias("about"))
+    of = lambda is_: F.any_value(F.when(F.col("is_sent") == is_, F.col("about")), ignoreNulls=True)
+    return one.groupBy("ticket_id").agg(of(True).alias("sent"), of(False).alias("failed"))
 
 
 def plan_checks(ctx: Context, tickets: DataFrame) -> DataFrame:
-    """DEC-01: the rules about the route, client and driver of each ticket."""
+    """DEC-01: the rules about the route, client and driver of each ticket, as verdicts and as results in plan_checks."""
     book, at, client = ctx.rulebook, F.col("at"), F.col("client")
     rows = tickets.join(ctx.clients(), "client", "left").join(ctx.drivers.select("driver_id", "joining_date"), "driver_id", "left")
     window, hours = rules.service_window(client, book.window["client"], book.window["hours"], F.col("sla_hours"))
@@ -107,47 +318,160 @@ def plan_checks(ctx: Context, tickets: DataFrame) -> DataFrame:
     gate = rules.gate_hours(client, book.gate["client"], F.col("destination"), book.gate["site"], at, book.gate["opens"], book.gate["closes"])
     cold = rules.no_overnight(client, book.cold["client"], at)
     driver = rules.night_driver(F.col("driver_id"), F.col("joining_date"), at, at, **book.driver)
-    return rows.withColumns({"r004": window, "r009": padding, "quoted_hours": quoted.cast("int"), "r005": gate, "r008": cold, "r013": driver})
+    found = {"R-004": window, "R-009": padding, "R-005": gate, "R-008": cold, "R-013": driver}
+    rows = rows.withColumns({**{_column(k): v for k, v in found.items()}, "planned_hours": hours.cast("int"), "quoted_hours": quoted.cast("int")})
+    hour = F.hour(at).cast("string")
+    because = {
+        "R-004": F.concat_ws(" ", F.lit("planned to"), F.col("planned_hours").cast("string"), F.lit("hours")), "R-009": F.concat_ws(" ", F.lit("quote"), F.col("quoted_hours").cast("string"), F.lit("hours in month"), F.month(at).cast("string")),
+        "R-005": F.concat_ws(" ", F.lit("incident in hour"), hour, F.lit("on the way to"), F.col("destination")), "R-008": F.concat_ws(" ", F.lit("incident in hour"), hour),
+        "R-013": F.concat_ws(" ", F.lit("driver"), F.coalesce("driver_id", F.lit("unknown")), F.lit("in hour"), hour),
+    }
+    checks = [rules.result(k, F.col(_column(k)), because=because[k], derived=F.col("r009") == rules.FAIL if k == "R-009" else False, **book.of(k)) for k in PLAN_RULES]
+    return rows.withColumn("plan_checks", F.array(*checks))
+
+
+def _flat(checks: Column, what: str) -> Column:
+    """Texts of the checks that apply."""
+    return F.flatten(F.transform(F.filter(checks, lambda c: c["verdict"] != rules.NOT_APPLICABLE), lambda c: c[what]))
+
+
+def _distinct(*parts: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(*(F.coalesce(p, none) for p in parts)))))
 
 
-def decide(ctx: Context, accepted: DataFrame) -> DataFrame:
-    """One decision a ticket: the best usable vehicle of the first hub that has one, or an escalation."""
-    tickets = accepted.withColumns({"at": F.to_timestamp("created_iso", "yyyy-MM-dd'T'HH:mm:ss"), "vehicle_key": reg_key("vehicle")})
-    base = tickets.select("ticket_id", "at", "created_iso", "vehicle_key", "driver_id", "origin_hub", "km_from_origin_hub", "destination", "issue", "severity", "client", "occurrences", "citation")
-    rows = candidates(Context(ctx.vehicles.withColumnRenamed("status", "status_now"), ctx.maintenance, ctx.distances, ctx.drivers, ctx.rulebook), base)
-    order = [F.col("hub_rank"), F.col("eligible").desc(), F.size("derived"), F.col("last_visit").isNotNull().desc(), F.coalesce("year", F.lit(0)).desc(), F.col("reg_key")]
-    best = select.pick(rows, ["ticket_id"], F.col("eligible") | F.col("caveats_only"), order)
-    chosen = best.select("ticket_id", F.struct("reg_key", "from_hub", "eligible", "borderline", F.col("unknown").alias("unknowns"), "checks").alias("replacement"))
-    out = plan_checks(ctx, base).join(chosen, "ticket_id", "left")
-    failed = F.array_contains(F.array("r005", "r008", "r013"), "FAIL")
-    out = out.withColumn("needs_human", F.col("replacement").isNull() | failed | F.coalesce(F.size("replacement.unknowns") > 0, F.lit(False)))
-    status = emit.work_order_status(F.col("replacement").isNotNull(), F.col("needs_human"))
-    return out.withColumns({"status": status, "work_order_id": prefixed_id("WO-", "wo", F.col("ticket_id")), "message_id": prefixed_id("MSG-", "msg", F.col("ticket_id"))})
+def _brief(checks: Column, verdict: str) -> Column:
+    return F.transform(F.filter(checks, lambda c: c["hard"] & (c["verdict"] == verdict)), lambda c: F.struct(c["rule_id"].alias("rule_id"), c["because"].alias("because")))
+
+
+def classified(book: Rulebook, issue: Column) -> Column:
+    """PRJ-11: (issue_key, class, recovery, known); an issue that is not in the taxonomy is towed."""
+    key = F.lower(F.trim(F.coalesce(issue, F.lit(""))))
+    pairs = [F.lit(x) for k, (a, b) in book.issues.items() for x in (k, f"{a}\t{b}")]
+    found = F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("string")
+    part = lambda i, other: F.coalesce(F.get(F.split(found, "\t"), F.lit(i)), F.lit(other))
+    return F.struct(F.nullif(key, F.lit("")).alias("issue_key"), part(0, "UNSPECIFIED").alias("class"), part(1, "TOW_TO_WORKSHOP").alias("recovery"), found.isNotNull().alias("known"))
+
+
+def decide(ctx: Context, accepted: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """DEC-01: one decision a ticket: the best usable vehicle of the first hub that has one, or an escalation with what a waiver would bring, and all it rests on.
+
+    earlier: rows that were accepted before; their incidents count for the rotation rule as those of this batch do.
+    """
+    book = ctx.rulebook
+    tickets = settle(base_tickets(ctx, accepted))
+    past = settle(incidents(ctx, earlier, tickets))
+    vehicles = settle(fleet(ctx, past))
+    choices = settle(chosen(hub_report(ctx, candidates(ctx, sources(ctx, tickets), vehicles))))
+    served = choices.filter("choice is not null").select("ticket_id")
+    offers = waiver_options(ctx, tickets.filter("exclusive").join(served, "ticket_id", "left_anti"), vehicles).select("ticket_id", F.struct("hub", "km", "reg_key").alias("waiver_option"))
+    about = detailed(ctx, tickets, choices, vehicles, past)
+    out = plan_checks(ctx, tickets).join(choices, "ticket_id", "left").join(about, "ticket_id", "left").join(offers, "ticket_id", "left")
+
+    found, near = F.col("choice").isNotNull(), F.col("exclusive")
+    ten = book.of("R-010")
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    basis = F.concat_ws("", F.col("km_from_origin_hub").cast("string"), F.lit(" km from "), F.col("origin_hub"), F.when(near, f": within {book.limit_km:g} km only that hub sends").otherwise(f": beyond {book.limit_km:g} km the nearest hub with a usable vehicle sends"))
+    hubs, _ = rules.sourcing(F.col("km_from_origin_hub"), F.col("origin_hub"), F.transform("others", lambda x: x["other"]), book.limit_km)
+    sourcing = F.struct(F.lit("R-010").alias("rule_id"), basis.alias("basis"), hubs.alias("hubs"), near.alias("exclusive"), (~near).alias("derived"), texts(ten["citations"]).alias("citations"), F.when(~near, texts(ten["assumptions"])).otherwise(texts(())).alias("assumptions"))
+    out = out.withColumns({"classification": classified(book, F.col("issue")), "sourcing": sourcing, "failing": F.filter("plan_checks", lambda c: c["verdict"] == rules.FAIL)})
+    checks = F.col("sent.checks")
+    unknowns = _brief(checks, rules.INSUFFICIENT)
+    derived = F.transform(F.filter(checks, lambda c: c["derived"] & (c["verdict"] != rules.NOT_APPLICABLE)), lambda c: F.struct(c["rule_id"].alias("rule_id"), c["verdict"].alias("verdict"), c["assumptions"].alias("assumptions"), c["because"].alias("because")))
+    replacement = F.struct(
+        F.col("choice.reg_key").alias("reg_key"), F.col("sent.registration").alias("registration"), F.col("sent.vehicle_id").alias("vehicle_id"), F.col("choice.from_hub").alias("from_hub"), F.col("sent.year").alias("year"), F.col("sent.bs_stage").alias("bs_stage"),
+        F.col("sent.engine_heater").alias("engine_heater"), F.col("sent.capacity_tonnes").alias("capacity_tonnes"), F.col("choice.eligible").alias("eligible"), F.col("choice.derived").alias("rests_on_assumption"), derived.alias("derived_checks"), F.col("choice.borderline").alias("borderline"),
+        unknowns.alias("unknowns"), checks.alias("checks"), _distinct(F.col("sourcing.citations"), _flat(checks, "citations"), F.col("sent.citations")).alias("citations"),
+    )
+    reason = F.when(near, F.concat(F.lit("no usable vehicle at "), F.col("origin_hub"), F.lit(", which alone may send"))).otherwise("no usable vehicle at any hub that may send")
+    escalation = F.struct(reason.alias("reason"), F.lit("human decision").alias("requires"), F.col("waiver_option"), F.when(near, "R-010").alias("rule_that_would_be_waived"))
+    failed = F.struct(
+        F.col("failed.registration").alias("registration"), _brief(F.col("failed.checks"), rules.FAIL).alias("blocking_rules"), _brief(F.col("failed.checks"), rules.INSUFFICIENT).alias("unknown_rules"),
+        F.col("failed.fix").alias("open_fix"), F.col("failed.visit").alias("last_workshop_visit"), F.col("failed.checks").alias("checks"),
+    )
+    out = out.withColumns({"replacement": F.when(found, replacement), "escalation": F.when(~found, escalation), "failed_vehicle": F.when(F.col("failed").isNotNull(), failed)})
+    out = out.withColumn("needs_human", ~found | (F.size("failing") > 0) | F.coalesce(F.size("replacement.unknowns") > 0, F.lit(False)))
+    key = F.col("classification.issue_key")
+    step = lambda action, why, rule=None: F.struct(action.alias("action"), why.alias("because"), F.lit(rule).cast("string").alias("rule_id"))
+    why = lambda rule: F.get(F.transform(F.filter("plan_checks", lambda c: c["rule_id"] == rule), lambda c: c["because"]), F.lit(0))
+    steps = [
+        step(F.when(F.col("classification.recovery").startswith("TOW"), "Tow it to the nearest workshop").otherwise("Send help to the roadside"), F.concat_ws("", F.coalesce(key, F.lit("unspecified issue")), F.lit(" is "), F.col("classification.class"))),
+        F.when(found, step(F.concat(F.lit("Send "), F.col("replacement.registration"), F.lit(" from "), F.col("replacement.from_hub")), F.col("sourcing.basis"), "R-010")).otherwise(step(F.lit("Ask a person: there is no usable vehicle"), reason, "R-010")),
+        F.when(F.col("r008") == rules.FAIL, step(F.lit("Move the load straight to the replacement, not over a hub by night"), why("R-008"), "R-008")),
+        F.when(F.col("r005") == rules.FAIL, step(F.lit(f"Hold at the last halt and deliver at {book.gate['opens']:02d}:00 as a scheduled morning delivery, never as a failed one"), why("R-005"), "R-005")),
+        F.when(F.col("r013") == rules.FAIL, step(F.lit("Send a second driver, or leave by day"), why("R-013"), "R-013")),
+        F.when(F.col("r009") == rules.FAIL, step(F.concat_ws("", F.lit("Quote "), F.coalesce(F.col("quoted_hours").cast("string"), F.lit("the padded")), F.lit(" hours")), why("R-009"), "R-009")),
+    ]
+    actions = F.transform(F.array_compact(F.array(*steps)), lambda x, i: F.struct((i + 1).alias("step"), x["action"].alias("action"), x["because"].alias("because"), x["rule_id"].alias("rule_id")))
+    cited = _distinct(F.array("citation"), F.col("failed.citations"), F.when(found, F.col("replacement.citations")).otherwise(F.col("sourcing.citations")), _flat(F.col("plan_checks"), "citations"))
+    assumed = _distinct(F.col("sourcing.assumptions"), F.when(found, _flat(checks, "assumptions")), _flat(F.col("plan_checks"), "assumptions"), texts(book.always))
+    status = emit.work_order_status(found, F.col("needs_human"))
+    ids = {"status": status, "work_order_id": prefixed_id("WO-", "wo", F.col("ticket_id")), "message_id": prefixed_id("MSG-", "msg", F.col("ticket_id")), "vehicle_reg": F.coalesce("failed.registration", "vehicle_key")}
+    return out.withColumns({"actions": actions, "citations": cited, "assumptions_used": assumed, **ids}).drop("choice", "sent", "failed", "failing", "waiver_option", "others", "joining_date")
 
 
 def run_batch(ctx: Context, tickets: DataFrame, ledger: Ledger) -> Ledger:
-    """LED-01: validate, decide only what is new, merge, save. What was decided before stays as it was."""
+    """LED-01: validate, decide only what is new, merge, save. What was decided before stays as it was, and counts as an incident."""
     seen = validate.validate_batch(tickets, ctx.vehicles, ctx.hubs(), ctx.drivers, ctx.clients())
     good, bad = seen.filter("accepted"), seen.filter("not accepted")
     old_a, old_q = accepted_now(ledger, "ticket_id"), ledger.load("quarantine")
-    fresh = decide(ctx, good if old_a is None else new_rows(good, old_a, "ticket_id"))
+    fresh = decide(ctx, good if old_a is None else new_rows(good, old_a, "ticket_id"), old_a)
     held = validate.quarantine_records(bad, F.col("raw"), F.col("citation")).drop("ticket_id").withColumnRenamed("quarantine_id", "ticket_id")
     merged, rest = merge(fresh.limit(0) if old_a is None else old_a, held.limit(0) if old_q is None else old_q, fresh, held, "ticket_id")
     ledger.save(accepted=merged, quarantine=rest)
     return ledger
 
 
-def outputs(ctx: Context, ledger: Ledger) -> dict[str, tuple[DataFrame, str]]:
-    """EMT-01..04: work orders, pending and sent messages, quarantine, audit, each with the key it is ordered by."""
-    acc, held = accepted_now(ledger, "ticket_id"), ledger.load("quarantine")
+def audit_steps(acc: DataFrame) -> DataFrame:
+    """EMT-04: (ticket_id, seq, step, rule_id, verdict, applies_to, detail): the fixed steps with the checks of the plan and of the vehicle that is sent between them, under one running number; detail is JSON with sorted keys."""
+    kind = "struct<step: string, rule_id: string, verdict: string, applies_to: string, detail: string>"
+    found = F.col("replacement").isNotNull()
+
+    def said(facts: Mapping[str, Column]) -> Column:
+        return F.to_json(F.struct(*(v.alias(k) for k, v in sorted(facts.items()))), {"ignoreNullFields": "false"})
+
+    def row(step: str, when: Column, facts: Mapping[str, Column]) -> Column:
+        none = F.lit(None).cast("string")
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(step).alias("step"), none.alias("rule_id"), none.alias("verdict"), none.alias("applies_to"), said(facts).alias("detail")))
+
+    def evaluated(checks: Column, applies_to: str | None) -> Column:
+        facts = ("because", "hard", "derived", "citations", "assumptions", "rule_name")
+        made = F.transform(checks, lambda c: F.struct(F.lit("RULE_EVALUATED").alias("step"), c["rule_id"].alias("rule_id"), c["verdict"].alias("verdict"), F.lit(applies_to).cast("string").alias("applies_to"), said({k: c[k] for k in facts}).alias("detail")))
+        return F.coalesce(made, F.array().cast(f"array<{kind}>"))
+
+    yes, some = F.lit(True), lambda *names: {n.rsplit(".", 1)[-1]: F.col(n) for n in names}
+    first = F.array(
+        row("INGESTED", yes, {"source": F.col("citation"), "occurrences": F.col("occurrences")}), row("VALIDATED", yes, {"result": F.lit("ACCEPTED"), **some("vehicle_reg", "origin_hub", "destination")}),
+        row("DEDUPLICATED", F.col("occurrences") > 1, {"occurrences": F.col("occurrences"), "kept_source": F.col("citation")}), row("CLASSIFIED", yes, some("classification.issue_key", "classification.class", "classification.recovery", "classification.known")),
+    )
+    last = F.array(
+        row("REPLACEMENT_SOURCING", yes, some("sourcing.rule_id", "sourcing.basis", "sourcing.hubs", "sourcing.derived")),
+        row("REPLACEMENT_SELECTED", found, {**some("replacement.registration", "replacement.from_hub", "replacement.eligible", "replacement.rests_on_assumption", "replacement.borderline", "replacement.citations"), "derived_checks": F.transform("replacement.derived_checks", lambda c: c["rule_id"])}),
+        row("REPLACEMENT_ESCALATED", ~found, some("escalation.reason", "escalation.waiver_option")), row("WORK_ORDER_EMITTED", yes, some("work_order_id")),
+        row("COMMS_DRAFTED", emit.needs_message(F.col("client")), some("message_id")), row("COMMS_SENT", F.col("sent"), some("message_id", "approved_by", "sent_at")),
+    )
+    steps = F.concat(F.array_compact(first), evaluated(F.col("plan_checks"), None), evaluated(F.col("replacement.checks"), "selected_replacement"), F.array_compact(last))
+    return acc.select("ticket_id", F.posexplode(steps).alias("pos", "x")).select("ticket_id", (F.col("pos") + 1).cast("bigint").alias("seq"), "x.*")
+
+
+def with_sending(acc: DataFrame) -> DataFrame:
+    """Accepted rows with the columns of approvals, null where nothing was sent yet."""
     for name, kind in (("sent", "boolean"), ("recipient", "string"), ("body", "string"), ("approved_by", "string"), ("sent_at", "string")):
         if name not in acc.columns:
             acc = acc.withColumn(name, F.lit(None).cast(kind))
-    orders = acc.select("work_order_id", "ticket_id", F.col("vehicle_key").alias("vehicle_reg"), F.col("created_iso").alias("created_at"), "client", "severity", "issue", "origin_hub", "destination", F.col("replacement.reg_key").alias("replacement"), F.col("replacement.from_hub").alias("from_hub"), "status", F.col("needs_human").alias("needs_human_review"))
-    lines = [F.concat(F.lit("Service update, ticket "), F.col("ticket_id")), F.lit(""), F.concat(F.lit("Vehicle "), F.col("vehicle_key"), F.lit(" is out of service.")), F.when(F.col("replacement").isNotNull(), F.concat(F.lit("A replacement comes from "), F.col("replacement.from_hub"), F.lit("."))).otherwise("A replacement is being arranged."), F.when(F.col("r005") == "FAIL", "Delivery is held until 08:00 as a scheduled morning delivery."), F.when(F.col("r008") == "FAIL", "The load moves straight to the replacement."), F.when(F.col("quoted_hours").isNotNull(), F.concat(F.lit("Expect about "), F.col("quoted_hours"), F.lit(" hours.")))]
-    pending = emit.comms_pending(acc, emit.message(lines), "client", F.col("vehicle_key").alias("vehicle_reg"), "status", "needs_human", F.col("created_iso").alias("drafted_at"))
-    yes, none = F.lit(True), F.lit("")
-    steps = [("INGESTED", yes, F.col("citation")), ("VALIDATED", yes, F.lit("ACCEPTED")), ("DEDUPLICATED", F.col("occurrences") > 1, F.col("occurrences")), ("CLASSIFIED", yes, F.col("issue")), *(("RULE_EVALUATED", yes, F.concat(F.lit(f"R-{k[1:]} "), F.col(k))) for k in ("r004", "r009", "r005", "r008", "r013")), ("REPLACEMENT_SELECTED", F.col("replacement").isNotNull(), F.col("replacement.reg_key")), ("REPLACEMENT_ESCALATED", F.col("replacement").isNull(), none), ("WORK_ORDER_EMITTED", yes, F.col("work_order_id")), ("COMMS_DRAFTED", F.col("mailbox").isNotNull() & emit.needs_message(F.col("client")), F.col("message_id")), ("COMMS_SENT", F.coalesce("sent", F.lit(False)), F.col("approved_by"))]
-    trail = emit.audit(acc, "ticket_id", steps).unionByName(emit.audit(held, "ticket_id", [("INGESTED", yes, F.col("occurrences")), ("QUARANTINED", yes, F.array_join("reason_codes", ","))]))
+    return acc
+
+
+def outputs(ctx: Context, ledger: Ledger) -> dict[str, tuple[DataFrame, str]]:
+    """EMT-01..04: work orders, pending and sent messages, quarantine, audit, each with the key it is ordered by."""
+    acc, held = with_sending(accepted_now(ledger, "ticket_id")), ledger.load("quarantine")
+    r = lambda name: F.col(f"replacement.{name}").alias(name)
+    orders = acc.select("work_order_id", "ticket_id", "vehicle_reg", F.col("created_iso").alias("created_at"), "citations", "client", "severity", "issue", "origin_hub", "destination", F.col("replacement.registration").alias("replacement"), r("from_hub"), r("rests_on_assumption"), r("derived_checks"), r("borderline"), r("unknowns"), "status", F.col("needs_human").alias("needs_human_review"), "assumptions_used")
+    lines = [F.concat(F.lit("Service update, ticket "), F.col("ticket_id")), F.lit(""), F.concat(F.lit("Vehicle "), F.col("vehicle_reg"), F.lit(" is out of service.")), F.when(F.col("replacement").isNotNull(), F.concat(F.lit("A replacement comes from "), F.col("replacement.from_hub"), F.lit("."))).otherwise("A replacement is being arranged."), F.when(F.col("r005") == "FAIL", f"Delivery is held until {ctx.rulebook.gate['opens']:02d}:00 as a scheduled morning delivery."), F.when(F.col("r008") == "FAIL", "The load moves straight to the replacement."), F.when(F.col("quoted_hours").isNotNull(), F.concat(F.lit("Expect about "), F.col("quoted_hours"), F.lit(" hours.")))]
+    brief = F.transform(F.filter("plan_checks", lambda c: c["verdict"] == rules.FAIL), lambda c: F.struct(c["rule_id"].alias("rule_id"), c["because"].alias("because"), c["citations"].alias("citations")))
+    pending = emit.comms_pending(acc, emit.message(lines), "client", "vehicle_reg", "status", "needs_human", brief.alias("actionable_constraints"), "citations", F.col("created_iso").alias("drafted_at"))
+    yes = F.lit(True)
+    gone = emit.audit(held, "ticket_id", [("INGESTED", yes, F.col("occurrences")), ("QUARANTINED", yes, F.array_join("reason_codes", ","))])
+    trail = audit_steps(acc).unionByName(gone, allowMissingColumns=True)
     key = lambda df: df.withColumn("key", F.concat_ws(" ", F.col("ticket_id"), F.lpad(F.col("seq").cast("string"), 4, "0")))
     return {"work_orders": (orders, "ticket_id"), "comms_pending": (pending, "ticket_id"), "comms_sent": (emit.comms_sent(acc), "ticket_id"), "quarantine": (emit.quarantine(held.withColumns({"quarantine_id": F.col("ticket_id"), "ticket_id": F.when(~F.col("ticket_id").startswith("NO-ID-"), F.col("ticket_id"))})), "quarantine_id"), "audit": (key(trail), "key")}

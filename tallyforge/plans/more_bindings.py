@@ -12,7 +12,7 @@ from tallyforge.functions import core as c
 from tallyforge.operators import reports, resolve, rules
 from tallyforge.sources import delimited, tickets
 
-from .bindings import ELIGIBLE, FINGERPRINT, RULES_SQL, TOKENS, judged, query, t
+from .bindings import FINGERPRINT, TOKENS, query, t
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,13 +73,6 @@ def prj_12(s, d):
     return o.select("o_orderkey", F.struct(F.col("n_name").alias("origin"), F.col("r_name").alias("destination")).alias("route")).select("o_orderkey", "route.origin", "route.destination")
 
 
-@query("join_11", f"{RULES_SQL}, e AS (SELECT o_orderkey, hub, s_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY hub_rank, s_acctbal DESC, s_suppkey) AS nth FROM r WHERE {ELIGIBLE}) SELECT o_orderkey, hub, s_suppkey FROM e WHERE nth = 1")
-def join_11(s, d):
-    from tallyforge.operators.select import pick
-
-    return pick(judged(s, d), ["o_orderkey"], F.col("eligible"), [F.col("hub_rank"), F.desc("s_acctbal"), F.col("s_suppkey")]).select("o_orderkey", "hub", "s_suppkey")
-
-
 @query("join_13", "SELECT n_nationkey, array_to_string(list_sort(list(r_name)), ',') AS regions FROM nation JOIN region ON r_regionkey IN (n_regionkey, (n_regionkey + 1) % 5) GROUP BY 1")
 def join_13(s, d):
     ids = F.array("n_regionkey", ((F.col("n_regionkey") + 1) % 5).cast("int"))
@@ -98,13 +91,6 @@ def join_15(s, d):
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("join_16", "SELECT s_suppkey, a.n_regionkey = b.n_regionkey AS same_region FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON s_suppkey % 25 = b.n_nationkey")
-def join_16(s, d):
-    n = t(s, d, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("x")), n.select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_regionkey").alias("y"))
-    return t(s, d, "supplier").join(a, "s_nationkey").withColumn("k", F.col("s_suppkey") % 25).join(b, "k").select("s_suppkey", (F.col("x") == F.col("y")).alias("same_region"))
-
-
 @query("agg_04", "SELECT l_suppkey, strftime(max(l_shipdate) FILTER (l_returnflag = 'A'), '%Y-%m-%d') AS last_brake FROM lineitem GROUP BY 1")
 def agg_04(s, d):
     return t(s, d, "lineitem").groupBy("l_suppkey").agg(F.date_format(F.max(F.when(F.col("l_returnflag") == "A", F.col("l_shipdate"))), "yyyy-MM-dd").alias("last_brake"))

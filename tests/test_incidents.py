@@ -1,6 +1,6 @@
 """Queries take whole tables: every order is an incident and has a decision."""
 
-from tallyforge.plans import bindings, case_bindings, more_bindings, source_bindings  # noqa: F401
+from tallyforge.plans import bindings, case_bindings, fleet_bindings, more_bindings, source_bindings  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
