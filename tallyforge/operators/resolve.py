@@ -72,8 +72,8 @@ def as_of(probes: DataFrame, events: DataFrame, key: str, probe_at: str, event_a
 
     latest: columns of events of which the greatest value counts; a struct that begins with the time is the latest event's, and what follows in it comes along
     (null where an event is none of the kind). totals: numbers that are added up, 0 without events. Linear in both sides, where a join on "not after" grows with their
-    product, and no task holds a whole key: events are reduced by key and slice of time, running values over those tell what a slice begins with, and within a slice a window over
-    probes and events does the rest. Events without a time come before all others. Probes are read twice; give a settled table where they cost much.
+    product, and no task holds a whole key: events are reduced by key and slice of time, running values over those stand at the beginning of each slice like an event,
+    and a window over a slice's probes and events does the rest. Events without a time come before all others. Probes are read twice; give a settled table where they cost much.
     """
     totals = totals or {}
     how = {**{k: F.max for k in latest}, **{k: F.sum for k in totals}}
@@ -83,14 +83,12 @@ def as_of(probes: DataFrame, events: DataFrame, key: str, probe_at: str, event_a
     sums = right.groupBy("__key", "__slice").agg(*(f(f"__{k}").alias(f"__{k}") for k, f in how.items()))
     marks = left.select("__key", "__slice").distinct()
     parts = sums.unionByName(marks, allowMissingColumns=True).groupBy("__key", "__slice").agg(*(f(f"__{k}").alias(f"__{k}") for k, f in how.items()))
-    starts = _carried(parts, ["__key"], "__slice", {f"__c_{k}": f(f"__{k}") for k, f in how.items()}).withColumnsRenamed({"__key": "__of", "__slice": "__from"})
-    both = left.withColumn("__probe", F.lit(1)).unionByName(right.withColumn("__probe", F.lit(0)), allowMissingColumns=True)
+    starts = _carried(parts, ["__key"], "__slice", {f"__c_{k}": f(f"__{k}") for k, f in how.items()})
+    begin = starts.select("__key", "__slice", F.col("__slice").alias("__at"), F.lit(-1).alias("__probe"), *(F.col(f"__c_{k}").alias(f"__{k}") for k in how))
+    both = left.withColumn("__probe", F.lit(1)).unionByName(right.withColumn("__probe", F.lit(0)), allowMissingColumns=True).unionByName(begin, allowMissingColumns=True)
     w = Window.partitionBy("__key", "__slice").orderBy("__at", "__probe").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumns({f"__w_{k}": f(f"__{k}").over(w) for k, f in how.items()}).filter("__probe = 1")
-    out = seen.join(starts, F.col("__key").eqNullSafe(F.col("__of")) & (F.col("__slice") == F.col("__from")), "left")
-    later = {k: F.when(F.col(f"__w_{k}").isNull() | (F.col(f"__c_{k}") > F.col(f"__w_{k}")), F.col(f"__c_{k}")).otherwise(F.col(f"__w_{k}")) for k in latest}
-    added = {k: F.coalesce(f"__w_{k}", F.lit(0)) + F.coalesce(f"__c_{k}", F.lit(0)) for k in totals}
-    return out.select(*probes.columns, *(v.alias(k) for k, v in {**later, **added}.items()))
+    return seen.select(*probes.columns, *(F.col(f"__w_{k}").alias(k) for k in latest), *(F.coalesce(f"__w_{k}", F.lit(0)).alias(k) for k in totals))
 
 
 def as_of_state(probes: DataFrame, events: DataFrame, key: str, probe_at: str, event_at: str, facts: dict[str, Column], slice_: str = "month") -> DataFrame:

@@ -26,6 +26,29 @@ def ranking(eligible: Column, derived: Column, newest_first: Column, n_events: C
     return [(~eligible).cast("int"), derived.cast("int"), F.when(newest_first, newer).otherwise(0), (F.coalesce(n_events, F.lit(0)) == 0).cast("int"), newer, key]
 
 
+#: Bits of a packed rank for each of the six keys, the first being the highest; vehicles are numbered in the order of their keys.
+BITS = (1, 1, 16, 1, 16, 28)
+
+
+def packed(eligible: Column, derived: Column, newest_first: Column, n_events: Column, year: Column, number: Column) -> Column:
+    """SEL-02: the six keys as one number of 63 bits, in the same order as ranking() for years from 0 to 65,535.
+
+    A minimum of a number needs no sorting, so candidates are reduced by a hash aggregate as they are made; a struct would be sorted first.
+    """
+    older = F.lit(65_535) - F.least(F.greatest(F.coalesce(year, F.lit(0)), F.lit(0)), F.lit(65_535))
+    out = F.lit(0).cast("bigint")
+    for key, bits in zip([(~eligible).cast("int"), derived.cast("int"), F.when(newest_first, older).otherwise(0), (F.coalesce(n_events, F.lit(0)) == 0).cast("int"), older, number], BITS, strict=True):
+        out = F.shiftleft(out, bits).bitwiseOR(key.cast("bigint"))
+    return out
+
+
+def unpacked(rank: Column) -> dict[str, Column]:
+    """What a packed rank says of its candidate: eligible, derived, number."""
+    bit = lambda place: F.shiftright(rank, place).bitwiseAND(F.lit(1).cast("bigint"))
+    top = sum(BITS)
+    return {"eligible": bit(top - 1) == 0, "derived": bit(top - 2) == 1, "number": rank.bitwiseAND(F.lit((1 << BITS[-1]) - 1))}
+
+
 def tally(candidates: DataFrame, by: Sequence[str], eligible: Column, caveats: Column) -> DataFrame:
     """AGG-09."""
     return candidates.groupBy(*by).agg(F.count("*").alias("considered"), F.count_if(eligible).alias("n_eligible"), F.count_if(caveats).alias("n_caveats"), F.count_if(~eligible & ~caveats).alias("n_rejected"))

@@ -123,7 +123,7 @@ def incidents(ctx: Context, *accepted: DataFrame | None) -> DataFrame:
 
 
 def fleet(ctx: Context, past: DataFrame) -> DataFrame:
-    """One row a vehicle with what does not depend on a ticket: home region, whether it has a history, and when it first had an incident of the rotation client.
+    """One row a vehicle with what does not depend on a ticket: home region, whether it has a history, its number in the order of keys, and when it first had an incident of the rotation client.
 
     The first time decides the rotation rule for a ticket at any time, so candidates need no join with incidents.
     """
@@ -137,7 +137,11 @@ def fleet(ctx: Context, past: DataFrame) -> DataFrame:
     if not set(NOTES) <= set(ctx.vehicles.columns):
         v = v.drop(*NOTES).join(_all_time(ctx.maintenance), "reg_key", "left")
     first = past.groupBy("reg_key").agg(F.min("at").alias("first_incident"))
-    return v.join(ctx.regions_of("home_hub", "home_region"), "home_hub", "left").join(first, "reg_key", "left")
+    v = v.join(ctx.regions_of("home_hub", "home_region"), "home_hub", "left").join(first, "reg_key", "left")
+    out = resolve.global_rank(v, "reg_key", "number")
+    if out.count() >= 1 << select.BITS[-1]:
+        raise ValueError("more vehicles than a packed rank can tell apart")
+    return out
 
 
 def _region(book: Rulebook, name: str) -> Column:
@@ -147,21 +151,20 @@ def _region(book: Rulebook, name: str) -> Column:
 def verdicts(book: Rulebook) -> tuple[dict[str, Column], Column]:
     """The eight verdicts on a vehicle for a ticket, by rule in order, and whether that of service is close to the line.
 
-    Columns: of the ticket at, client, origin_hub, destination, destination_region, barred (the vehicle that may not come), of the vehicle those of fleet(), last_visit, last_brake, open_since.
+    Columns: of the ticket those of ROUTE and barred (the vehicle that may not come), of the vehicle those of fleet(), last_visit, last_brake, open_since.
+    Dates are compared with the ticket's day, and what season and places make of a route is known from the ticket, so that little is left to do for each candidate.
     """
-    at = F.col("at")
-    season = lambda r: rules.in_season(at, r["months"]) & _region(book, r["region"])
-    overdue, borderline = rules.overdue_service(F.col("last_visit"), at, **book.service)
-    named = book.rotation["client"]
+    day = F.col("day")
+    overdue, borderline = rules.overdue_service(F.col("last_visit"), day, **book.service)
     return {
         "R-000": rules.availability(F.col("reg_key"), F.col("barred"), F.col("fleet_status")),
-        "R-001": rules.required_value(season(book.emission), F.col("bs_stage"), book.emission["stage"]),
-        "R-002": rules.required_flag(season(book.heater), F.col("engine_heater")),
-        "R-003": rules.cooled_off(season(book.brakes), F.col("last_brake"), at, book.brakes["days"]),
-        "R-006": rules.rotation(F.col("client"), named, (F.col("first_incident") <= at).cast("int")),
+        "R-001": rules.required_value(F.col("emission_applies"), F.col("bs_stage"), book.emission["stage"]),
+        "R-002": rules.required_flag(F.col("heater_applies"), F.col("engine_heater")),
+        "R-003": rules.cooled_off(F.col("brakes_apply"), F.col("last_brake"), day, book.brakes["days"]),
+        "R-006": rules.rotation(F.col("client"), book.rotation["client"], (F.col("first_incident") <= F.col("at")).cast("int")),
         "R-007": rules.least_year(F.col("client"), book.age["client"], F.col("year"), book.age["year"]),
         "R-011": overdue,
-        "R-012": rules.temporary_fix(F.col("open_since"), at, F.col("home_region"), F.col("destination_region"), book.fix_days),
+        "R-012": rules.temporary_fix(F.col("open_since"), day, F.col("home_region"), F.col("destination_region"), book.fix_days),
     }, borderline
 
 
@@ -178,10 +181,11 @@ def base_tickets(ctx: Context, accepted: DataFrame) -> DataFrame:
     ordered = ctx.distances.groupBy(F.col("hub").alias("origin_hub")).agg(F.array_sort(F.collect_list(F.struct("km", "other"))).alias("others"))
     rows = rows.join(ordered, "origin_hub", "left").join(ctx.regions_of("destination", "destination_region"), "destination", "left")
     _, near = rules.sourcing(F.col("km_from_origin_hub"), F.col("origin_hub"), F.array("origin_hub"), book.limit_km)
-    return rows.withColumn("exclusive", near)
+    season = lambda r: rules.in_season(F.col("at"), r["months"]) & _region(book, r["region"])
+    return rows.withColumns({"exclusive": near, "emission_applies": season(book.emission), "heater_applies": season(book.heater), "brakes_apply": season(book.brakes)})
 
 
-ROUTE = ("ticket_id", "at", "day", "origin_hub", "destination", "destination_region", "client")
+ROUTE = ("ticket_id", "at", "day", "client", "destination_region", "emission_applies", "heater_applies", "brakes_apply")
 
 
 def sources(ctx: Context, tickets: DataFrame) -> DataFrame:
@@ -198,10 +202,9 @@ def candidates(ctx: Context, asked: DataFrame, vehicles: DataFrame) -> DataFrame
     days = asked.select("from_hub", "day").distinct()
     probes = settle(days.join(vehicles.select("reg_key", F.col("home_hub").alias("from_hub")), "from_hub"))
     state = vehicle_state(ctx, probes).select("from_hub", "day", "reg_key", F.col("visit.date").alias("last_visit"), F.col("brake.date").alias("last_brake"), F.col("fix.date").alias("open_since"))
-    known = state.join(vehicles.select("reg_key", "year", "bs_stage", "engine_heater", "fleet_status", "n_events", "home_region", "first_incident"), "reg_key")
+    known = state.join(vehicles.select("reg_key", "year", "bs_stage", "engine_heater", "fleet_status", "n_events", "home_region", "first_incident", "number"), "reg_key")
     rows = asked.join(known, ["from_hub", "day"], "left")
-    found, borderline = verdicts(ctx.rulebook)
-    rows = rows.withColumns({_column(k): v for k, v in found.items()}).withColumn("borderline", borderline)
+    rows = rows.withColumns({_column(k): v for k, v in verdicts(ctx.rulebook)[0].items()})
     hard = [k for k in VEHICLE_RULES if ctx.rulebook.of(k)["hard"]]
     any_ = lambda verdict: _any([F.col(_column(k)) == verdict for k in hard])
     there, fails, lacks = F.col("reg_key").isNotNull(), any_(rules.FAIL), any_(rules.INSUFFICIENT)
@@ -224,13 +227,13 @@ def ranking(book: Rulebook) -> list[Column]:
 
 
 def hub_report(ctx: Context, rows: DataFrame) -> DataFrame:
-    """AGG-09, AGG-10, SEL-02: for each ticket and hub how many vehicles were considered, usable and not, why not, and the best usable one by the six keys.
+    """AGG-09, AGG-10, SEL-02: for each ticket and hub how many vehicles were considered, usable and not, why not, and the packed rank of the best usable one by the six keys.
 
-    One aggregation: counters for each rule and the minimum of a struct of keys; rows are reduced before they are shuffled.
+    One hash aggregation of numbers alone, whose partial step follows the join at once: candidates are neither sorted nor shuffled.
     """
     usable = F.col("eligible") | F.col("caveats")
-    keys = {f"k{i}": c for i, c in enumerate(ranking(ctx.rulebook))}
-    best = F.min(F.when(usable, F.struct(*(c.alias(k) for k, c in keys.items()), "reg_key", "eligible", "caveats", "derived", "borderline")))
+    rank = select.packed(F.col("eligible"), F.col("derived"), F.col("client") == ctx.rulebook.newest["client"], F.col("n_events"), F.col("year"), F.col("number"))
+    best = F.min(F.when(usable, rank))
     counts = {f"{k}{suffix}": F.count_if(F.col("reg_key").isNotNull() & (F.col(_column(k)) == verdict)) for k in VEHICLE_RULES if ctx.rulebook.of(k)["hard"] for suffix, verdict in (("", rules.FAIL), (":unknown", rules.INSUFFICIENT))}
     out = rows.groupBy("ticket_id", "hub_rank", "from_hub").agg(
         F.count("reg_key").alias("considered"), F.count_if("eligible").alias("n_eligible"), F.count_if("caveats").alias("n_caveats"),
@@ -240,11 +243,15 @@ def hub_report(ctx: Context, rows: DataFrame) -> DataFrame:
     return out.select("ticket_id", "hub_rank", "from_hub", "considered", "n_eligible", "n_caveats", "n_rejected", "best", F.transform(tally, lambda x: F.struct(x["code"].alias("code"), (-x["order"]).alias("n"))).alias("reasons"))
 
 
-def chosen(report: DataFrame) -> DataFrame:
+def chosen(report: DataFrame, vehicles: DataFrame) -> DataFrame:
     """SEL-01: a row a ticket: the best vehicle of the first hub that has a usable one (null if none has), and the report of every hub in order."""
     hubs = F.array_sort(F.collect_list(F.struct("hub_rank", F.col("from_hub").alias("hub"), "considered", "n_eligible", "n_caveats", "n_rejected", "reasons")))
-    first = F.min(F.when(F.col("best").isNotNull(), F.struct("hub_rank", "from_hub", F.col("best.reg_key").alias("reg_key"), F.col("best.eligible").alias("eligible"), F.col("best.derived").alias("derived"), F.col("best.borderline").alias("borderline"))))
-    return report.groupBy("ticket_id").agg(first.alias("choice"), hubs.alias("hubs_examined"))
+    first = F.min(F.when(F.col("best").isNotNull(), F.struct("hub_rank", "from_hub", "best")))
+    said = select.unpacked(F.col("first.best"))
+    rows = report.groupBy("ticket_id").agg(first.alias("first"), hubs.alias("hubs_examined")).withColumn("number", said["number"])
+    rows = rows.join(vehicles.select("number", "reg_key"), "number", "left")
+    choice = F.struct(F.col("first.hub_rank").alias("hub_rank"), F.col("first.from_hub").alias("from_hub"), "reg_key", said["eligible"].alias("eligible"), said["derived"].alias("derived"))
+    return rows.select("ticket_id", F.when(F.col("first").isNotNull(), choice).alias("choice"), "hubs_examined")
 
 
 def waiver_options(ctx: Context, waiting: DataFrame, vehicles: DataFrame) -> DataFrame:
@@ -303,8 +310,8 @@ def detailed(ctx: Context, tickets: DataFrame, choices: DataFrame, vehicles: Dat
     rows = settle(sent.unionByName(failed).join(route, "ticket_id").withColumn("barred", F.when(F.col("is_sent"), F.col("vehicle_key"))))
     seen = resolve.prior_incidents(settle(vehicle_state(ctx, rows)), past, "reg_key", "at").join(vehicles, "reg_key")
     seen = seen.withColumns({"last_visit": F.col("visit.date"), "last_brake": F.col("brake.date"), "open_since": F.col("fix.date")})
-    seen = seen.withColumn("checks", vehicle_checks(ctx.rulebook))
-    one = seen.select("ticket_id", "is_sent", F.struct("reg_key", "registration", "vehicle_id", "year", "bs_stage", "engine_heater", "capacity_tonnes", "visit", "fix", "checks", F.concat(F.coalesce("citations", F.array().cast("array<string>")), F.array_compact(F.array(*NOTES))).alias("citations")).alias("about"))
+    seen = seen.withColumns({"checks": vehicle_checks(ctx.rulebook), "borderline": verdicts(ctx.rulebook)[1]})
+    one = seen.select("ticket_id", "is_sent", F.struct("reg_key", "registration", "vehicle_id", "year", "bs_stage", "engine_heater", "capacity_tonnes", "visit", "fix", "checks", "borderline", F.concat(F.coalesce("citations", F.array().cast("array<string>")), F.array_compact(F.array(*NOTES))).alias("citations")).alias("about"))
     of = lambda is_: F.any_value(F.when(F.col("is_sent") == is_, F.col("about")), ignoreNulls=True)
     return one.groupBy("ticket_id").agg(of(True).alias("sent"), of(False).alias("failed"))
 
@@ -361,8 +368,8 @@ def decide(ctx: Context, accepted: DataFrame, earlier: DataFrame | None = None)
     book = ctx.rulebook
     tickets = settle(base_tickets(ctx, accepted))
     past = settle(incidents(ctx, earlier, tickets))
-    vehicles = settle(fleet(ctx, past))
-    choices = settle(chosen(hub_report(ctx, candidates(ctx, sources(ctx, tickets), vehicles))))
+    vehicles = fleet(ctx, past)
+    choices = settle(chosen(hub_report(ctx, candidates(ctx, sources(ctx, tickets), vehicles)), vehicles))
     served = choices.filter("choice is not null").select("ticket_id")
     offers = waiver_options(ctx, tickets.filter("exclusive").join(served, "ticket_id", "left_anti"), vehicles).select("ticket_id", F.struct("hub", "km", "reg_key").alias("waiver_option"))
     about = detailed(ctx, tickets, choices, vehicles, past)
@@ -380,7 +387,7 @@ def decide(ctx: Context, accepted: DataFrame, earlier: DataFrame | None = None)
     derived = F.transform(F.filter(checks, lambda c: c["derived"] & (c["verdict"] != rules.NOT_APPLICABLE)), lambda c: F.struct(c["rule_id"].alias("rule_id"), c["verdict"].alias("verdict"), c["assumptions"].alias("assumptions"), c["because"].alias("because")))
     replacement = F.struct(
         F.col("choice.reg_key").alias("reg_key"), F.col("sent.registration").alias("registration"), F.col("sent.vehicle_id").alias("vehicle_id"), F.col("choice.from_hub").alias("from_hub"), F.col("sent.year").alias("year"), F.col("sent.bs_stage").alias("bs_stage"),
-        F.col("sent.engine_heater").alias("engine_heater"), F.col("sent.capacity_tonnes").alias("capacity_tonnes"), F.col("choice.eligible").alias("eligible"), F.col("choice.derived").alias("rests_on_assumption"), derived.alias("derived_checks"), F.col("choice.borderline").alias("borderline"),
+        F.col("sent.engine_heater").alias("engine_heater"), F.col("sent.capacity_tonnes").alias("capacity_tonnes"), F.col("choice.eligible").alias("eligible"), F.col("choice.derived").alias("rests_on_assumption"), derived.alias("derived_checks"), F.col("sent.borderline").alias("borderline"),
         unknowns.alias("unknowns"), checks.alias("checks"), _distinct(F.col("sourcing.citations"), _flat(checks, "citations"), F.col("sent.citations")).alias("citations"),
     )
     reason = F.when(near, F.concat(F.lit("no usable vehicle at "), F.col("origin_hub"), F.lit(", which alone may send"))).otherwise("no usable vehicle at any hub that may send")
@@ -407,7 +414,7 @@ def decide(ctx: Context, accepted: DataFrame, earlier: DataFrame | None = None)
     assumed = _distinct(F.col("sourcing.assumptions"), F.when(found, _flat(checks, "assumptions")), _flat(F.col("plan_checks"), "assumptions"), texts(book.always))
     status = emit.work_order_status(found, F.col("needs_human"))
     ids = {"status": status, "work_order_id": prefixed_id("WO-", "wo", F.col("ticket_id")), "message_id": prefixed_id("MSG-", "msg", F.col("ticket_id")), "vehicle_reg": F.coalesce("failed.registration", "vehicle_key")}
-    return out.withColumns({"actions": actions, "citations": cited, "assumptions_used": assumed, **ids}).drop("choice", "sent", "failed", "failing", "waiver_option", "others", "joining_date")
+    return out.withColumns({"actions": actions, "citations": cited, "assumptions_used": assumed, **ids}).drop("choice", "sent", "failed", "failing", "waiver_option", "others", "joining_date", "emission_applies", "heater_applies", "brakes_apply")
 
 
 def run_batch(ctx: Context, tickets: DataFrame, ledger: Ledger) -> Ledger:

@@ -98,9 +98,10 @@ def judged(s, d) -> DataFrame:
     return decision.candidates(ctx, decision.sources(ctx, tickets), vehicles).filter("reg_key is not null")
 
 
-def report(s, d) -> DataFrame:
+def reported(s, d) -> tuple[DataFrame, DataFrame]:
+    """(hub report, vehicles)."""
     ctx, tickets, vehicles = parts(s, d)
-    return decision.hub_report(ctx, decision.candidates(ctx, decision.sources(ctx, tickets), vehicles))
+    return decision.hub_report(ctx, decision.candidates(ctx, decision.sources(ctx, tickets), vehicles)), vehicles
 
 
 # ---- candidates and rules
@@ -185,24 +186,23 @@ def sel_02(s, d):
 
 @query("sel_01", f"{PICK_SQL} SELECT o_orderkey, reg_key, hub AS from_hub, eligible AS fully_eligible FROM best")
 def sel_01(s, d):
-    return decision.chosen(report(s, d)).filter("choice is not null").select(key_(), "choice.reg_key", "choice.from_hub", F.col("choice.eligible").alias("fully_eligible"))
+    return decision.chosen(*reported(s, d)).filter("choice is not null").select(key_(), "choice.reg_key", "choice.from_hub", F.col("choice.eligible").alias("fully_eligible"))
 
 
 @query("agg_09", f"{FLEET_SQL} SELECT o_orderkey, hub AS from_hub, count(*)::BIGINT AS considered, count(*) FILTER (eligible)::BIGINT AS n_eligible, count(*) FILTER (caveats)::BIGINT AS n_caveats, count(*) FILTER (NOT eligible AND NOT caveats)::BIGINT AS n_rejected FROM r GROUP BY 1, 2")
 def agg_09(s, d):
-    return report(s, d).filter("considered > 0").select(key_(), "from_hub", "considered", "n_eligible", "n_caveats", "n_rejected")
+    return reported(s, d)[0].filter("considered > 0").select(key_(), "from_hub", "considered", "n_eligible", "n_caveats", "n_rejected")
 
 
 @query("agg_10", f"{FLEET_SQL}, x AS (SELECT o_orderkey, hub, unnest(list_concat(fails, list_transform(lacks, lambda c: c || ':unknown'))) AS code FROM r), y AS (SELECT o_orderkey, hub, code, count(*)::BIGINT AS n FROM x GROUP BY 1, 2, 3) SELECT o_orderkey, hub AS from_hub, string_agg(code || '=' || n, ',' ORDER BY n DESC, code) AS reasons FROM y GROUP BY 1, 2")
 def agg_10(s, d):
     text = F.array_join(F.transform("reasons", lambda x: F.concat(x["code"], F.lit("="), x["n"])), ",")
-    return report(s, d).filter("size(reasons) > 0").select(key_(), "from_hub", text.alias("reasons"))
+    return reported(s, d)[0].filter("size(reasons) > 0").select(key_(), "from_hub", text.alias("reasons"))
 
 
 def waived(s, d) -> tuple[DataFrame, DataFrame]:
     ctx, tickets, vehicles = parts(s, d)
-    vehicles = settle(vehicles)
-    served = decision.chosen(decision.hub_report(ctx, decision.candidates(ctx, decision.sources(ctx, tickets), vehicles))).filter("choice is not null").select("ticket_id")
+    served = decision.chosen(decision.hub_report(ctx, decision.candidates(ctx, decision.sources(ctx, tickets), vehicles)), vehicles).filter("choice is not null").select("ticket_id")
     waiting = settle(tickets.filter("exclusive").join(served, "ticket_id", "left_anti"))
     return waiting, decision.waiver_options(ctx, waiting, vehicles)
 
