@@ -199,17 +199,21 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, value: int, most: int) -> list[str]:
-    """Texts of at most `most` labelled documents, those with the smallest hash of their id, and SAMPLE_CHARS characters in all."""
+    """Texts of at most `most` labelled documents, those with the smallest hashes of their ids, as far as SAMPLE_CHARS characters go in that order, but one document at least.
+
+    What is chosen follows from ids, labels and lengths, so neither the order of rows nor their partitions change the model.
+    """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.filter(F.col("toxic") == value).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("text")
-    out, size = [], 0
-    for row in texts.toLocalIterator():
-        size += len(row.text)
-        out.append(row.text)
-        if size > SAMPLE_CHARS:
-            break
-    return out
+    place = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
+    chosen = known.filter(F.col("toxic") == value).select("doc_id").orderBy(place).limit(most)
+    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select(place.alias("place"), "text")
+    sizes = texts.groupBy("place").agg(F.sum(F.length("text")).alias("n")).orderBy("place").toPandas()  # at most `most` rows
+    if not len(sizes):
+        return []
+    kept = int(((sizes["n"].cumsum() <= SAMPLE_CHARS) | (sizes.index == 0)).sum())
+    last = sizes["place"].iloc[kept - 1]
+    upto = F.col("place") <= F.struct(F.lit(last.h).cast("bigint").alias("h"), F.lit(last.doc_id).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"))
+    return [row.text for row in sorted(texts.filter(upto).collect(), key=lambda r: (r.place.h, r.place.doc_id, r.text))]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
