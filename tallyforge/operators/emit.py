@@ -89,13 +89,41 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
     put_text(spark, path, json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
 
 
+MANIFEST = "MANIFEST"
+
+
+def manifest(spark: SparkSession, folder: str) -> dict | None:
+    """What counts in an output folder: {"version", "outputs": {label: path in the folder}, "old": versions replaced before}."""
+    fs, where = file_system(spark, f"{folder}/{MANIFEST}")
+    return json.loads(spark.read.text(f"{folder}/{MANIFEST}").first()[0]) if fs.exists(where) else None
+
+
+def read_outputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The lines of each output, all of one version."""
+    said = manifest(spark, folder) or {"outputs": {}}
+    return {label: spark.read.text(f"{folder}/{place}") for label, place in said["outputs"].items()}
+
+
 def materialise(frames: dict[str, tuple[DataFrame, str]], folder: str, allow: Iterable[str] = (), names: Iterable[str] = ()) -> None:
-    """SNK-04: every output is computed once and gated; then each is written as ordered JSON lines. Nothing is written if any gate fails, and what is written is what was checked."""
+    """SNK-04: every output is computed once and gated; then all are written as ordered JSON lines into a folder of a new version, and one small file that names it is renamed over.
+
+    So outputs change together: a crash at any time leaves all the old or all the new, never some of each. Nothing is written if any gate fails, and what is
+    written is what was checked. The version before stays for its readers; what it had replaced is removed.
+    """
     settled = {label: (settle(df), key) for label, (df, key) in frames.items()}
     for label, (df, _) in settled.items():
         gate(df, label, allow, names)
+    version, before = f"v-{uuid.uuid4().hex}", None
     for label, (df, key) in settled.items():
-        write_jsonl(df, key, f"{folder}/{label}")
+        df.orderBy(key).select(sorted_json(df).alias("value")).write.text(f"{folder}/{version}/{label}")
+    for df, _ in settled.values():
+        before = manifest(df.sparkSession, folder)
+        said = {"version": version, "outputs": {label: f"{version}/{label}" for label in settled}, "old": before["version"] if before else None}
+        put_text(df.sparkSession, f"{folder}/{MANIFEST}", json.dumps(said, sort_keys=True))
+        if before and before["old"]:
+            fs, where = file_system(df.sparkSession, f"{folder}/{before['old']}")
+            fs.delete(where, True)
+        break
 
 
 # ---- projections of the ledger

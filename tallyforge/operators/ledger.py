@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyforge.scratch import file_system, put_text
+from tallyforge.scratch import file_system, put_text, settle
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
+#: Buckets by the hash of the key that upserts rewrite one by one.
+BUCKETS = 64
+BUCKET = "__bucket"
 
 
 class LedgerError(RuntimeError):
@@ -56,7 +61,7 @@ def incident_seeds(accepted: DataFrame) -> DataFrame:
 
 @dataclass
 class Ledger:
-    """SNK-06: tables of a folder. A pointer, replaced in one step, names the snapshot and the parts appended to it that count."""
+    """SNK-06: tables of a folder. A pointer, replaced in one step, names the folders of each table that count: parts as they were appended, and buckets by key. One writer at a time."""
 
     spark: SparkSession
     path: str
@@ -70,38 +75,82 @@ class Ledger:
             raise LedgerError(f"snapshot of schema {said['schema_version']}, not {SCHEMA_VERSION}")
         return said
 
-    def load(self, name: str) -> DataFrame | None:
-        said = self.current()
-        places = [p for p in (said["snapshot"], *said.get("parts", ())) if name in said["tables"][p]] if said else []
-        return self.spark.read.option("mergeSchema", len(places) > 1).parquet(*(f"{self.path}/{p}/{name}" for p in places)) if places else None
+    def parts(self) -> int:
+        """The most parts that a table has."""
+        return max((len(x["parts"]) for x in (self.current() or {"tables": {}})["tables"].values()), default=0)
 
-    def _write(self, tables: dict[str, DataFrame]) -> str:
+    def load(self, name: str, buckets: set[int] | None = None) -> DataFrame | None:
+        """A table, or its rows of some buckets and of all parts."""
+        about = (self.current() or {"tables": {}})["tables"].get(name)
+        if about is None:
+            return None
+        places = [*about["parts"], *(place for k, place in sorted(about["buckets"].items()) if buckets is None or int(k) in buckets)]
+        if not places:
+            return self.spark.createDataFrame([], T.StructType.fromJson(about["schema"]))
+        return self.spark.read.option("mergeSchema", len(set(places)) > 1).parquet(*(f"{self.path}/{p}" for p in places))
+
+    def _point(self, tables: dict[str, dict], gone: Sequence[str]) -> None:
+        """Name what counts from now on; remove what the pointer before this one had replaced already, as readers of the last one may still be at work on its files."""
+        before = self.current()
+        put_text(self.spark, f"{self.path}/CURRENT", json.dumps({"schema_version": SCHEMA_VERSION, "tables": tables, "old": sorted(gone)}))
+        for old in before["old"] if before else ():
+            fs, where = file_system(self.spark, f"{self.path}/{old}")
+            fs.delete(where, True)
+
+    def _write(self, tables: dict[str, DataFrame]) -> dict[str, str]:
         place = f"snapshot-{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{place}/{name}")
-        return place
+        return {name: f"{place}/{name}" for name in tables}
 
-    def _point(self, said: dict) -> None:
-        put_text(self.spark, f"{self.path}/CURRENT", json.dumps({"schema_version": SCHEMA_VERSION} | said))
+    @staticmethod
+    def _folders(tables: dict[str, dict]) -> list[str]:
+        return [place for x in tables.values() for place in (*x["parts"], *x["buckets"].values())]
 
-    def save(self, **tables: DataFrame) -> str:
-        """Write a new snapshot whole, point to it, and remove what no pointer has named since the last one."""
+    def save(self, **tables: DataFrame) -> None:
+        """Write all tables whole and point to them alone."""
         before = self.current()
-        place = self._write(tables)
-        self._point({"snapshot": place, "parts": [], "tables": {place: sorted(tables)}, "old": [before["snapshot"], *before.get("parts", ())] if before else []})
-        for gone in before.get("old", ()) if before else ():  # readers of the last pointer may still be at work on its files
-            fs, where = file_system(self.spark, f"{self.path}/{gone}")
-            fs.delete(where, True)
-        return place
-
-    def append(self, **tables: DataFrame) -> str:
-        """Add rows to tables at a cost that follows the rows, not the ledger; the first call makes a snapshot."""
-        said = self.current()
-        if said is None:
-            return self.save(**tables)
-        place = self._write(tables)
-        self._point(said | {"parts": [*said.get("parts", ()), place], "tables": said["tables"] | {place: sorted(tables)}})
-        return place
+        made = self._write(tables)
+        self._point({n: {"parts": [made[n]], "buckets": {}, "schema": df.schema.jsonValue()} for n, df in tables.items()}, self._folders(before["tables"]) if before else [])
+
+    def append(self, **tables: DataFrame) -> None:
+        """Add rows to tables at a cost that follows the rows, not the ledger."""
+        said = (self.current() or {"tables": {}})["tables"]
+        made = self._write(tables)
+        for n, df in tables.items():
+            about = said.setdefault(n, {"parts": [], "buckets": {}, "schema": df.schema.jsonValue()})
+            about["parts"].append(made[n])
+        self._point(said, [])
+
+    def upsert(self, key: str, accepted: DataFrame, quarantine: DataFrame) -> set[int]:
+        """LED-01, JOIN-14: merge a batch into the tables accepted and quarantine; gives the buckets that were rewritten.
+
+        Rows lie in buckets by the hash of their key, so a batch reads and rewrites only the buckets that its keys fall into; all other folders stay as they are and are named
+        again. Appended parts have no buckets yet: the first upsert after an append deals them out. An accepted key leaves quarantine, which is in the same bucket.
+        """
+        said = (self.current() or {"tables": {}})["tables"]
+        spot = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+        new = {"accepted": settle(accepted), "quarantine": settle(quarantine)}
+        touched = {r[0] for df in new.values() for r in df.select(spot).distinct().collect()}  # BUCKETS at most
+        if any(said[n]["parts"] for n in new if n in said):
+            touched = set(range(BUCKETS))
+        if not touched and set(new) <= set(said):
+            return touched
+        old = {n: held if (held := self.load(n, touched)) is not None else df.limit(0) for n, df in new.items()}
+        merged = dict(zip(new, merge(old["accepted"], old["quarantine"], new["accepted"], new["quarantine"], key), strict=True))
+        place, gone = f"snapshot-{uuid.uuid4().hex}", []
+        for n, df in merged.items():
+            df.repartition(F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS))).withColumn(BUCKET, spot).write.partitionBy(BUCKET).parquet(f"{self.path}/{place}/{n}")
+            about = said.get(n, {"parts": [], "buckets": {}})
+            gone += [*about["parts"], *(p for k, p in about["buckets"].items() if int(k) in touched)]
+            kept = {k: p for k, p in about["buckets"].items() if int(k) not in touched}
+            for k in sorted(touched):
+                fs, where = file_system(self.spark, f"{self.path}/{place}/{n}/{BUCKET}={k}")
+                if fs.exists(where):
+                    kept[str(k)] = f"{place}/{n}/{BUCKET}={k}"
+            said[n] = {"parts": [], "buckets": kept, "schema": df.schema.jsonValue()}
+        self._point(said, gone)
+        return touched
 
     def reset(self) -> None:
         fs, where = file_system(self.spark, f"{self.path}/CURRENT")

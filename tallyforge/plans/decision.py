@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.core import days_between, prefixed_id, reg_key
 from tallyforge.operators import emit, resolve, rules, select, validate
-from tallyforge.operators.ledger import Ledger, accepted_now, incident_seeds, merge, new_rows
+from tallyforge.operators.ledger import Ledger, accepted_now, incident_seeds, new_rows
 from tallyforge.scratch import settle
 
 VEHICLE_RULES = ("R-000", "R-001", "R-002", "R-003", "R-006", "R-007", "R-011", "R-012")
@@ -418,14 +418,13 @@ def decide(ctx: Context, accepted: DataFrame, earlier: DataFrame | None = None)
 
 
 def run_batch(ctx: Context, tickets: DataFrame, ledger: Ledger) -> Ledger:
-    """LED-01: validate, decide only what is new, merge, save. What was decided before stays as it was, and counts as an incident."""
+    """LED-01: validate, decide only what is new, merge into the buckets that the batch touches. What was decided before stays as it was, and counts as an incident."""
     seen = validate.validate_batch(tickets, ctx.vehicles, ctx.hubs(), ctx.drivers, ctx.clients())
     good, bad = seen.filter("accepted"), seen.filter("not accepted")
-    old_a, old_q = accepted_now(ledger, "ticket_id"), ledger.load("quarantine")
+    old_a = accepted_now(ledger, "ticket_id")
     fresh = decide(ctx, good if old_a is None else new_rows(good, old_a, "ticket_id"), old_a)
     held = validate.quarantine_records(bad, F.col("raw"), F.col("citation")).drop("ticket_id").withColumnRenamed("quarantine_id", "ticket_id")
-    merged, rest = merge(fresh.limit(0) if old_a is None else old_a, held.limit(0) if old_q is None else old_q, fresh, held, "ticket_id")
-    ledger.save(accepted=merged, quarantine=rest)
+    ledger.upsert("ticket_id", fresh, held)
     return ledger
 
 
