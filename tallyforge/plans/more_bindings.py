@@ -12,6 +12,8 @@ from tallyforge.functions import core as c
 from tallyforge.operators import reports, resolve, rules
 from tallyforge.sources import delimited, tickets
 
+from tallyforge.operators.people import mask_people
+
 from .bindings import FINGERPRINT, TOKENS, query, t
 
 
@@ -153,6 +155,17 @@ def pii_02(s, d):
     return words.groupBy(c.preview("word").alias("preview")).agg(F.count("*").alias("n"))
 
 
+@query("str_11_register", """WITH g AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS w FROM benchmark)), n AS (SELECT w FROM g UNION SELECT 'no such person' UNION SELECT 'al'),
+    d AS (SELECT doc_id, text, unnest(CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') END) AS x, generate_subscripts(CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') END, 1) AS i FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, sha256(string_agg(CASE WHEN w IS NOT NULL AND length(w) > 2 THEN '[REDACTED:PERSON]' ELSE x END, '' ORDER BY i)) AS masked, bool_or(w IS NOT NULL AND length(w) > 2) AS person_hit FROM d LEFT JOIN n ON lower(x) = w GROUP BY doc_id, text
+    UNION ALL SELECT doc_id, NULL, false FROM documents WHERE text IS NULL""")
+def str_11_register(s, d):
+    """Every document, with a register of the capitalised words of the benchmark."""
+    words = t(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))).alias("name"))
+    names = words.unionByName(s.createDataFrame([("No such person",), ("Al",)], "name string"))
+    return mask_people(t(s, d, "documents").select("doc_id", "text"), "text", names).select("doc_id", F.sha2("text", 256).alias("masked"), "person_hit")
+
+
 @query("win_02_state", "SELECT user_id, count(*)::BIGINT AS n FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE value < p GROUP BY 1")
 def win_02_state(s, d):
     return resolve.regressions(t(s, d, "events"), "user_id", ["ts", "event_id"], "value").groupBy("user_id").agg(F.count("*").alias("n"))
