@@ -10,6 +10,7 @@ from tallyforge.scratch import settle
 
 from . import decision
 from .bindings import query, t
+from .context_build import build_full, claims_of
 
 #: Parameters of the rules for these tables, and the places and clients that they name.
 RULES = {k: {"name": f"rule {k}", "citations": [f"rules#{k}"], "assumptions": a} for k, a in {"R-001": ["A-4"], "R-002": ["A-5"], "R-003": ["A-5"], "R-004": [], "R-005": [], "R-006": ["A-3"], "R-007": [], "R-008": [], "R-009": ["A-6"], "R-010": ["A-7"], "R-011": ["A-1"], "R-012": [], "R-013": []}.items()}
@@ -262,3 +263,42 @@ def emt_04(s, d):
     """The whole audit of every decision, one in five sent."""
     acc = decision.with_sending(decided(s, d)).withColumn("sent", F.col("ticket_id").cast("bigint") % 5 == 0)
     return decision.audit_steps(acc).select(key_(), "seq", "step", "rule_id", "verdict", "applies_to")
+
+
+# ---- the context with trips, mails and names
+
+
+def trips_and_fleet(s, d):
+    """Orders as trips of the suppliers, lineitem as the log with an odometer, conversations as mails."""
+    ctx = fleet_context(s, d)
+    k, c = F.col("o_orderkey"), F.col("c_mktsegment")
+    o = t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    trips = o.select(F.when(k % 11 != 0, F.concat(F.lit("V"), 1 + k % 120)).alias("reg_key"), F.when(c != "MACHINERY", c).alias("client"), F.when(F.col("o_orderstatus") == "F", "CANCELLED").otherwise("DONE").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("dispatch_time"))
+    fleet = t(s, d, "supplier").select(F.concat(F.lit("V"), "s_suppkey").alias("reg_key"), F.lit("v").alias("vehicle_id"), F.lit("m").alias("model"), (2000 + F.col("s_suppkey") % 20).cast("int").alias("year"), F.lit("BS6").alias("bs_stage"), F.lit(True).alias("engine_heater"), F.concat(F.lit("hub"), "s_nationkey").alias("home_hub"), F.lit(1.0).alias("capacity_tonnes"), F.lit("Active").alias("status"), F.concat(F.lit("fleet#"), "s_suppkey").alias("citation"))
+    log = t(s, d, "lineitem").select(F.concat(F.lit("V"), "l_suppkey").alias("reg_key"), F.to_date("l_shipdate").alias("date"), F.when(F.col("l_quantity") > 3, F.year("l_shipdate") * 1000.0 + F.col("l_quantity")).alias("odometer_km"), (F.col("l_returnflag") == "R").alias("jugaad"), (F.col("l_returnflag") == "A").alias("permanent_repair"), F.lit(False).alias("brake_work"), F.concat(F.lit("log#"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lit("-"), "l_linenumber").alias("citation"))
+    mails = t(s, d, "conversations").select(F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 9, "0"), "turn").alias("file"), F.col("role").alias("subject"), F.col("text").alias("body"), F.array(F.lit("2 Mar 1999")).alias("dates"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("claim_key"))
+    drivers = t(s, d, "customer").select(F.col("c_custkey").cast("string").alias("driver_id"), F.date_add(F.lit("1990-01-15").cast("date"), (F.col("c_custkey") % 3000).cast("int")).alias("joining_date"))
+    return fleet, log, trips, drivers, ctx.distances, mails
+
+
+@query("ctx_01_trips", """WITH tr AS (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN 'V' || (1 + o_orderkey % 120) END AS reg, nullif(c_mktsegment, 'MACHINERY') AS client, o_orderstatus = 'F' AS gone, strftime(o_orderdate, '%Y-%m-%d') AS at_ FROM orders JOIN customer ON o_custkey = c_custkey),
+    g AS (SELECT reg, count(*)::BIGINT AS total, count(*) FILTER (gone)::BIGINT AS cancelled, min(at_) AS first, max(at_) AS last FROM tr GROUP BY 1), b AS (SELECT reg, string_agg(client || '=' || n, ',' ORDER BY client) AS by_client FROM (SELECT reg, client, count(*) AS n FROM tr WHERE client IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+    od AS (SELECT DISTINCT reg FROM (SELECT 'V' || l_suppkey AS reg, year(l_shipdate) * 1000.0 + l_quantity AS v, lag(year(l_shipdate) * 1000.0 + l_quantity) OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE), lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || l_linenumber) AS p FROM lineitem WHERE l_quantity > 3) WHERE v < p)
+    SELECT 'V' || s_suppkey AS reg_key, coalesce(total, 0) AS total, coalesce(cancelled, 0) AS cancelled, first, last, coalesce(by_client, '') AS by_client, od.reg IS NULL AS odometer_trusted FROM supplier LEFT JOIN g ON g.reg = 'V' || s_suppkey LEFT JOIN b ON b.reg = 'V' || s_suppkey LEFT JOIN od ON od.reg = 'V' || s_suppkey""")
+def ctx_01_trips(s, d):
+    """Vehicles of the whole context with their trips, and whether their odometer never falls."""
+    full = build_full(*trips_and_fleet(s, d), BOOK)
+    by = F.array_join(F.transform(F.array_sort(F.map_entries("trips.by_client")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return full.vehicles.select("reg_key", "trips.total", "trips.cancelled", "trips.first", "trips.last", by.alias("by_client"), "odometer_trusted")
+
+
+@query("ctx_01_drivers", """WITH z AS (SELECT greatest((SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem), DATE '1999-03-02') AS d), j AS (SELECT c_custkey, DATE '1990-01-15' + CAST(c_custkey % 3000 AS INTEGER) AS a, z.d FROM customer, z)
+    SELECT CAST(c_custkey AS VARCHAR) AS driver_id, CAST(12 * (year(d) - year(a)) + month(d) - month(a) - CAST(day(d) < day(a) AS INTEGER) AS INTEGER) AS tenure_months FROM j""")
+def ctx_01_drivers(s, d):
+    return build_full(*trips_and_fleet(s, d), BOOK).drivers.select("driver_id", "tenure_months")
+
+
+@query("ctx_01_claims")
+def ctx_01_claims(s, d):
+    """Greedy clusters depend on order; tests hold them against a plain fold."""
+    return claims_of(trips_and_fleet(s, d)[-1]).select("claim_key", "subject", "n_threads", "n_variants")
