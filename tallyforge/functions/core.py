@@ -82,23 +82,23 @@ def timestamp_of(x: Column | str) -> Column:
     Dates that do not exist are not ok. What no form matches is unparseable: no host date parser is asked.
     """
     s = F.trim(_c(x))
-    iso_re = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?"
+    day, clock = r"^(\d{4})-(\d{2})-(\d{2})", r"[T ](\d{2}):(\d{2})(?::(\d{2}))?"
     dmy_re = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?:[T ,]+(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
-    part = lambda p, i: F.regexp_extract(s, p, i)
-    two = lambda c: F.lpad(F.when(c == "", "0").otherwise(c), 2, "0")
-    join = lambda y, mo, d, h, mi, sec: F.concat(y, F.lit("-"), two(mo), F.lit("-"), two(d), F.lit("T"), two(h), F.lit(":"), two(mi), F.lit(":"), two(sec))
-    iso = join(*(part(iso_re, i) for i in range(1, 7)))
-    dmy = join(part(dmy_re, 3), part(dmy_re, 2), part(dmy_re, 1), *(part(dmy_re, i) for i in range(4, 7)))
+    # one replacement puts the parts in order, where a part by itself would search the text anew
+    iso = F.rpad(F.regexp_replace(s, f"(?s){day}{clock}.*$", "$1-$2-$3T$4:$5:$6"), 19, "0")
+    dmy = F.regexp_replace(s, f"(?s){dmy_re}.*$", "$3-0$2-0$1T0$4:0$5:0$6")
+    dmy = F.regexp_replace(F.regexp_replace(dmy, r"(?<=[-T:])0(\d\d)", "$1"), "(?<=[T:])0(?=:|$)", "00")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     real = lambda c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss")).isNotNull()
     make = lambda text, ok, form: F.struct(text.alias("iso"), ok.alias("ok"), F.lit(form).alias("form"))
     yes, no, none = F.lit(True), F.lit(False), F.lit(None).cast("string")
+    midnight = F.concat(F.substring(s, 1, 10), F.lit("T00:00:00"))
     return (
         F.when(_c(x).isNull() | (_c(x) == ""), make(none, no, "empty"))
         .when(s.rlike(r"^\d{10}$"), make(stamp(F.timestamp_seconds(s.try_cast("bigint"))), yes, "epoch_s"))
         .when(s.rlike(r"^\d{13}$"), make(stamp(F.timestamp_millis(s.try_cast("bigint"))), yes, "epoch_ms"))
-        .when(s.rlike(iso_re) & (part(iso_re, 4) != ""), make(iso, real(iso), "iso"))
-        .when(s.rlike(iso_re), make(iso, real(iso), "iso_date_only"))
+        .when(s.rlike(day + clock), make(iso, real(iso), "iso"))
+        .when(s.rlike(day), make(midnight, real(midnight), "iso_date_only"))
         .when(s.rlike(dmy_re), make(dmy, real(dmy), "dd/mm/yyyy"))
         .otherwise(make(none, no, "unparseable"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import core as c
 from tallyforge.operators import dedup, emit, ledger, reports, resolve, rules, validate
+from tallyforge.sources import tickets as ticket_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,14 +60,13 @@ def prj_04(s, d):
     return t(s, d, "orders").select("o_orderkey", c.norm_key("o_orderpriority").alias("k"))
 
 
-ALIASES = {"amount": ("value", "k", "amt"), "kind": ("event_type", "kind", "type")}
+ALIASES = {"amount": "value k amt"}
 
 
 @query("prj_05", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS amount FROM events")
 def prj_05(s, d):
     entries = F.map_entries(F.from_json("props", "map<string,string>"))
-    wanted = F.filter(entries, lambda e: c.norm_key(e["key"]).isin(*ALIASES["amount"]) & e["value"].isNotNull() & (e["value"] != ""))
-    return t(s, d, "events").select("event_id", F.get(wanted, F.lit(0))["value"].alias("amount"))
+    return t(s, d, "events").select("event_id", ticket_sources.field(entries, "amount", ALIASES).alias("amount"))
 
 
 @query("prj_07", """SELECT o_orderkey, CASE split_part(o_orderpriority, '-', 1) WHEN '1' THEN 'HIGH' WHEN '2' THEN 'MEDIUM' WHEN '3' THEN 'HIGH'

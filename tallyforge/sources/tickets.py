@@ -94,9 +94,9 @@ def raw_tickets(texts: DataFrame) -> DataFrame:
     return texts.select("value", "name").mapInPandas(run, "file string, format string, idx bigint, raw string, entries array<struct<key:string,value:string>>")
 
 
-def field(entries: Column | str, name: str) -> Column:
+def field(entries: Column | str, name: str, aliases: dict[str, str] = ALIASES) -> Column:
     """PRJ-05, WIN-08: the first value, in the record's order, under any accepted spelling, that is not empty."""
-    spellings = [*ALIASES[name].split(), name.replace("_", "")]
+    spellings = [*aliases[name].split(), name.replace("_", "")]
     found = F.filter(entries, lambda e: norm_key(e["key"]).isin(*spellings) & e["value"].isNotNull() & (e["value"] != "") & ~e["key"].startswith("_"))
     return F.trim(F.get(found, F.lit(0))["value"])
 
