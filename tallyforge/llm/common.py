@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table of narrow rows that may be broadcast; beyond it the join shuffles both sides.
 BROADCAST_ROWS = 50_000
+#: Bytes of its long texts that such a table may hold.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +52,14 @@ def settle(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
-    """Join a wide left side with a narrow settled right side, broadcast only if its counted rows are few."""
-    n = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right, on, how)
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int | None = None, wide: str | None = None) -> DataFrame:
+    """Join a wide left side with a settled right side, broadcast only if its counted rows are few. wide: a column of right whose texts may be long; their bytes are bounded too."""
+    if wide is None:
+        small = (right.count() if rows is None else rows) <= BROADCAST_ROWS
+    else:
+        said = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(wide)), F.lit(0)).alias("size")).first()
+        small = said.n <= BROADCAST_ROWS and said.size <= BROADCAST_BYTES
+    return left.join(F.broadcast(right) if small else right if wide is None else right.hint("merge"), on, how)
 
 
 def parts(spark: SparkSession) -> int:

@@ -468,7 +468,7 @@ def extract_pages(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
     chosen = settle(ranked.select("host", "page_id", "order"))
     texts = lookup_join(rows.select("page_id", "html", order.alias("order")), chosen, ["page_id", "order"], "inner")
     templates = settle(texts.dropDuplicates(["host", "order"]).groupBy("host").applyInPandas(_induce_group, "host string, template string"))
-    return lookup_join(rows, templates, ["host"]).select("page_id", "url", "html", "template").mapInArrow(lambda b: trimmed(_extract(b)), ", ".join(f"{c} {t}" for c, t in pages.select("page_id", "url").dtypes) + ", text string, n_chars bigint")
+    return lookup_join(rows, templates, ["host"], wide="template").select("page_id", "url", "html", "template").mapInArrow(lambda b: trimmed(_extract(b)), ", ".join(f"{c} {t}" for c, t in pages.select("page_id", "url").dtypes) + ", text string, n_chars bigint")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
