@@ -90,7 +90,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         near, close = (est >= threshold + slack) & other, (np.abs(est - threshold) < slack) & other
         if not near.any() and not close.any():
             return
-        keys = np.asarray(col("keys").flatten()).reshape(n, -1)
+        keys = np.asarray(col("keys").flatten()).reshape(n, col("tab")[0].as_py())  # those of the tables before
         fresh = np.ones_like(near)
         for t in range(col("tab")[0].as_py()):
             fresh &= keys[left, t][:, None] != keys[right, t][None, :]
@@ -199,7 +199,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, recall:
     spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("pair", F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")).withColumn("side", F.signum(F.col("own") - F.col("with")).cast("int"))
     bucket = ["label", "dim", "tab", "bucket", "pair"]
-    sorted_rows = spread.select(F.xxhash64(*bucket).alias("place"), *bucket, "side", "rep", "uid", "copies", "small", "step", "keys").repartition(parts(spark), "place").sortWithinPartitions("place", *bucket)
+    sorted_rows = spread.select(F.xxhash64(*bucket).alias("place"), *bucket, "side", "rep", "uid", "copies", "small", "step", F.slice("keys", 1, F.col("tab")).alias("keys")).repartition(parts(spark), "place").sortWithinPartitions("place", *bucket)
     found = settle(sorted_rows.mapInArrow(lambda b: trimmed(_compare(b, threshold)), "node bigint, other bigint, links bigint, a bigint, b bigint"))
     of = lambda x: reps.select(F.col("uid").alias(x), F.col("vector").alias(f"v{x}"), F.col("copies").alias(f"copies_{x}"))
     doubt = found.filter("a is not null").select("node", "other", "a", "b").join(of("a"), "a").join(of("b"), "b")
