@@ -17,18 +17,11 @@ from tallyforge.operators.people import mask_people
 from .bindings import FINGERPRINT, TOKENS, query, t
 
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for key, text, d in zip(b["key"], b["text"], b["d"], strict=True):
-            rows += [(key, r["_row"], r["name"], r["size"]) for r in delimited.parse_records(text, "f", d)]
-        yield pd.DataFrame(rows, columns=["key", "row", "name", "size"])
-
-
 @query("src_02", "SELECT p_partkey AS key, CAST(2 AS BIGINT) AS row, 'say \"' || p_name || '\", ' || p_brand AS name, CAST(p_size AS VARCHAR) AS size FROM part")
 def src_02(s, d):
     text = F.concat(F.lit('name,size\r\n"say ""'), F.col("p_name"), F.lit('"", '), F.col("p_brand"), F.lit('", '), F.col("p_size").cast("string"), F.lit("\r\n\r\n"))
-    return t(s, d, "part").select(F.col("p_partkey").alias("key"), text.alias("text"), F.lit(",").alias("d")).mapInPandas(_parsed, "key bigint, row bigint, name string, size string")
+    texts = t(s, d, "part").select(F.col("p_partkey").alias("key"), text.alias("value"))
+    return delimited.records_of(texts, ["name", "size"]).select("key", F.col("_row").alias("row"), "name", "size")
 
 
 @query("src_03", "SELECT p_partkey, [',', ';', chr(9), '|'][CAST(p_partkey % 4 AS INTEGER) + 1] AS delimiter FROM part")

@@ -31,16 +31,13 @@ def hmac_sql(kind: str, x: str) -> str:
 # ---- delimited text, archives, spreadsheets
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame([(k, r, i, x) for k, text in zip(b["key"], b["text"], strict=True) for r, row in enumerate(delimited.parse_rows(text), 1) for i, x in enumerate(row, 1)], columns=["key", "row", "col", "cell"])
-
-
 @query("src_01", """SELECT p_partkey AS key, CAST(unnest([1, 1, 2, 2]) AS BIGINT) AS row, CAST(unnest([1, 2, 1, 2]) AS BIGINT) AS col,
     unnest([p_name, 'q "' || p_brand || '", r', 'two' || chr(10) || 'lines', CAST(p_size AS VARCHAR)]) AS cell FROM part""")
 def src_01(s, d):
     text = F.concat("p_name", F.lit(',"q ""'), "p_brand", F.lit('"", r"\r\n"two\nlines",'), F.col("p_size").cast("string"))
-    return t(s, d, "part").select(F.col("p_partkey").alias("key"), text.alias("text")).mapInPandas(_cells, "key bigint, row bigint, col bigint, cell string")
+    rows = t(s, d, "part").select(F.col("p_partkey").alias("key"), F.posexplode(delimited.rows_of(text)).alias("row", "cells"))
+    cells = rows.select("key", (F.col("row") + 1).cast("bigint").alias("row"), F.posexplode("cells").alias("col", "cell"))
+    return cells.withColumn("col", (F.col("col") + 1).cast("bigint"))
 
 
 def _zipped(files: dict[str, tuple[str, int]]) -> bytes:

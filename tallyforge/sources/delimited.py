@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.core import let
+
 DELIMITERS = (",", ";", "\t", "|")
 
 
@@ -62,14 +63,55 @@ def parse_records(text: str, source: str, delimiter: str = ",") -> list[dict]:
     return out
 
 
-def read_irregular(spark: SparkSession, path: str, columns: list[str], delimiter: str | None = None) -> DataFrame:
-    """Files that need the exact tokenizer, one task a file: columns, _row, _source, _extra. Regular files: spark.read.csv."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for value, name in zip(batch["value"], batch["name"], strict=True):
-                records = parse_records(value, name, delimiter or sniff(value))
-                yield pd.DataFrame([[*(r.get(c) for c in columns), r["_row"], r["_source"], r.get("_extra")] for r in records], columns=[*columns, "_row", "_source", "_extra"])
-
-    schema = ", ".join([*(f"`{c}` string" for c in columns), "_row bigint, _source string, _extra array<string>"])
-    return spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")).mapInPandas(run, schema)
+def _strip(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+
+
+def _plain(cell: Column) -> Column:
+    """A cell without the quotes that open and close: text between two quotes stays, an empty stretch between two pairs of them is a quote, carriage returns elsewhere go."""
+    bare = F.replace(cell, F.lit("\r"), F.lit(""))
+    piece = lambda parts: lambda x, i: F.when(i % 2 == 1, x).when((x == "") & (i > 0) & (i < F.size(parts) - 1), '"').otherwise(F.replace(x, F.lit("\r"), F.lit("")))
+    return F.when(~cell.contains('"'), bare).otherwise(let(F.split(cell, '"', -1), lambda parts: F.array_join(F.transform(parts, piece(parts)), "")))
+
+
+def rows_of(text: Column | str, delimiter: Column | str = ",") -> Column:
+    """SRC-01 as a column: rows of cells, by the rules of parse_rows. delimiter: one character, or a column of them.
+
+    Matched with possessive patterns, which neither go back nor nest, so a text of any length takes time in proportion to it. Null text gives null, an empty one no rows.
+    """
+    x = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"^\x{FEFF}", "")
+    d = F.concat(F.lit(r"\Q"), F.lit(delimiter) if isinstance(delimiter, str) else delimiter, F.lit(r"\E"))
+    quoted = r'"(?:[^"]++|"")*+(?:"|\z)'
+    # each match begins with the line feed or delimiter before it, so none is empty
+    records = F.regexp_extract_all(F.concat(F.lit("\n"), x), F.lit(rf'\n((?:[^"\n]++|{quoted})*+)'), F.lit(1))
+    cell = F.concat(d, F.lit('((?:[^"\n'), d, F.lit(f"]++|{quoted})*+)"))
+    first = F.lit(delimiter) if isinstance(delimiter, str) else delimiter
+    rows = F.transform(records, lambda r: F.transform(F.regexp_extract_all(F.concat(first, r), cell, F.lit(1)), _plain))
+    blank = lambda r: (F.size(r) == 1) & (F.get(r, F.lit(0)) == "")
+    # what follows the last line feed is a row only if there is something in it
+    return let(rows, lambda all_: F.when(blank(F.element_at(all_, -1)), F.slice(all_, 1, F.size(all_) - 1)).otherwise(all_))
+
+
+def records_of(texts: DataFrame, columns: Sequence[str], delimiter: Column | str = ",", text: str = "value") -> DataFrame:
+    """SRC-02 on texts with a header each: their other columns, then the named columns, _row and _extra; a row a record.
+
+    Cells are trimmed; a column that the header lacks is null, a cell that a row lacks is empty; of columns of one name the last counts; what a row has beyond the header is in
+    _extra, else null. Rows of one blank cell are left out; _row counts the others from 2. Texts without rows, and null ones, give none.
+    """
+    others = [F.col(f"`{c}`") for c in texts.columns if c != text]
+    parsed = texts.select(*others, rows_of(text, delimiter).alias("__rows"))
+    head = F.transform(F.get("__rows", F.lit(0)), _strip)
+    body = F.filter(F.slice("__rows", 2, F.greatest(F.size("__rows") - 1, F.lit(0))), lambda r: (F.size(r) > 1) | (_strip(F.get(r, F.lit(0))) != ""))
+    names = [F.col(f"`{c}`") for c in texts.columns if c != text]
+    each = parsed.select(*names, F.reverse(head).alias("__head"), F.posexplode(body).alias("__at", "__cells"))
+    place = lambda c: F.size("__head") - F.array_position("__head", c)
+    cell = lambda c: F.when(F.array_contains("__head", c), F.coalesce(_strip(F.get("__cells", place(c).cast("int"))), F.lit("")))
+    extra = F.when(F.size("__cells") > F.size("__head"), F.slice("__cells", F.size("__head") + 1, F.size("__cells")))
+    return each.select(*names, *(cell(c).alias(c) for c in columns), (F.col("__at") + 2).cast("bigint").alias("_row"), extra.alias("_extra"))
+
+
+def read_irregular(spark: SparkSession, path: str, columns: Sequence[str], delimiter: str | None = None) -> DataFrame:
+    """Files that need the exact tokenizer, each one text: columns, _row, _source, _extra. Without a delimiter each file's first line tells. Regular files: spark.read.csv."""
+    texts = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_source"))
+    sep = F.lit(delimiter) if delimiter else sniff_column(F.substring_index("value", "\n", 1))
+    return records_of(texts, columns, sep).select(*(F.col(f"`{c}`") for c in columns), "_row", "_source", "_extra")
