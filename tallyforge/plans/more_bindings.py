@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -30,16 +27,12 @@ def src_03(s, d):
     return t(s, d, "part").select("p_partkey", delimited.sniff_column(F.concat_ws("x", F.lit("a"), sep, sep, F.lit("b"))).alias("delimiter"))
 
 
-def _contained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame([(k, (got := tickets.read_container(x, "f"))[0], len(got[1])) for k, x in zip(b["key"], b["text"], strict=True)], columns=["key", "format", "records"])
-
-
 @query("src_06", "SELECT event_id AS key, ['json_array', 'json_object.rows', 'json_single_object', 'jsonl', 'csv', 'unknown'][CAST(event_id % 6 AS INTEGER) + 1] AS format, CAST([2, 1, 1, 2, 1, 0][CAST(event_id % 6 AS INTEGER) + 1] AS BIGINT) AS records FROM events")
 def src_06(s, d):
     p, i = F.col("props"), F.col("event_id") % 6
     text = F.when(i == 0, F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))).when(i == 1, F.concat(F.lit('{"rows": ['), p, F.lit("]}"))).when(i == 2, p).when(i == 3, F.concat(p, F.lit("\n"), p, F.lit("\n{bad"))).when(i == 4, F.lit("a,b\n1,2\n")).otherwise("plain")
-    return t(s, d, "events").select(F.col("event_id").alias("key"), text.alias("text")).mapInPandas(_contained, "key bigint, format string, records bigint")
+    got = tickets.containers(t(s, d, "events").select(F.col("event_id").alias("key"), F.lit("f").alias("name"), text.alias("value")))
+    return got.select("key", "format", F.size(F.filter("records", lambda r: ~r["raw"].startswith('{"_bad_line"'))).cast("bigint").alias("records"))
 
 
 @query("src_13", "WITH l AS (SELECT conv_id, turn, string_split(replace(text, chr(13), ''), chr(10)) AS x FROM conversations) SELECT conv_id, turn, CAST(unnest(range(1, len(x) + 1)) AS BIGINT) AS line_no, unnest(x) AS line FROM l")
@@ -48,18 +41,12 @@ def src_13(s, d):
     return lines.select("conv_id", "turn", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.regexp_replace("line", "\r", "").alias("line"))
 
 
-def _flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for key, v in zip(b["key"], b["value"], strict=True):
-            flat = tickets.flatten({"vehicle": {"registration": v, "deep": {"x": {"y": 1}}}, "id": key})
-            rows.append((key, flat["vehicle_registration"], flat["registration"], ",".join(sorted(flat))))
-        yield pd.DataFrame(rows, columns=["key", "long", "bare", "names"])
-
-
 @query("prj_06", "SELECT p_partkey AS key, p_name AS long, p_name AS bare, 'id,registration,vehicle_deep_x,vehicle_registration' AS names FROM part")
 def prj_06(s, d):
-    return t(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value")).mapInPandas(_flat, "key bigint, long string, bare string, names string")
+    deep = F.struct(F.struct(F.lit(1).alias("y")).alias("x"))
+    record = F.to_json(F.struct(F.struct(F.col("p_name").alias("registration"), deep.alias("deep")).alias("vehicle"), F.col("p_partkey").alias("id")))
+    flat = t(s, d, "part").select(F.col("p_partkey").alias("key"), F.map_from_entries(tickets.flatten(record)).alias("f"))
+    return flat.select("key", F.col("f.vehicle_registration").alias("long"), F.col("f.registration").alias("bare"), F.array_join(F.array_sort(F.map_keys("f")), ",").alias("names"))
 
 
 @query("prj_12", "SELECT o_orderkey, n_name AS origin, r_name AS destination FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

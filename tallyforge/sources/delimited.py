@@ -63,7 +63,8 @@ def parse_records(text: str, source: str, delimiter: str = ",") -> list[dict]:
     return out
 
 
-def _strip(x: Column) -> Column:
+def strip(x: Column) -> Column:
+    """x without white space of any kind and byte order marks at its ends."""
     return F.regexp_replace(x, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
 
 
@@ -92,6 +93,23 @@ def rows_of(text: Column | str, delimiter: Column | str = ",") -> Column:
     return let(rows, lambda all_: F.when(blank(F.element_at(all_, -1)), F.slice(all_, 1, F.size(all_) - 1)).otherwise(all_))
 
 
+def _blank(row: Column) -> Column:
+    return (F.size(row) <= 1) & (strip(F.get(row, F.lit(0))) == "")
+
+
+def json_records(text: Column | str, delimiter: Column | str) -> Column:
+    """SRC-02 as a column of JSON objects, a text's records: cells by header, missing ones empty; further ones and fields that begin with an underscore are left out; of fields of one name the last counts."""
+
+    def record(head: Column, row: Column) -> Column:
+        cells = F.transform(head, lambda h, i: F.struct(h.alias("key"), F.coalesce(strip(F.get(row, i)), F.lit("")).alias("value")))
+        last = F.filter(cells, lambda e, i: ~e["key"].startswith("_") & ~F.array_contains(F.slice(head, i + 2, F.size(head)), e["key"]))
+        return F.to_json(F.map_from_entries(last))
+
+    body = lambda rows: F.filter(F.slice(rows, 2, F.size(rows)), lambda r: ~_blank(r))
+    with_head = lambda rows, head: F.transform(body(rows), lambda r: record(head, r))
+    return let(rows_of(text, delimiter), lambda rows: let(F.transform(F.get(rows, F.lit(0)), strip), lambda head: with_head(rows, head)))
+
+
 def records_of(texts: DataFrame, columns: Sequence[str], delimiter: Column | str = ",", text: str = "value") -> DataFrame:
     """SRC-02 on texts with a header each: their other columns, then the named columns, _row and _extra; a row a record.
 
@@ -100,12 +118,12 @@ def records_of(texts: DataFrame, columns: Sequence[str], delimiter: Column | str
     """
     others = [F.col(f"`{c}`") for c in texts.columns if c != text]
     parsed = texts.select(*others, rows_of(text, delimiter).alias("__rows"))
-    head = F.transform(F.get("__rows", F.lit(0)), _strip)
-    body = F.filter(F.slice("__rows", 2, F.greatest(F.size("__rows") - 1, F.lit(0))), lambda r: (F.size(r) > 1) | (_strip(F.get(r, F.lit(0))) != ""))
+    head = F.transform(F.get("__rows", F.lit(0)), strip)
+    body = F.filter(F.slice("__rows", 2, F.greatest(F.size("__rows"), F.lit(0))), lambda r: ~_blank(r))
     names = [F.col(f"`{c}`") for c in texts.columns if c != text]
-    each = parsed.select(*names, F.reverse(head).alias("__head"), F.posexplode(body).alias("__at", "__cells"))
+    each = parsed.select(*names, F.reverse(head).alias("__head"), F.posexplode_outer(body).alias("__at", "__cells")).filter("__at is not null")  # outer: texts are not parsed once more, to test that there are records
     place = lambda c: F.size("__head") - F.array_position("__head", c)
-    cell = lambda c: F.when(F.array_contains("__head", c), F.coalesce(_strip(F.get("__cells", place(c).cast("int"))), F.lit("")))
+    cell = lambda c: F.when(F.array_contains("__head", c), F.coalesce(strip(F.get("__cells", place(c).cast("int"))), F.lit("")))
     extra = F.when(F.size("__cells") > F.size("__head"), F.slice("__cells", F.size("__head") + 1, F.size("__cells")))
     return each.select(*names, *(cell(c).alias(c) for c in columns), (F.col("__at") + 2).cast("bigint").alias("_row"), extra.alias("_extra"))
 
