@@ -252,3 +252,27 @@ def led_04(s, d):
     book.save(accepted=t(s, d, "nation").select(k.cast("string").alias("ticket_id"), F.when(k != 1, "desk@auto.example").alias("mailbox"), *(F.when(k % 3 == 0, v).alias(n) for n, v in (("approved_by", "bo"), ("sent_at", "t0"), ("recipient", "r"), ("body", "b")))).withColumn("sent", F.col("sent_at").isNotNull()))
     said = [(what, approvals.approve_one(book, "ticket_id", key, "ann", "t1")) for what, key in (("a missing one", "99"), ("one without mailbox", "1"), ("first", "2"), ("again", "2"))]
     return s.createDataFrame([*said, ("sent in the end", str(ledger.accepted_now(book, "ticket_id").filter("sent").count()))], "what string, said string")
+
+
+ASKED_SQL = "CASE WHEN CAST(ticket_id AS BIGINT) % 4 = 1 THEN ' Y ' WHEN vehicle_key = (SELECT max(vehicle_key) FROM a) THEN 's' ELSE 'n' END"
+
+
+@query("led_03_answers", f"WITH {ACC_SQL}, p AS (SELECT *, {ASKED_SQL} AS answer FROM a WHERE NOT sent AND client NOT IN ('', 'Internal') AND mailbox IS NOT NULL) SELECT ticket_id, 'ann' AS approved_by, 't2' AS sent_at, mailbox AS recipient, 'Ticket ' || ticket_id || chr(10) || CASE WHEN status = 'DISPATCHED' THEN chr(10) || 'On its way.' ELSE '' END AS body FROM p WHERE answer = ' Y ' AND ticket_id < coalesce((SELECT min(ticket_id) FROM p WHERE answer = 's'), 'x')")
+def led_03_answers(s, d):
+    """Every pending message of all orders is answered; the session stops at the first of the vehicle that asks for it."""
+    acc = accepted(s, d)
+    last = acc.agg(F.max("vehicle_key").alias("last"))  # one row
+    answer = F.when(F.col("ticket_id").cast("bigint") % 4 == 1, " Y ").when(F.col("vehicle_key") == F.col("last"), "s").otherwise("n")
+    answers = acc.crossJoin(F.broadcast(last)).select("ticket_id", answer.alias("answer"))
+    return approvals.answered(emit.comms_pending(acc, _body()), answers, "ann", "t2")
+
+
+@query("led_04_answers", f"WITH {ACC_SQL}, q AS (SELECT CAST(l_orderkey + l_linenumber // 7 * 1000000000 AS VARCHAR) AS ticket_id, count(*)::BIGINT AS n FROM lineitem GROUP BY 1), v AS (SELECT q.ticket_id, n, CASE WHEN a.ticket_id IS NULL THEN 'not_found' WHEN mailbox IS NULL THEN 'no_message' WHEN sent THEN 'already_sent' ELSE 'ok' END AS said FROM q LEFT JOIN a ON q.ticket_id = a.ticket_id) SELECT ticket_id, said, CASE WHEN said = 'ok' THEN 'already_sent' ELSE said END AS again, n FROM v")
+def led_04_answers(s, d):
+    """Each line asks for its order's message, some for orders that are not there; then all ask once more."""
+    book = ledger.Ledger(s, fresh(s, "ledger"))
+    book.save(accepted=accepted(s, d))
+    asked = t(s, d, "lineitem").select((F.col("l_orderkey") + F.floor(F.col("l_linenumber") / 7) * 1000000000).cast("string").alias("ticket_id"))
+    first = approvals.approve_all(book, "ticket_id", asked, "ann", "t2")
+    again = approvals.approve_all(book, "ticket_id", asked, "bo", "t3")
+    return first.join(again.select("ticket_id", F.col("said").alias("again")), "ticket_id").select("ticket_id", "said", "again", "n")
