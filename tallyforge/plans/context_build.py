@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +22,41 @@ class FullContext:
     """What a run knows before it sees a ticket."""
 
     core: Context
-    vehicles: DataFrame  # the core's vehicles with trips and odometer_trusted
+    merged: DataFrame  # the core's vehicles with trips
     drivers: DataFrame  # with tenure_months at as_of
-    claims: DataFrame  # claim_key, subject, files, n_threads, n_variants
-    conflicts: DataFrame  # reg_key, field, n_values, values
+    differing: DataFrame  # conflicts among the registers
     names: DataFrame  # name; never leaves the run
     as_of: str
-    orphans: dict[str, int]  # rows of a source that no vehicle owns
+    sources: dict[str, DataFrame]  # maintenance, trips and mails
+
+    # worked out when first asked for: who wants drivers does not sort the log
+
+    @cached_property
+    def fallen(self) -> DataFrame:
+        """Vehicles whose odometer falls, with the falls."""
+        back = resolve.regressions(self.sources["maintenance"], "reg_key", ["date", "citation"], "odometer_km")
+        return settle(back.groupBy("reg_key").agg(F.count("*").alias("n_values"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(">", F.col("previous").cast("string"), F.col("odometer_km").cast("string")))), "|").alias("values")))
+
+    @cached_property
+    def vehicles(self) -> DataFrame:
+        """The core's vehicles with trips and odometer_trusted."""
+        return self.merged.join(self.fallen.select("reg_key", F.lit(False).alias("odometer_trusted")), "reg_key", "left").fillna({"odometer_trusted": True})
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        """claim_key, subject, files, n_threads, n_variants."""
+        return claims_of(self.sources["mails"])
+
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        """reg_key, field, n_values, values."""
+        odd = self.fallen.join(self.core.vehicles.select("reg_key"), "reg_key").select("reg_key", F.lit("odometer_km").alias("field"), "n_values", "values")
+        return self.differing.unionByName(odd)
+
+    @cached_property
+    def orphans(self) -> dict[str, int]:
+        """Rows of a source that no vehicle owns."""
+        return {name: self.sources[name].join(self.core.vehicles.select("reg_key"), "reg_key", "left_anti").count() for name in ("maintenance", "trips")}
 
     def snapshot(self) -> dict[str, tuple[DataFrame, str]]:
         """SNK-05: the tables that may be written, each with the key it is ordered by."""
@@ -65,17 +94,11 @@ def build_full(fleet: DataFrame, maintenance: DataFrame, trips: DataFrame, drive
     as_of: the day that tenures are told at; without it the latest date in the log and mails, never the clock, so runs repeat.
     """
     core, differing = build_context(fleet, maintenance, distances, drivers, rulebook, places)
-    back = resolve.regressions(maintenance, "reg_key", ["date", "citation"], "odometer_km")
-    fallen = settle(back.groupBy("reg_key").agg(F.count("*").alias("n_values"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(">", F.col("previous").cast("string"), F.col("odometer_km").cast("string")))), "|").alias("values")))
     rollup = trip_rollup(trips)
     none = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("cancelled"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last"), F.create_map().cast("map<string, bigint>").alias("by_client"))
     travelled = rollup.select("reg_key", F.struct("total", "cancelled", "first", "last", "by_client").alias("trips"))
     vehicles = core.vehicles.join(travelled, "reg_key", "left").withColumn("trips", F.coalesce("trips", none))
-    vehicles = vehicles.join(fallen.select("reg_key", F.lit(False).alias("odometer_trusted")), "reg_key", "left").fillna({"odometer_trusted": True})
-    own = core.vehicles.select("reg_key")
-    orphans = {name: rows.join(own, "reg_key", "left_anti").count() for name, rows in (("maintenance", maintenance), ("trips", trips))}
     day = as_of or latest_date(maintenance, mails)
     tenure = months_between(F.col("joining_date"), F.lit(day).cast("date"))
-    odd = fallen.join(own, "reg_key").select("reg_key", F.lit("odometer_km").alias("field"), "n_values", "values")
     found = people.collect_names(names) if names else fleet.sparkSession.createDataFrame([], "name string")
-    return FullContext(core, vehicles, drivers.withColumn("tenure_months", tenure), claims_of(mails), differing.unionByName(odd), found, day, orphans)
+    return FullContext(core, vehicles, drivers.withColumn("tenure_months", tenure), differing, found, day, {"maintenance": maintenance, "trips": trips, "mails": mails})
