@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.core import blank_to_null, cite, note_flags, pseudonym, redact, reg_key
+from tallyforge.functions.core import blank_to_null, cite, note_flags, pseudonym, redacted_text, reg_key
 
 
 def _number(name: str) -> Column:
@@ -41,7 +41,7 @@ def maintenance(rows: DataFrame, secret: bytes, names: Iterable[str] = ()) -> tu
     """SRC-10: vehicle, date, odometer_km, mechanic, notes: key, masked note, five flags of the note, the mechanic's pseudonym."""
     key = reg_key("vehicle")
     flags = [v.alias(k) for k, v in note_flags("notes").items()]
-    return _scan(rows, key, "MAINTENANCE_ROW_NO_VEHICLE", [key.alias("reg_key"), blank_to_null("date").try_cast("date").alias("date"), _number("odometer_km").alias("odometer_km"), pseudonym("mechanic", "MECHANIC", secret).alias("mechanic_ref"), redact("notes", names=names)["text"].alias("notes"), *flags])
+    return _scan(rows, key, "MAINTENANCE_ROW_NO_VEHICLE", [key.alias("reg_key"), blank_to_null("date").try_cast("date").alias("date"), _number("odometer_km").alias("odometer_km"), pseudonym("mechanic", "MECHANIC", secret).alias("mechanic_ref"), redacted_text("notes", names=names).alias("notes"), *flags])
 
 
 def trips(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
