@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.scratch import settle
+from tallyforge.scratch import BROADCAST_ROWS, settle
 
 MASK = "[REDACTED:PERSON]"
 
@@ -35,15 +35,21 @@ def mask_people(rows: DataFrame, column: str, names: DataFrame, name: str = "nam
     """STR-11: rows with the names of a register masked in a text column, longest first and only as whole words, and person_hit, whether there was one.
 
     A text meets a name only where it holds the name's rarest word: words and anchors are joined, a name stays if all its words are in the text, and each text is then searched for its own few names
-    by one pattern. So neither the register nor its pattern is held anywhere as a whole. Both sides shuffle by word; only numbers and words of texts do, the texts stay where they are.
+    by one pattern. Names of one word are known to be there by that. A register that is counted as small goes along with every task, so that of a text only the words of longer names are shuffled;
+    a larger one is held nowhere as a whole and both sides shuffle by word, but only numbers and words of texts.
     Results are those of one alternation of all names. Names of under three characters are left out; null texts stay null.
     """
-    known = register(names, name)
+    known = settle(register(names, name))
+    few = known.count() <= BROADCAST_ROWS
+    known = F.broadcast(known) if few else known
     numbered = settle(rows.withColumn("__row", F.monotonically_increasing_id()))
-    words = numbered.filter(F.col(column).isNotNull()).select("__row", words_of(F.col(column)).alias("__has")).filter(F.size("__has") > 0)
-    met = words.select("__row", F.explode("__has").alias("anchor")).join(known, "anchor").select("__row", "name", F.size("words").alias("__n"), F.explode("words").alias("word"))
-    present = words.select("__row", F.explode("__has").alias("word"))
-    whole = met.join(present, ["__row", "word"]).groupBy("__row", "name").agg(F.count("*").alias("k"), F.first("__n").alias("n")).filter("k = n")
+    has = F.explode(words_of(F.col(column)))  # of the expression itself: a named array would be made once more to see that it is not empty
+    met = settle(numbered.select("__row", has.alias("anchor")).join(known, "anchor").select("__row", "name", "words"))
+    single, long = met.filter("size(words) = 1").select("__row", "name"), met.filter("size(words) > 1")
+    wanted = known.filter("size(words) > 1").select(F.explode("words").alias("word")).distinct()
+    present = numbered.select("__row", has.alias("word")).join(F.broadcast(wanted) if few else wanted, "word", "left_semi")
+    parts = long.select("__row", "name", F.size("words").alias("__n"), F.explode("words").alias("word"))
+    whole = parts.join(present, ["__row", "word"]).groupBy("__row", "name").agg(F.count("*").alias("k"), F.first("__n").alias("n")).filter("k = n").select("__row", "name").unionByName(single)
     own = whole.groupBy("__row").agg(F.collect_list("name").alias("__names"))  # names whose words are all in one text
     out = numbered.join(own, "__row", "left").withColumn("__masked", F.when(F.col("__names").isNotNull(), F.regexp_replace(F.col(column), _pattern(F.col("__names")), F.lit(MASK))).otherwise(F.col(column)))
     hit = F.coalesce(F.col("__masked") != F.col(column), F.lit(False))

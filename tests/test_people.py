@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyforge.functions import core as c
+from tallyforge.operators import people
 from tallyforge.operators.people import mask_people, register
 
 
@@ -29,3 +30,14 @@ def test_empty_registers_and_anchors(spark):
     assert mask_people(df.limit(0), "text", none).count() == 0
     known = {x.name: x.anchor for x in register(spark.createDataFrame([("Maria Lopez",), ("maria Cruz",), ("Maria",)], "name string")).collect()}
     assert known == {"maria lopez": "lopez", "maria cruz": "cruz", "maria": "maria"}
+
+
+def test_both_ways_of_a_register(spark, monkeypatch):
+    """A register too large to go along gives the same; one that goes along leaves a text's words where they are but those of longer names."""
+    df = spark.createDataFrame([(1, "Ann met Ann Lee, Lee and Bo"), (2, None), (3, "lee ann"), (4, "")], "id int, text string")
+    known = spark.createDataFrame([("Ann",), ("Ann Lee",), ("Bob",)], "name string")
+    small = mask_people(df, "text", known)
+    assert small._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 1
+    got = sorted(small.collect())
+    monkeypatch.setattr(people, "BROADCAST_ROWS", 0)
+    assert sorted(mask_people(df, "text", known).collect()) == got == [(1, "[REDACTED:PERSON] met [REDACTED:PERSON], Lee and Bo", True), (2, None, False), (3, "lee [REDACTED:PERSON]", True), (4, "", False)]
