@@ -77,8 +77,8 @@ def claims_of(mails: DataFrame, threshold: float = 0.85) -> DataFrame:
     Equal mails are one row before anything is compared, and subjects never mix, as the same few words under another subject are another matter.
     """
     same = settle(mails.groupBy("subject", "claim_key").agg(F.min("file").alias("id"), F.array_sort(F.collect_list("file")).alias("files"), F.first("body").alias("body")))
-    pairs, members = dedup.near_pairs(same.select("subject", "id", subject_tokens("body").alias("tokens")), "subject", "id", "tokens", threshold)
-    led = dedup.leader_clusters(members, pairs).join(same.select("id", "subject", "claim_key", "files"), "id")
+    clusters = dedup.near_clusters(same.select("subject", "id", subject_tokens("body").alias("tokens")), "subject", "id", "tokens", threshold)
+    led = clusters.join(same.select("id", "subject", "claim_key", "files"), "id")
     return led.groupBy("leader").agg(F.min_by("claim_key", "id").alias("claim_key"), F.min("subject").alias("subject"), F.array_sort(F.flatten(F.collect_list("files"))).alias("files"), F.count("*").alias("n_variants")).select("claim_key", "subject", "files", F.size("files").cast("bigint").alias("n_threads"), "n_variants")
 
 
